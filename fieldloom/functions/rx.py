@@ -39,6 +39,8 @@ def py(pattern: str, flags: str = "") -> str:
             nxt = pattern[i + 1]
             if nxt == "s" and not in_class:
                 out.append(WS)
+            elif nxt == "s":
+                out.append(r"\s\x1c-\x1f")
             else:
                 out.append(ch + nxt)
             i += 2
