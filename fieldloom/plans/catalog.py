@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.plans import extract_queries
+from fieldloom.plans import extract_queries, model_queries
 
 QUERIES = {}
 ORACLE = {}
-for _m in (extract_queries,):
+for _m in (extract_queries, model_queries):
     QUERIES.update(_m.QUERIES)
     ORACLE.update(_m.ORACLE)
 
