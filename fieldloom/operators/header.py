@@ -160,11 +160,12 @@ def simple_total(text: Column) -> Column:
     return F.coalesce(*[F.when(v > 0, v) for v in vals], hint, F.lit(0.0))
 
 
-def simple_headers(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER) -> DataFrame:
+def simple_headers(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER,
+                   keep: tuple[str, ...] = ()) -> DataFrame:
     t = F.col("text")
     ids = F.col("_ids")
     a = docs.select(
-        "doc_key", "text",
+        "doc_key", "text", *[k for k in keep if k != "text"],
         document_type(t).alias("document_type"),
         simple_invoice_number(t, vendor_pattern).alias("invoice_document_number"),
         simple_date(t).alias("invoice_document_date"),
@@ -208,7 +209,7 @@ def simple_headers(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER) -> Da
         F.when(blank_c, F.col("buyer_gstin")).otherwise(F.col("_cg")).alias("consignee_gstin"),
         serial_number(F.col("doc_key")).alias("serial_number"),
     )
-    return conform_headers(d)
+    return conform_headers(d, ("doc_key",) + tuple(keep))
 
 
 # --- layout profile ------------------------------------------------------------------
@@ -269,10 +270,11 @@ def layout_amount_in_words(text: Column) -> Column:
         .otherwise(F.lit(""))
 
 
-def layout_headers(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER) -> DataFrame:
+def layout_headers(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER,
+                   keep: tuple[str, ...] = ()) -> DataFrame:
     t = F.col("text")
     a = docs.select(
-        "doc_key", "text",
+        "doc_key", "text", *[k for k in keep if k != "text"],
         document_type(t).alias("document_type"),
         layout_invoice_number(t, vendor_pattern).alias("invoice_document_number"),
         first_matching(t, P.LAYOUT_DATE, "i").alias("invoice_document_date"),
@@ -301,7 +303,7 @@ def layout_headers(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER) -> Da
     c = b.select("*", layout_address(t, F.col("consignee_name")).alias("_ca"))
     d = c.select("*", F.when(F.col("_ca") == "", F.col("buyer_address")).otherwise(F.col("_ca"))
                  .alias("consignee_address"))
-    return conform_headers(d)
+    return conform_headers(d, ("doc_key",) + tuple(keep))
 
 
 # --- minimal profile -------------------------------------------------------------------
@@ -368,14 +370,15 @@ def minimal_fields(text: Column, provider: Column, parties=P.KNOWN_PARTIES,
     }
 
 
-def minimal_headers(docs: DataFrame, provider: str | Column = "google", **kw) -> DataFrame:
+def minimal_headers(docs: DataFrame, provider: str | Column = "google", keep: tuple[str, ...] = (),
+                    **kw) -> DataFrame:
     prov = provider if isinstance(provider, Column) else F.lit(provider)
     if isinstance(provider, str) and "provider" in docs.columns:
         prov = F.col("provider")
     fields = minimal_fields(F.col("text"), prov, **kw)
-    d = docs.select("doc_key", serial_number(F.col("doc_key")).alias("serial_number"),
+    d = docs.select("doc_key", *keep, serial_number(F.col("doc_key")).alias("serial_number"),
                     *[c.alias(k) for k, c in fields.items()])
-    return conform_headers(d)
+    return conform_headers(d, ("doc_key",) + tuple(keep))
 
 
 def extract_headers(docs: DataFrame, profile: str = "simple", **kw) -> DataFrame:
