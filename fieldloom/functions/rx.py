@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 
 WS = r"[\s\x1c-\x1f]"
 
+# Fixed value: the 29 characters for which Python's str.isspace() is true.
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+                 "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
 IGNORECASE = "i"
 DOTALL = "s"
 
@@ -55,8 +59,12 @@ def py(pattern: str, flags: str = "") -> str:
 
 
 def strip(c: Column) -> Column:
-    """Python ``str.strip()``: remove all Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    """Python ``str.strip()``: remove all Unicode white space at both ends.
+
+    A character-set trim (no regex): ``btrim`` removes code points of the set
+    from both ends, exactly what ``str.strip()`` does.
+    """
+    return F.btrim(c, F.lit(PY_WHITESPACE))
 
 
 def collapse_ws(c: Column) -> Column:
@@ -90,9 +98,17 @@ def first_nonblank(text: Column, patterns: list[str], flags: str = "is",
 
 
 def first_matching(text: Column, patterns: list[str], flags: str = "i",
-                   default: str | Column = "", post=strip) -> Column:
-    """Cascade; the first pattern that matches wins, even when its capture is blank."""
+                   default: str | Column = "", post=strip, nonempty: bool = False) -> Column:
+    """Cascade; the first pattern that matches wins, even when its capture is blank.
+
+    ``nonempty=True`` declares that every pattern's group 1 cannot match the
+    empty string; then "matched" equals "capture non-empty" and each pattern
+    is evaluated once (``coalesce`` of captures) instead of twice.
+    """
     d = default if isinstance(default, Column) else F.lit(default)
+    if nonempty:
+        raw = F.coalesce(*[F.nullif(extract(text, p, flags), F.lit("")) for p in patterns])
+        return F.coalesce(post(raw), d)
     out = d
     for p in reversed(patterns):
         out = F.when(matches(text, p, flags), post(extract(text, p, flags))).otherwise(out)
@@ -104,15 +120,25 @@ def first_positive(values: list[Column], default: float = 0.0) -> Column:
     return F.coalesce(*[F.when(v > 0, v) for v in values], F.lit(default))
 
 
+def digits_to_double(s: Column) -> Column:
+    """Parse text made only of digits and dots (``1.2.3``, ``.`` or ``''`` -> NULL).
+
+    No shape check is needed: with only digits and dots left, Spark's cast
+    accepts exactly what Python's ``float`` accepts.
+    """
+    return s.try_cast("double")
+
+
 def number_loose(s: Column) -> Column:
     """P5: keep digits and dots, parse as double; failure -> 0.0."""
     kept = F.regexp_replace(s, r"(?U)[^\d.]", "")
-    return F.coalesce(_to_double(kept), F.lit(0.0))
+    return F.coalesce(digits_to_double(kept), F.lit(0.0))
 
 
 def number_strict(s: Column) -> Column:
-    """Drop commas, parse as double; failure -> 0.0."""
-    return F.coalesce(_to_double(F.regexp_replace(s, ",", "")), F.lit(0.0))
+    """Drop commas, parse as double; failure -> 0.0.  ``s`` is a capture of
+    digits, commas and dots."""
+    return F.coalesce(digits_to_double(F.regexp_replace(s, ",", "")), F.lit(0.0))
 
 
 _NUMERIC_SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"

@@ -74,17 +74,22 @@ def simple_gstin(text: Column, context: str, all_ids: Column) -> Column:
     unset and the answer is ``""`` (the search stops), (d) ``GSTIN: id``,
     (e) position among all ids: 1st / 2nd / 3rd by role, else the 1st.
     """
-    branches: list[tuple[Column, Column]] = []
+    labelled: list[str] = []
     if any(w in context for w in ["Supplier", "Seller", "From"]):
-        for p in P.SUPPLIER_ID_LABELS:
-            branches.append((matches(text, p, "i"), extract(text, p, "i")))
+        labelled += P.SUPPLIER_ID_LABELS
     if any(w in context for w in ["Buyer", "Customer", "Bill to", "Ship to", "Consignee"]):
-        for p in P.BUYER_ID_LABELS:
-            branches.append((matches(text, p, "i"), extract(text, p, "i")))
-    ctx = rf"{context}.*?({P.TAXID})"
-    branches.append((matches(text, ctx, "is"), strip(extract(text, ctx, "is"))))
+        labelled += P.BUYER_ID_LABELS
+    # (a)/(b): the captured id is never empty, so one evaluation per pattern
+    steps = [F.nullif(extract(text, p, "i"), F.lit("")) for p in labelled]
+    # (c): one search for the whole alternation; its leftmost match is either a
+    # bare role word (answer "") or "GSTIN ... <id>" (the id ends the match)
+    hit = extract(text, rf"({context}.*?{P.TAXID})", "is")
+    words = [w for w in context.split("|") if w != "GSTIN"]
+    ctx = F.when(hit == "", F.lit(None)).when(
+        _any([F.lower(hit) == w.lower() for w in words]), F.lit("")).otherwise(F.substring(hit, -15, 15))
+    steps.append(ctx)
     if "GSTIN" in context:
-        branches.append((matches(text, P.GENERIC_ID_LABEL, "i"), extract(text, P.GENERIC_ID_LABEL, "i")))
+        steps.append(F.nullif(extract(text, P.GENERIC_ID_LABEL, "i"), F.lit("")))
     if any(w in context for w in ["Supplier", "Seller", "From"]):
         pos = F.get(all_ids, 0)
     elif any(w in context for w in ["Buyer", "Customer", "Bill to"]):
@@ -93,10 +98,7 @@ def simple_gstin(text: Column, context: str, all_ids: Column) -> Column:
         pos = F.coalesce(F.get(all_ids, 2), F.get(all_ids, 0))
     else:
         pos = F.get(all_ids, 0)
-    out = F.coalesce(pos, F.lit(""))
-    for cond, val in reversed(branches):
-        out = F.when(cond, val).otherwise(out)
-    return out
+    return F.coalesce(*steps, pos, F.lit(""))
 
 
 def section(text: Column, keywords: list[str]) -> Column:
@@ -218,7 +220,7 @@ def simple_headers(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER,
 def layout_invoice_number(text: Column, vendor_pattern: str = P.VENDOR_NUMBER) -> Column:
     """H4: three colon-required labels (first match wins), then the
     case-sensitive vendor form, default ``""``."""
-    labelled = first_matching(text, P.LAYOUT_NUMBER, "i", default=F.lit(None).cast("string"))
+    labelled = first_matching(text, P.LAYOUT_NUMBER, "i", default=F.lit(None).cast("string"), nonempty=True)
     return F.coalesce(labelled, F.nullif(strip(extract(text, vendor_pattern, "")), F.lit("")), F.lit(""))
 
 
@@ -264,10 +266,10 @@ def _layout_number(text: Column, labels: str) -> Column:
 
 def layout_amount_in_words(text: Column) -> Column:
     """Three alternatives (first match wins), spaces collapsed, `` Only`` appended if absent."""
-    hit = _any([matches(text, p, "is") for p in P.LAYOUT_WORDS])
-    w = first_matching(text, P.LAYOUT_WORDS, "is", post=lambda x: collapse_ws(strip(x)))
-    return F.when(hit, F.when(F.lower(w).contains("only"), w).otherwise(F.concat(w, F.lit(" Only")))) \
-        .otherwise(F.lit(""))
+    w = first_matching(text, P.LAYOUT_WORDS, "is", post=lambda x: collapse_ws(strip(x)),
+                       default=F.lit(None).cast("string"))
+    return F.when(w.isNull(), F.lit("")).when(F.lower(w).contains("only"), w) \
+        .otherwise(F.concat(w, F.lit(" Only")))
 
 
 def layout_headers(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER,
@@ -277,7 +279,7 @@ def layout_headers(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER,
         "doc_key", "text", *[k for k in keep if k != "text"],
         document_type(t).alias("document_type"),
         layout_invoice_number(t, vendor_pattern).alias("invoice_document_number"),
-        first_matching(t, P.LAYOUT_DATE, "i").alias("invoice_document_date"),
+        first_matching(t, P.LAYOUT_DATE, "i", nonempty=True).alias("invoice_document_date"),
         layout_entity_name(t, P.LAYOUT_SUPPLIER_ROLES).alias("supplier_name"),
         layout_entity_name(t, P.LAYOUT_BUYER_ROLES).alias("buyer_name"),
         layout_entity_name(t, P.LAYOUT_CONSIGNEE_ROLES).alias("_cn"),
@@ -342,7 +344,7 @@ def minimal_fields(text: Column, provider: Column, parties=P.KNOWN_PARTIES,
                    full_party=P.KNOWN_PARTY_FULL, address_anchor=P.KNOWN_ADDRESS,
                    vendor_pattern: str = P.VENDOR_NUMBER) -> dict[str, Column]:
     """The 12-field fallback record as a dict of columns."""
-    buyer = first_matching(text, P.MINIMAL_BUYER, "i")
+    buyer = first_matching(text, P.MINIMAL_BUYER, "i", nonempty=True)
     legal = F.when(matches(text, P.LEGAL_NAME, "i"), strip(extract(text, P.LEGAL_NAME, "i")))
     buyer = F.coalesce(legal, buyer)
     party = known_party_line(text, parties)
@@ -353,12 +355,12 @@ def minimal_fields(text: Column, provider: Column, parties=P.KNOWN_PARTIES,
     addr = F.when(matches(text, address_anchor, ""),
                   strip(F.regexp_replace(extract(text, address_anchor, ""), "\n", " ")))
     total = first_matching(text, P.MINIMAL_TOTAL, "i", post=lambda x: number_strict(x),
-                           default=F.lit(0.0))
+                           default=F.lit(0.0), nonempty=True)
     numbers = P.MINIMAL_NUMBER[:-1] + [vendor_pattern]
     return {
         "document_type": document_type(text, P.DOC_TYPES_MINIMAL),
-        "invoice_document_number": first_matching(text, numbers, "i"),
-        "invoice_document_date": first_matching(text, P.MINIMAL_DATE, "i"),
+        "invoice_document_number": first_matching(text, numbers, "i", nonempty=True),
+        "invoice_document_date": first_matching(text, P.MINIMAL_DATE, "i", nonempty=True),
         "supplier_name": minimal_supplier_name(text),
         "buyer_name": buyer,
         "supplier_gstin": F.coalesce(F.get(ids, 0), F.lit("")),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import patterns as P
 from fieldloom.functions.contract import conform_items
-from fieldloom.functions.rx import (WS, _to_double, extract, matches, py, strip)
+from fieldloom.functions.rx import (WS, _to_double, digits_to_double, extract, matches, py, strip)
 from fieldloom.operators.header import layout_invoice_number, serial_number, simple_invoice_number
 
 # Section start keywords, header-line tests, units, fallbacks.
@@ -66,11 +66,12 @@ def _float_text(x: Column) -> Column:
 
 def _parse_loose(s: Column) -> Column:
     """``float(re.sub(r'[^\\d.]', '', s))``; NULL where Python would raise."""
-    return _to_double(F.regexp_replace(s, r"(?U)[^\d.]", ""))
+    return digits_to_double(F.regexp_replace(s, r"(?U)[^\d.]", ""))
 
 
 def _parse_commas(s: Column) -> Column:
-    return _to_double(F.regexp_replace(s, ",", ""))
+    """A capture of digits, commas and dots, commas dropped."""
+    return digits_to_double(F.regexp_replace(s, ",", ""))
 
 
 def _lines(text: Column) -> Column:
@@ -108,15 +109,15 @@ def simple_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER) -> Data
     # primary-row captures
     sku = extract(line, SKU_SIMPLE)
     hsn = extract(line, HSN_SIMPLE)
-    qty = F.coalesce(_to_double(extract(line, QTY_SIMPLE, "i")), F.lit(1.0))
+    qty = F.coalesce(digits_to_double(extract(line, QTY_SIMPLE, "i")), F.lit(1.0))
     uom = F.coalesce(F.nullif(F.upper(extract(line, UOM_SIMPLE, "i")), F.lit("")), F.lit(DEFAULT_UOM))
     price0 = F.coalesce(_parse_commas(extract(line, PRICE_SIMPLE, "i")), F.lit(0.0))
     total = F.coalesce(_parse_commas(extract(line, TOTAL_AT_END)), F.lit(0.0))
-    tax = F.coalesce(_to_double(extract(line, PERCENT)), F.lit(0.0))
+    tax = F.coalesce(digits_to_double(extract(line, PERCENT)), F.lit(0.0))
     # fallback-row captures
     fb_sku = F.coalesce(F.nullif(extract(line, FALLBACK_SKU), F.lit("")),
                         F.concat(F.lit("ITEM"), (F.col("_pos") + 1).cast("string")))
-    fb_qty = F.coalesce(_to_double(extract(line, FALLBACK_QTY, "i")), F.lit(1.0))
+    fb_qty = F.coalesce(digits_to_double(extract(line, FALLBACK_QTY, "i")), F.lit(1.0))
     fb_uom = F.coalesce(F.nullif(F.upper(extract(line, FALLBACK_UOM, "i")), F.lit("")), F.lit(DEFAULT_UOM))
     amounts = F.regexp_extract_all(line, F.lit(py(FALLBACK_AMOUNT)), 1)
     fb_total = F.coalesce(_parse_commas(F.element_at(F.when(F.size(amounts) > 0, amounts), -1)), F.lit(0.0))
@@ -174,6 +175,18 @@ def _gst_label(rate: Column) -> Column:
         .otherwise(F.concat(F.lit("GST_"), _float_text(rate)))
 
 
+# Columns of a stripped line split on runs of 2+ white-space characters
+# (``re.split(r'\s{2,}', line)``): maximal runs of non-space characters and
+# single spaces.  A literal pattern, so it is compiled once per task.
+_WSC = r"[\s\x1c-\x1f]"
+COLUMN_RE = rf"(?Ud)(?:[^\s\x1c-\x1f]|(?<!{_WSC}){_WSC}(?!{_WSC}))+"
+
+
+def split_columns(line: Column) -> Column:
+    """The column parts of a stripped, non-blank line."""
+    return F.regexp_extract_all(line, F.lit(COLUMN_RE), 0)
+
+
 def layout_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER) -> DataFrame:
     """I2, I4, I6, I17-I25."""
     t = F.col("text")
@@ -189,46 +202,43 @@ def layout_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER) -> Data
         .otherwise(F.expr("substring(text, _start, locate('Total', text, _start) - _start)"))
     b = a.select("doc_key", "text", "invoice_number", sec.alias("_sec"))
     lines = F.filter(_lines(F.col("_sec")), lambda x: (x != F.lit("")) & ~matches(x, LAYOUT_HEADER_LINE, "i"))
-    split_pat = py(r"\s{2,}")
-
-    def row(x, i):
-        parts = F.split(x, split_pat)
-        n = F.size(parts)
-        wide = n >= 7
-        qty_s = F.when(wide, F.get(parts, 3)).otherwise(F.get(parts, 2))
-        qty = _parse_loose(qty_s)
-        price_s = F.when(wide, F.get(parts, 4)).otherwise(F.get(parts, 3))
-        price = _parse_loose(price_s)
-        ok = (n >= 3) & qty.isNotNull() & (~wide | price.isNotNull())
-        return F.struct(i.alias("i"), x.alias("line"), parts.alias("parts"), qty.alias("qty"),
-                        F.coalesce(price, F.lit(0.0)).alias("price"), ok.alias("ok"))
-
-    primary = F.filter(F.transform(lines, row), lambda r: r["ok"])
+    # each line's parts once, then its numbers once, then keep the valid rows
+    with_parts = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line"),
+                                                          split_columns(x).alias("parts")))
+
+    def numbers(r):
+        parts = r["parts"]
+        wide = F.size(parts) >= 7
+        qty = _parse_loose(F.when(wide, F.get(parts, 3)).otherwise(F.get(parts, 2)))
+        price = _parse_loose(F.when(wide, F.get(parts, 4)).otherwise(F.get(parts, 3)))
+        return F.struct(r["i"].alias("i"), r["line"].alias("line"), parts.alias("parts"),
+                        qty.alias("qty"), price.alias("price"),
+                        F.lit(None).cast("string").alias("zsku"), F.lit(None).cast("string").alias("zhsn"))
+
+    def ok(r):
+        wide = F.size(r["parts"]) >= 7
+        return (F.size(r["parts"]) >= 3) & r["qty"].isNotNull() & (~wide | r["price"].isNotNull())
+
+    primary = F.filter(F.transform(with_parts, numbers), ok)
     txt = F.col("text")
     skus = F.slice(F.regexp_extract_all(txt, F.lit(py(ZIP_SKU)), 1), 1, ZIP_LIMIT)
     hsns = F.regexp_extract_all(txt, F.lit(py(ZIP_HSN)), 1)
     qtys = F.regexp_extract_all(txt, F.lit(py(ZIP_QTY)), 1)
     zipped = F.transform(skus, lambda s, i: F.struct(
-        i.alias("i"), F.lit(None).cast("string").alias("line"),
-        F.lit(None).cast("array<string>").alias("parts"),
-        F.coalesce(_to_double(F.get(qtys, i)), F.lit(0.0)).alias("qty"), F.lit(0.0).alias("price"),
-        F.lit(True).alias("ok"), s.alias("zsku"), F.coalesce(F.get(hsns, i), F.lit("")).alias("zhsn")))
-    primary = F.transform(primary, lambda r: F.struct(
-        r["i"].alias("i"), r["line"].alias("line"), r["parts"].alias("parts"), r["qty"].alias("qty"),
-        r["price"].alias("price"), r["ok"].alias("ok"), F.lit(None).cast("string").alias("zsku"),
-        F.lit(None).cast("string").alias("zhsn")))
-    c = b.select("doc_key", "invoice_number", "_sec", primary.alias("_primary"),
-                 F.when(F.col("_sec") != "", zipped).alias("_zip"))
-    rows = F.when(F.size("_primary") > 0, F.col("_primary")).otherwise(F.col("_zip"))
+        i.alias("i"), F.lit(None).cast("string").alias("line"), F.lit(None).cast("array<string>").alias("parts"),
+        F.coalesce(digits_to_double(F.get(qtys, i)), F.lit(0.0)).alias("qty"), F.lit(0.0).alias("price"),
+        s.alias("zsku"), F.coalesce(F.get(hsns, i), F.lit("")).alias("zhsn")))
+    c = b.select("doc_key", "text", "invoice_number", "_sec", primary.alias("_primary"))
+    rows = F.when(F.size("_primary") > 0, F.col("_primary")).when(F.col("_sec") != "", zipped)
     r = c.select("doc_key", "invoice_number", F.explode(rows).alias("r"))
     is_zip = F.col("r.zsku").isNotNull()
     parts, line = F.col("r.parts"), F.col("r.line")
     wide = F.size(parts) >= 7
-    tax = _to_double(extract(line, PERCENT))
-    qty, price = F.col("r.qty"), F.col("r.price")
+    tax = digits_to_double(extract(line, PERCENT))
+    qty, price = F.col("r.qty"), F.coalesce(F.col("r.price"), F.lit(0.0))
     # money arithmetic in exact decimals, rounded half-even to 2 places
-    sub = price.cast("decimal(20,4)") * qty.cast("decimal(20,4)")
-    igst = F.bround(sub * tax.cast("decimal(20,6)") / F.lit(100), 2)
+    sub = price.cast("decimal(20,6)") * qty.cast("decimal(20,6)")
+    igst = F.bround(sub * tax.cast("decimal(10,4)") / F.lit(100), 2)
     computed = F.when(wide & tax.isNotNull() & (price > 0) & (qty > 0), igst)
     trailing = _parse_commas(extract(line, LAYOUT_TOTAL_AT_END))
     line_total = F.when(wide, F.coalesce(trailing, (sub + computed).cast("double"))).otherwise(F.lit(0.0))

@@ -14,4 +14,5 @@ for _m in (extract_queries, model_queries, flow_queries):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_queries.q_headers_full(spark, sf_dir)
+    """Invoices -> simple headers ⋈ layout items -> reconciliation per document."""
+    return flow_queries.q_reconcile(spark, sf_dir)
