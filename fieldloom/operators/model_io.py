@@ -124,9 +124,9 @@ def unwrap(responses: DataFrame) -> DataFrame:
     """
     b = F.col("body")
     is_a = F.lower(F.col("provider")) == "google"
-    a_parts = F.from_json(b, ENVELOPE_A)["candidates"][0]["content"]["parts"]
+    a_parts = F.get(F.from_json(b, ENVELOPE_A)["candidates"], 0)["content"]["parts"]
     a_text = F.get(F.filter(a_parts, lambda x: x["text"].isNotNull()), 0)["text"]
-    b_text = F.from_json(b, ENVELOPE_B)["choices"][0]["message"]["content"]
+    b_text = F.get(F.from_json(b, ENVELOPE_B)["choices"], 0)["message"]["content"]
     raw = F.when(is_a, a_text).otherwise(b_text)
     x = F.regexp_replace(F.col("_raw"), r"(?d)^```json", "")
     x = F.when(is_a, x).otherwise(F.regexp_replace(x, r"(?d)^```", ""))
