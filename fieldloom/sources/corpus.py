@@ -5,13 +5,13 @@ into one invoice text per order that has lines; ``render_responses`` turns the
 same tables into one model response per order.  Both are pure DataFrame
 plans, so they grow with the tables and run distributed.
 
-Plan shape (see ``explain``): lineitem ⋈ part on the part key (sort-merge or,
-when AQE proves the part side small, broadcast), one aggregation keyed by the
-order key (sums and min partially aggregated map-side; the item lines
-collected per order, which TPC-H bounds to 7), then orders joined on the same
-key (reusing the aggregation's hash partitioning) and the customer / supplier
-attributes joined by key.  No window, no second sort: the item order is an
-``array_sort`` of structs inside the aggregation.
+Plan shape (see ``explain``): lineitem ⋈ part on the part key (sort-merge, or
+broadcast when the part side is under the size-checked broadcast threshold),
+one shuffle by order key followed by the per-order aggregation in the same
+stage (the item lines collected per order, which TPC-H bounds to 7), then
+orders joined on the same key (reusing that hash partitioning) and the
+customer / supplier attributes joined by key.  No window, no second sort: the
+item order is an ``array_sort`` of structs inside the aggregation.
 """
 
 from __future__ import annotations
@@ -73,8 +73,14 @@ def item_lines(t: Tables) -> DataFrame:
 
 
 def order_facts(t: Tables) -> DataFrame:
-    """Per order: supplier key, quantity and value sums, ordered item lines."""
-    lines = item_lines(t)
+    """Per order: supplier key, quantity and value sums, ordered item lines.
+
+    The lines are hash-partitioned by order key before the aggregation: the
+    aggregation's required distribution is then already met (one shuffle, as
+    before), and no map-side partial ``collect_list`` runs - it would not reduce
+    anything (every line survives into the list) and falls back to a sort.
+    """
+    lines = item_lines(t).repartition("l_orderkey")
     srt = F.struct(*[F.col(c) for c in ITEM_ORDER], F.col("line"))
     return (lines.groupBy("l_orderkey").agg(
         F.min("l_suppkey").alias("supp_key"),
@@ -166,8 +172,8 @@ def render_response_texts(t: Tables) -> DataFrame:
         F.col("l_quantity").cast("bigint").cast("string"), F.lit(',"Line Total Value":'),
         _json_str(money_text(F.col("l_extendedprice"))), F.lit("}"))
     srt = F.struct(*[F.col(c) for c in ITEM_ORDER], item.alias("j"))
-    facts = (li.groupBy("l_orderkey")
-             .agg(F.array_sort(F.collect_list(srt)).alias("items"))
+    facts = (li.select("l_orderkey", srt.alias("_s")).repartition("l_orderkey").groupBy("l_orderkey")
+             .agg(F.array_sort(F.collect_list("_s")).alias("items"))
              .select(F.col("l_orderkey").alias("doc_key"),
                      F.array_join(F.transform("items", lambda s: s["j"]), ",").alias("items_json")))
     o = t.orders.select("o_orderkey", "o_totalprice")
