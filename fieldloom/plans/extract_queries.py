@@ -194,14 +194,17 @@ def q_items_layout_zip(spark, sf):
 
 
 def q_items_simple_fallback(spark, sf):
-    """I15/I16 on the header-less variant: per document, the number of fallback
-    rows and the item-line rows' SKU / quantity / total."""
+    """I15/I16 on the header-less variant: every fallback row (any line of 10+
+    characters with a code-like token and a number), not only item lines."""
     it = extract_items(V.headerless(_inv(spark, sf)), "simple")
-    it = it.where(F.col("item_sku_code").rlike("^P[0-9]+_BRAND"))
-    return decimals(it.select("doc_key", "item_sku_code", "quantity", "uom", "unit_price", "line_total_value",
-                              "item_description"), ["quantity", "line_total_value"]).select(
-        "doc_key", "item_sku_code", "quantity", "uom", dec("unit_price", 8).alias("unit_price"),
-        "line_total_value", "item_description")
+    return it.select("doc_key", "line_number", "item_sku_code", dec("quantity").alias("quantity"), "uom",
+                     F.col("unit_price").cast("decimal(28,8)").alias("unit_price"),
+                     F.col("line_total_value").cast("decimal(28,2)").alias("line_total_value"),
+                     "item_description")
+
+
+def q_headers_minimal(spark, sf):
+    return decimals(H.extract_headers(_inv(spark, sf), "minimal"), HEADER_MONEY)
 
 
 QUERIES = {
@@ -226,6 +229,7 @@ QUERIES = {
     "items_layout": q_items_layout,
     "items_layout_zip": q_items_layout_zip,
     "items_simple_fallback": q_items_simple_fallback,
+    "headers_minimal": q_headers_minimal,
 }
 
 # --- DuckDB oracles ---------------------------------------------------------------------
@@ -330,15 +334,47 @@ SELECT doc_key, CAST(doc_key AS VARCHAR) AS invoice_serial_number,
   CAST(0 AS DECIMAL(18,2)) AS igst_amount, CAST(0 AS DECIMAL(18,2)) AS line_total_value
 FROM item_src WHERE line_number <= 5"""
 
-_ITEMS_FALLBACK = """
-SELECT doc_key, 'P' || CAST(l_partkey AS VARCHAR) || '_' || brand AS item_sku_code,
-  CAST(qty AS DECIMAL(18,2)) AS quantity, 'PCS' AS uom,
-  CAST(CAST(ext AS DOUBLE) / qty AS DECIMAL(18,8)) AS unit_price, ext AS line_total_value,
-  left('P' || CAST(l_partkey AS VARCHAR) || '_' || brand || '  ' || p_name || '  '
-       || CAST(61000000 + l_partkey AS VARCHAR) || '  ' || CAST(qty AS VARCHAR) || ' PCS  '
-       || CAST(price AS VARCHAR) || '  ' || CAST(rate AS VARCHAR) || '%  ' || CAST(ext AS VARCHAR), 50)
-    AS item_description
-FROM item_src"""
+_ITEMS_FALLBACK = f"""
+SELECT doc_key, line_number,
+  CASE WHEN sku0 = '' THEN 'ITEM' || CAST(line_number AS VARCHAR) ELSE sku0 END AS item_sku_code,
+  CAST(qty AS DECIMAL(18,2)) AS quantity, CASE WHEN u0 = '' THEN 'PCS' ELSE u0 END AS uom,
+  CAST(CAST(CASE WHEN qty > 0 AND total > 0 THEN total / qty ELSE 0.0 END AS VARCHAR) AS DECIMAL(28,8))
+    AS unit_price,
+  CAST(CAST(total AS VARCHAR) AS DECIMAL(28,2)) AS line_total_value, left(line, 50) AS item_description
+FROM (
+  SELECT doc_key, line_number, line, sku0, u0,
+    CASE WHEN q0 = '' THEN 1.0 ELSE CAST(q0 AS DOUBLE) END AS qty,
+    CASE WHEN len(amts) = 0 THEN 0.0 ELSE CAST(replace(amts[-1], ',', '') AS DOUBLE) END AS total
+  FROM (
+    SELECT doc_key, CAST(row_number() OVER (PARTITION BY doc_key ORDER BY idx) AS INTEGER) AS line_number, line,
+      regexp_extract(line, '\\b([A-Z0-9]+(?:[_-][A-Z0-9]+)*)\\b', 1) AS sku0,
+      regexp_extract(line, '(?i)\\b(\\d+(?:\\.\\d+)?)\\s*(?:PCS|NOS|EA|KG)\\b', 1) AS q0,
+      upper(regexp_extract(line, '(?i)\\b(PCS|NOS|EA|KG)\\b', 1)) AS u0,
+      regexp_extract_all(line, '\\b(\\d+(?:,\\d+)*(?:\\.\\d+)?)\\b', 1) AS amts
+    FROM (
+      SELECT doc_key, idx, trim(line) AS line FROM (
+        SELECT doc_key, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) AS idx
+        FROM (SELECT doc_key, {V.SQL["headerless"]} AS text FROM invoices) h) l) t
+    WHERE length(line) >= 10
+      AND NOT regexp_matches(line, '(?i)(S\\.?No\\.?|Sr\\.?\\s*No\\.?|Item Code|Description)$')
+      AND regexp_matches(line, '\\b[A-Z0-9_-]{{6,}}\\b')
+      AND (regexp_matches(line, '(?i)\\b\\d+\\s*(?:PCS|NOS|EA|KG)\\b')
+           OR regexp_matches(line, '\\b\\d+(?:,\\d+)*(?:\\.\\d+)?\\b'))) r) x"""
+
+_HEADERS_MINIMAL = f"""
+SELECT doc_key, CAST(doc_key AS VARCHAR) AS serial_number, {_DT_MIN} AS document_type,
+  CASE WHEN doc_key % 3 = 2 THEN '' ELSE inv_no END AS invoice_document_number, {_DATE} AS invoice_document_date,
+  CASE WHEN doc_key % 4 = 0 THEN vendor WHEN doc_key % 4 = 1 THEN 'DELIVERY CHALLAN'
+       WHEN doc_key % 4 = 2 THEN 'STOCK TRANSFER' ELSE 'STATEMENT' END AS supplier_name,
+  {TAXID_SUPPLIER} AS supplier_gstin, '' AS supplier_address, client AS buyer_name,
+  {TAXID_CUSTOMER} AS buyer_gstin, '' AS buyer_address, '' AS consignee_name, '' AS consignee_gstin,
+  '' AS consignee_address, '' AS po_number, '' AS so_number, '' AS str_number, '' AS box_count,
+  {D2('0')} AS total_quantity, {D2('0')} AS subtotal_taxable_value, {D2('0')} AS cgst_amount,
+  {D2('0')} AS sgst_amount, {D2('0')} AS igst_amount, {D2('0')} AS cess_amount, {D2('0')} AS additional_charges,
+  {D2('o_totalprice')} AS total_invoice_value, 'No' AS reverse_charge, '' AS irn_no, '' AS eway_bill_no,
+  '' AS amount_in_words, 'Extracted with fallback method due to Google API failure' AS additional_remarks
+FROM doc_src"""
 
 ORACLE = {
     "doc_type": _with(DOC_SRC) + f"SELECT doc_key, {_DT} AS document_type, {_DT_MIN} AS document_type_minimal FROM doc_src",
@@ -382,7 +418,8 @@ ORACLE = {
     "items_simple": _with(ITEM_SRC) + _ITEMS_SIMPLE,
     "items_layout": _with(ITEM_SRC) + _items_layout_sql(),
     "items_layout_zip": _with(ITEM_SRC) + _ITEMS_ZIP,
-    "items_simple_fallback": _with(ITEM_SRC) + _ITEMS_FALLBACK,
+    "items_simple_fallback": "WITH " + INVOICE_CTES.strip() + "\n" + _ITEMS_FALLBACK,
+    "headers_minimal": _with(DOC_SRC) + _HEADERS_MINIMAL,
 }
 
 assert set(ORACLE) == set(QUERIES)
