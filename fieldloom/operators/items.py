@@ -81,12 +81,15 @@ def _lines(text: Column) -> Column:
 # --- simple profile -------------------------------------------------------------------
 
 
-def simple_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER) -> DataFrame:
-    """I1, I3, I5, I7-I16."""
+def simple_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER, keep: tuple[str, ...] = (),
+                 outer: bool = False) -> DataFrame:
+    """I1, I3, I5, I7-I16.  ``keep``: document columns carried onto every item
+    row; ``outer``: keep documents without items as one row (see ``_finish``)."""
     t = F.col("text")
+    keep = tuple(k for k in keep if k not in ("doc_key", "text"))
     sec = F.regexp_extract(t, py(SIMPLE_SECTION, "is"), 0)
     a = docs.select(
-        "doc_key", "text",
+        "doc_key", "text", *keep,
         simple_invoice_number(t, vendor_pattern).alias("invoice_number"),
         sec.alias("_sec"),
         F.upper(t).contains("CGST").alias("_has_c"),
@@ -99,11 +102,12 @@ def simple_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER) -> Data
                         & (matches(x, FALLBACK_QTY_UNIT, "i") | matches(x, FALLBACK_NUMBER)))
     b = a.select("*", F.when(F.col("_sec") == "", F.array().cast("array<string>"))
                  .otherwise(primary).alias("_primary"))
-    c = b.select("doc_key", "invoice_number", "_has_c", "_has_s", "_has_i",
+    c = b.select("doc_key", *keep, "invoice_number", "_has_c", "_has_s", "_has_i",
                  (F.size("_primary") == 0).alias("_fb"),
                  F.when(F.size("_primary") == 0, fallback).otherwise(F.col("_primary")).alias("_rows"))
-    r = c.select("doc_key", "invoice_number", "_has_c", "_has_s", "_has_i", "_fb",
-                 F.posexplode("_rows").alias("_pos", "line"))
+    gen = F.posexplode_outer if outer else F.posexplode
+    r = c.select("doc_key", *keep, "invoice_number", "_has_c", "_has_s", "_has_i", "_fb",
+                 gen("_rows").alias("_pos", "line"))
     line = F.col("line")
     fb = F.col("_fb")
     # primary-row captures
@@ -122,7 +126,7 @@ def simple_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER) -> Data
     amounts = F.regexp_extract_all(line, F.lit(py(FALLBACK_AMOUNT)), 1)
     fb_total = F.coalesce(_parse_commas(F.element_at(F.when(F.size(amounts) > 0, amounts), -1)), F.lit(0.0))
     d = r.select(
-        "doc_key", "invoice_number", "_has_c", "_has_s", "_has_i", "_fb", "_pos", "line",
+        "doc_key", *keep, "invoice_number", "_has_c", "_has_s", "_has_i", "_fb", "_pos", "line",
         F.when(fb, fb_sku).otherwise(sku).alias("item_sku_code"),
         F.when(fb, F.lit("")).otherwise(hsn).alias("hsn_code"),
         F.when(fb, fb_qty).otherwise(qty).alias("quantity"),
@@ -150,7 +154,7 @@ def simple_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER) -> Data
     description = F.when(fb, prefix).otherwise(
         F.when((desc == "") & (F.length(line) > DESCRIPTION_MIN_LEN), prefix).otherwise(desc))
     e = d.select(
-        "doc_key",
+        "doc_key", *keep, F.col("_pos").isNotNull().alias("has_item"),
         serial_number(F.col("doc_key")).alias("invoice_serial_number"),
         "invoice_number",
         (F.col("_pos") + 1).cast("int").alias("line_number"),
@@ -163,7 +167,7 @@ def simple_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER) -> Data
         F.when(i_rate != "", lt * tx / 100).otherwise(F.lit(0.0)).alias("igst_amount"),
         "line_total_value",
     )
-    return conform_items(e)
+    return _finish(e, keep, outer)
 
 
 # --- layout profile ----------------------------------------------------------------------
@@ -187,12 +191,14 @@ def split_columns(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(COLUMN_RE), 0)
 
 
-def layout_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER) -> DataFrame:
-    """I2, I4, I6, I17-I25."""
+def layout_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER, keep: tuple[str, ...] = (),
+                 outer: bool = False) -> DataFrame:
+    """I2, I4, I6, I17-I25.  ``keep`` / ``outer`` as in :func:`simple_items`."""
     t = F.col("text")
+    keep = tuple(k for k in keep if k not in ("doc_key", "text"))
     starts = [F.regexp_instr(t, F.lit(py(p, "is"))) for p in LAYOUT_SECTIONS]
     a = docs.select(
-        "doc_key", "text",
+        "doc_key", "text", *keep,
         layout_invoice_number(t, vendor_pattern).alias("invoice_number"),
         F.coalesce(*[F.when(s > 0, s) for s in starts], F.lit(0)).alias("_start"),
     )
@@ -200,7 +206,7 @@ def layout_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER) -> Data
     end = F.expr("locate('Total', text, _start)")
     sec = F.when(start == 0, F.lit("")).when(end == 0, F.expr("substring(text, _start)")) \
         .otherwise(F.expr("substring(text, _start, locate('Total', text, _start) - _start)"))
-    b = a.select("doc_key", "text", "invoice_number", sec.alias("_sec"))
+    b = a.select("doc_key", "text", *keep, "invoice_number", sec.alias("_sec"))
     lines = F.filter(_lines(F.col("_sec")), lambda x: (x != F.lit("")) & ~matches(x, LAYOUT_HEADER_LINE, "i"))
     # each line's parts once, then its numbers once, then keep the valid rows
     with_parts = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line"),
@@ -228,9 +234,10 @@ def layout_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER) -> Data
         i.alias("i"), F.lit(None).cast("string").alias("line"), F.lit(None).cast("array<string>").alias("parts"),
         F.coalesce(digits_to_double(F.get(qtys, i)), F.lit(0.0)).alias("qty"), F.lit(0.0).alias("price"),
         s.alias("zsku"), F.coalesce(F.get(hsns, i), F.lit("")).alias("zhsn")))
-    c = b.select("doc_key", "text", "invoice_number", "_sec", primary.alias("_primary"))
+    c = b.select("doc_key", "text", *keep, "invoice_number", "_sec", primary.alias("_primary"))
     rows = F.when(F.size("_primary") > 0, F.col("_primary")).when(F.col("_sec") != "", zipped)
-    r = c.select("doc_key", "invoice_number", F.explode(rows).alias("r"))
+    gen = F.explode_outer if outer else F.explode
+    r = c.select("doc_key", *keep, "invoice_number", gen(rows).alias("r"))
     is_zip = F.col("r.zsku").isNotNull()
     parts, line = F.col("r.parts"), F.col("r.line")
     wide = F.size(parts) >= 7
@@ -244,7 +251,7 @@ def layout_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER) -> Data
     line_total = F.when(wide, F.coalesce(trailing, (sub + computed).cast("double"))).otherwise(F.lit(0.0))
     hsn3 = F.get(parts, 2)
     m = r.select(
-        "doc_key", "invoice_number",
+        "doc_key", *keep, F.col("r").isNotNull().alias("has_item"), "invoice_number",
         (F.col("r.i") + 1).cast("int").alias("line_number"),
         F.when(is_zip, F.col("r.zsku")).otherwise(F.get(parts, 0)).alias("item_sku_code"),
         F.when(is_zip, F.lit("")).otherwise(F.get(parts, 1)).alias("item_description"),
@@ -261,11 +268,25 @@ def layout_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER) -> Data
         line_total.alias("line_total_value"),
     )
     out = m.withColumn("invoice_serial_number", serial_number(F.col("doc_key")))
-    return conform_items(out)
+    return _finish(out, keep, outer)
+
+
+def _finish(df: DataFrame, keep: tuple[str, ...], outer: bool) -> DataFrame:
+    """Conform to the 19-field contract; with ``outer``, a document without items
+    keeps one row whose item fields are NULL and ``has_item`` is false."""
+    out = conform_items(df, ("doc_key",) + keep + ("has_item",))
+    if not outer:
+        return out.drop("has_item")
+    from fieldloom.functions.contract import ITEM_COLUMNS
+    return out.select("doc_key", *keep, "has_item",
+                      *[F.when(F.col("has_item"), F.col(c)).alias(c) for c in ITEM_COLUMNS])
 
 
 def extract_items(docs: DataFrame, profile: str = "layout", **kw) -> DataFrame:
-    """``(doc_key, text)`` -> ``doc_key`` + 19 item fields, one row per item."""
+    """``(doc_key, text)`` -> ``doc_key`` + 19 item fields, one row per item.
+
+    ``keep=(...)`` carries document columns onto the item rows; ``outer=True``
+    keeps documents without items as one row with NULL item fields."""
     if profile == "simple":
         return simple_items(docs, **kw)
     if profile == "layout":

@@ -11,7 +11,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions.contract import contract_flags
+from fieldloom.functions.contract import HEADER_COLUMNS, contract_flags
+
+
+def records(docs: DataFrame, header_profile: str = "simple", item_profile: str = "layout",
+            header_fields: list[str] | None = None) -> DataFrame:
+    """Headers and items from ONE pass over the documents.
+
+    The header fields ride along as a struct column ``header`` while the items
+    are generated from the same text; a document without items keeps one row
+    (``has_item`` false, item fields NULL).  Relations below then need no join
+    and at most one aggregation (partial aggregation already reduces each
+    document to one row inside the task that produced it).  ``header_fields``
+    limits the carried header fields; the others are pruned by Catalyst and
+    never computed.
+    """
+    from fieldloom.operators.header import extract_headers
+    from fieldloom.operators.items import extract_items
+    h = extract_headers(docs, header_profile, keep=("text",))
+    fields = HEADER_COLUMNS if header_fields is None else header_fields
+    if not fields:
+        return extract_items(docs, item_profile, outer=True)
+    h = h.select("doc_key", "text", F.struct(*fields).alias("header"))
+    return extract_items(h, item_profile, keep=("header",), outer=True)
+
+
+def header_item_rows(rec: DataFrame) -> DataFrame:
+    """R1 from :func:`records`: left-join semantics without a join."""
+    return rec.select("doc_key", "header.invoice_document_number", "header.document_type", "line_number",
+                      "item_sku_code", "line_total_value")
+
+
+def item_counts(rec: DataFrame) -> DataFrame:
+    """R2 from :func:`records`."""
+    return rec.groupBy("doc_key").agg(F.sum(F.col("has_item").cast("bigint")).alias("n_items"))
+
+
+def first_item_of(rec: DataFrame) -> DataFrame:
+    """R3 from :func:`records`."""
+    return first_item(rec.where("has_item"))
+
+
+def reconcile_records(rec: DataFrame, tolerance: float = 0.005) -> DataFrame:
+    """X1 from :func:`records`: one aggregation, no join."""
+    lt = F.when(F.col("has_item"), F.col("line_total_value").cast("decimal(18,2)"))
+    a = rec.groupBy("doc_key").agg(
+        F.max(F.col("header.subtotal_taxable_value").cast("decimal(18,2)")).alias("subtotal"),
+        F.coalesce(F.sum(lt), F.lit(0)).cast("decimal(18,2)").alias("items_total"),
+        F.sum(F.col("has_item").cast("bigint")).alias("n_items"))
+    diff = (F.col("items_total") - F.col("subtotal")).cast("decimal(18,2)")
+    return a.select("doc_key", "subtotal", "items_total", "n_items", diff.alias("difference"),
+                    (F.abs(diff) <= F.lit(tolerance)).alias("reconciled"))
 
 
 def header_item_join(headers: DataFrame, items: DataFrame) -> DataFrame:

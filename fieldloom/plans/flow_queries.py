@@ -102,19 +102,21 @@ def _hi(spark, sf):
     return extract_headers(docs, "simple"), extract_items(docs, "layout")
 
 
+def _records(spark, sf, fields):
+    return R.records(invoices(spark, sf), "simple", "layout", header_fields=fields)
+
+
 def q_header_item_join(spark, sf):
-    h, i = _hi(spark, sf)
-    return decimals(R.header_item_join(h, i), ["line_total_value"])
+    rec = _records(spark, sf, ["invoice_document_number", "document_type"])
+    return decimals(R.header_item_rows(rec), ["line_total_value"])
 
 
 def q_items_per_doc(spark, sf):
-    h, i = _hi(spark, sf)
-    return R.items_per_doc(h, i)
+    return R.item_counts(_records(spark, sf, []))
 
 
 def q_first_item(spark, sf):
-    _, i = _hi(spark, sf)
-    return decimals(R.first_item(i), ["line_total_value"])
+    return decimals(R.first_item_of(_records(spark, sf, [])), ["line_total_value"])
 
 
 def q_header_summary(spark, sf):
@@ -128,8 +130,7 @@ def q_contract_check(spark, sf):
 
 
 def q_reconcile(spark, sf):
-    h, i = _hi(spark, sf)
-    return R.reconcile(h, i)
+    return R.reconcile_records(_records(spark, sf, ["subtotal_taxable_value"]))
 
 
 def q_coverage(spark, sf):

@@ -24,22 +24,26 @@ from fieldloom.sources.sink import output_names
 
 def status_events(headers: DataFrame, job_id: str, provider: str = "regex",
                   error_col: str | None = None) -> DataFrame:
-    """Two events per document; a per-row error never stops the batch."""
+    """Two events per document (``processing`` then ``completed`` or
+    ``failed``); a per-row error never stops the batch.  Both events come from
+    one pass over the records (``explode`` of a two-element array), so the
+    extraction upstream runs once."""
     err = F.col(error_col) if error_col else F.lit(None).cast("string")
-    base = headers.select(F.lit(job_id).alias("job_id"), F.col("doc_key").cast("string").alias("file_id"),
-                          F.col("doc_key").cast("string").alias("filename"), F.col("doc_key").alias("_k"),
-                          err.alias("error"))
-    first = base.select("job_id", "file_id", "filename", (F.col("_k") * 2).alias("seq"),
-                        F.lit("processing").alias("status"), F.lit(provider).alias("provider"),
-                        F.lit(None).cast("string").alias("invoice_csv"), F.lit(None).cast("string").alias("item_csv"),
-                        F.lit(None).cast("string").alias("error"))
-    inv_csv, item_csv = output_names("file_id")
-    done = base.select("job_id", "file_id", "filename", (F.col("_k") * 2 + 1).alias("seq"),
-                       F.when(F.col("error").isNull(), F.lit("completed")).otherwise(F.lit("failed")).alias("status"),
-                       F.lit(provider).alias("provider"),
-                       F.when(F.col("error").isNull(), inv_csv).alias("invoice_csv"),
-                       F.when(F.col("error").isNull(), item_csv).alias("item_csv"), "error")
-    return first.unionByName(done)
+    k = F.col("doc_key")
+    fid = k.cast("string")
+    inv_csv, item_csv = output_names("_fid")
+    null_s = F.lit(None).cast("string")
+    first = F.struct((k * 2).alias("seq"), F.lit("processing").alias("status"), null_s.alias("invoice_csv"),
+                     null_s.alias("item_csv"), null_s.alias("error"))
+    done = F.struct((k * 2 + 1).alias("seq"),
+                    F.when(F.col("_err").isNull(), F.lit("completed")).otherwise(F.lit("failed")).alias("status"),
+                    F.when(F.col("_err").isNull(), inv_csv).alias("invoice_csv"),
+                    F.when(F.col("_err").isNull(), item_csv).alias("item_csv"), F.col("_err").alias("error"))
+    base = headers.select("doc_key", fid.alias("_fid"), err.alias("_err"))
+    ev = base.select(F.lit(job_id).alias("job_id"), F.col("_fid").alias("file_id"), F.col("_fid").alias("filename"),
+                     F.lit(provider).alias("provider"), F.explode(F.array(first, done)).alias("e"))
+    return ev.select("job_id", "file_id", "filename", "e.seq", "e.status", "provider", "e.invoice_csv",
+                     "e.item_csv", "e.error")
 
 
 def latest_status(events: DataFrame, file: str = "file_id", seq: str = "seq",
