@@ -9,6 +9,13 @@ higher-order functions, the fallback array is chosen with ``CASE WHEN
 size(primary) = 0`` (no anti join, no aggregation), and a single
 ``posexplode`` emits the rows.  Per-row fields are then plain column
 expressions on the exploded rows.
+
+Where the row array is never NULL (simple profile), a plain ``explode`` makes
+Spark infer ``size(rows) > 0`` and push it below the projection, evaluating the
+whole row-array expression (section regex, line filters, per-line parsing) a
+second time; there the outer generator plus a NULL filter above it is used.
+The layout row array is nullable, no filter is inferred, and a plain
+``explode`` is kept (measured faster).
 """
 
 from __future__ import annotations
@@ -105,9 +112,9 @@ def simple_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER, keep: t
     c = b.select("doc_key", *keep, "invoice_number", "_has_c", "_has_s", "_has_i",
                  (F.size("_primary") == 0).alias("_fb"),
                  F.when(F.size("_primary") == 0, fallback).otherwise(F.col("_primary")).alias("_rows"))
-    gen = F.posexplode_outer if outer else F.posexplode
     r = c.select("doc_key", *keep, "invoice_number", "_has_c", "_has_s", "_has_i", "_fb",
-                 gen("_rows").alias("_pos", "line"))
+                 F.posexplode_outer("_rows").alias("_pos", "line"))
+    r = r if outer else r.where(F.col("_pos").isNotNull())
     line = F.col("line")
     fb = F.col("_fb")
     # primary-row captures

@@ -45,9 +45,9 @@ def pages_to_text(pages: DataFrame, doc: str = "doc_key", page: str = "page_no",
 def document_words(docs: DataFrame, lines_per_page: int = 50, lines_per_block: int = 10) -> DataFrame:
     """A word table ``(doc_key, page, block, line, word, value)`` derived from
     document texts (lines split on newline, words on single spaces)."""
-    lines = docs.select("doc_key", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
+    lines = docs.select("doc_key", F.posexplode_outer(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
                         .alias("ln", "line_text"))
-    words = lines.select("doc_key", "ln", F.posexplode(F.split("line_text", " ")).alias("word", "value"))
+    words = lines.select("doc_key", "ln", F.posexplode_outer(F.split("line_text", " ")).alias("word", "value"))
     return words.select(
         "doc_key",
         F.floor(F.col("ln") / lines_per_page).cast("int").alias("page"),
