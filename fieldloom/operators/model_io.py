@@ -147,18 +147,27 @@ def unwrap(responses: DataFrame) -> DataFrame:
 # --- M9-M14: normalisation -------------------------------------------------------------------
 
 
+def _parsed(df: DataFrame, col: Column, schema, name: str) -> DataFrame:
+    """Parse JSON once into a struct column.
+
+    Fields are read from that column in the next projection.  Written as
+    ``from_json(x)[field]`` instead, Catalyst prunes the schema per field access
+    and the text is parsed once per field read.
+    """
+    return df.select("*", F.from_json(col, schema).alias(name))
+
+
 def _answer_parts(df: DataFrame) -> DataFrame:
-    ans = F.from_json(F.col("answer"), ANSWER)
-    return df.select("*", ans["invoice_data"].alias("_inv_json"), ans["line_items"].alias("_items_json"),
-                     ans["error"].alias("_ans_error"),
-                     F.col("answer").rlike(r'^\s*\{[\s\S]*"invoice_data"\s*:\s*null').alias("_inv_null"))
+    a = _parsed(df, F.col("answer"), ANSWER, "_ans")
+    return a.select(*df.columns, F.col("_ans.invoice_data").alias("_inv_json"),
+                    F.col("_ans.line_items").alias("_items_json"), F.col("_ans.error").alias("_ans_error"),
+                    F.col("answer").rlike(r'^\s*\{[\s\S]*"invoice_data"\s*:\s*null').alias("_inv_null"))
 
 
 def normalise_headers(answers: DataFrame) -> DataFrame:
     """``(doc_key, provider, answer)`` -> header records (30 fields)."""
-    a = _answer_parts(answers)
-    inv = F.from_json(F.col("_inv_json"), INVOICE_DATA)
-    cols = {field: inv[name] for name, field in HEADER_MAP.items()}
+    a = _parsed(_answer_parts(answers), F.col("_inv_json"), INVOICE_DATA, "_inv")
+    cols = {field: F.col("_inv")[name] for name, field in HEADER_MAP.items()}
     for n in HEADER_NUMBERS:
         if n in cols:
             cols[n] = money(cols[n])
@@ -177,8 +186,8 @@ def normalise_headers(answers: DataFrame) -> DataFrame:
 def normalise_items(answers: DataFrame) -> DataFrame:
     """Explode ``line_items``; the response's line number wins over the
     position; one malformed element empties the document's whole list."""
-    a = _answer_parts(answers)
-    elems = F.from_json(F.col("_items_json"), T.ArrayType(_S))
+    a = _parsed(_answer_parts(answers), F.col("_items_json"), T.ArrayType(_S), "_all")
+    elems = F.col("_all")
     names = list(ITEM_MAP)
 
     def bad(e):
@@ -192,8 +201,8 @@ def normalise_items(answers: DataFrame) -> DataFrame:
     b = a.select("doc_key", F.get_json_object(F.col("_inv_json"), "$['Invoice Number']").alias("_inv_no"),
                  F.when(F.col("_ans_error").isNull() & ~F.exists(elems, bad), elems).alias("_elems"))
     c = b.select("doc_key", "_inv_no", F.posexplode("_elems").alias("_pos", "_e"))
-    item = F.from_json(F.when(F.substring(F.ltrim(F.col("_e")), 1, 1) == "{", F.col("_e")), ITEM)
-    cols = {field: item[name] for name, field in ITEM_MAP.items()}
+    c = _parsed(c, F.when(F.substring(F.ltrim(F.col("_e")), 1, 1) == "{", F.col("_e")), ITEM, "_item")
+    cols = {field: F.col("_item")[name] for name, field in ITEM_MAP.items()}
     for n in ITEM_NUMBERS:
         cols[n] = money(cols[n])
     cols["line_number"] = F.coalesce(cols["line_number"].try_cast("int"), (F.col("_pos") + 1).cast("int"))
