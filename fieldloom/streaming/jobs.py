@@ -66,10 +66,20 @@ def job_summary(events: DataFrame, job: str = "job_id", file: str = "file_id",
 def status_windows(events: DataFrame, ts: str = "ts", status: str = "event_type",
                    window: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
     """Count per status and event-time window; rows later than the
-    watermark are dropped in streaming mode (no effect on a batch frame)."""
+    watermark are dropped in streaming mode (no effect on a batch frame).
+
+    Watermarks need a zone-aware ``TIMESTAMP``; a ``TIMESTAMP_NTZ`` event time
+    is read in the session time zone for the window and the window bounds are
+    returned in the input's type.
+    """
+    ntz = dict(events.dtypes).get(ts) == "timestamp_ntz"
+    if ntz:
+        events = events.withColumn(ts, F.col(ts).cast("timestamp"))
     w = events.withWatermark(ts, watermark).groupBy(F.window(ts, window), F.col(status)).count()
-    return w.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-                    status, F.col("count").alias("n"))
+    start, end = F.col("window.start"), F.col("window.end")
+    if ntz:
+        start, end = start.cast("timestamp_ntz"), end.cast("timestamp_ntz")
+    return w.select(start.alias("window_start"), end.alias("window_end"), status, F.col("count").alias("n"))
 
 
 def stream_extract(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
