@@ -324,11 +324,10 @@ def known_party_line(text: Column, parties: list[str]) -> Column:
     """The first listed party name found in the text (ignore case) -> the
     stripped line of its first occurrence; NULL when none is found.
 
-    The dictionary is a short, fixed list compiled into the projection (its
-    size is checked), so no join is needed and nothing is broadcast per row.
+    The dictionary is a fixed list compiled into the projection, so no join
+    (containment is not an equality) and no broadcast is needed; every name is
+    checked, in order, for every document.
     """
-    if len(parties) > 256:
-        raise ValueError("known-party dictionary is limited to 256 names")
     lines = F.split(text, "\n")
     low = F.lower(text)
     out = F.lit(None).cast("string")
