@@ -115,24 +115,45 @@ def _first_index(arr: Column, pred) -> Column:
     return F.get(hits, 0)
 
 
-def name_and_address(sec: Column, keywords: list[str]) -> tuple[Column, Column]:
-    """(name, address) from a party section (see module docstring of the profile)."""
+def party_name_raw(sec: Column, keywords: list[str]) -> Column:
+    """H11 name: the ``Legal/Trade Name`` value of the section, else its first
+    line without a keyword (leading colons not yet removed)."""
     lines = lines_stripped_nonblank(sec)
-    has_name = matches(sec, P.SECTION_NAME, "i")
+
     def no_kw(x):
         return ~_any([contains_ci(x, k) for k in keywords])
     name_fb = F.coalesce(F.get(F.filter(lines, no_kw), 0), F.lit(""))
-    name = F.when(has_name, strip(extract(sec, P.SECTION_NAME, "i"))).otherwise(name_fb)
-    has_addr = matches(sec, P.SECTION_ADDRESS, "i")
-    at = _first_index(lines, lambda x: x.contains(name))
+    return F.when(matches(sec, P.SECTION_NAME, "i"), strip(extract(sec, P.SECTION_NAME, "i"))).otherwise(name_fb)
+
+
+def party_address(sec: Column, raw_name: Column) -> Column:
+    """H11 address: the ``Address`` value, else the lines after the first line
+    containing the name, up to a tax-id line, joined with ``, ``.
+
+    ``raw_name`` should be a column: it is referenced inside a lambda, where
+    Spark does not share common subexpressions.
+    """
+    lines = lines_stripped_nonblank(sec)
+    at = _first_index(lines, lambda x: x.contains(raw_name))
     after = F.slice(lines, at + 2, F.greatest(F.size(lines), F.lit(1)))
     stop = _first_index(after, lambda x: matches(x, P.TAX_LINE, "i"))
     taken = F.when(stop.isNull(), after).otherwise(F.slice(after, 1, stop))
     addr_fb = F.when(at.isNull(), F.lit("")).otherwise(F.coalesce(F.array_join(taken, ", "), F.lit("")))
-    address = F.when(has_addr, strip(extract(sec, P.SECTION_ADDRESS, "i"))).otherwise(addr_fb)
-    name = F.regexp_replace(name, py(r"^[:\s]+"), "")
-    return (F.when(sec.isNull(), F.lit("")).otherwise(name),
-            F.when(sec.isNull(), F.lit("")).otherwise(address))
+    address = F.when(matches(sec, P.SECTION_ADDRESS, "i"), strip(extract(sec, P.SECTION_ADDRESS, "i"))) \
+        .otherwise(addr_fb)
+    return F.when(sec.isNull(), F.lit("")).otherwise(address)
+
+
+def party_name(sec: Column, raw_name: Column) -> Column:
+    """H11 name with leading colons and spaces removed; '' without a section."""
+    return F.when(sec.isNull(), F.lit("")).otherwise(F.regexp_replace(raw_name, py(r"^[:\s]+"), ""))
+
+
+def name_and_address(sec: Column, keywords: list[str]) -> tuple[Column, Column]:
+    """(name, address) from a party section, as expressions (see
+    ``simple_headers`` for the staged form that computes the name once)."""
+    raw = party_name_raw(sec, keywords)
+    return party_name(sec, raw), party_address(sec, raw)
 
 
 def _any(conds: list[Column]) -> Column:
@@ -184,9 +205,16 @@ def simple_headers(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER,
         first_value(t, P.EWAY, "is").alias("eway_bill_no"),
         first_nonblank(t, P.SIMPLE_WORDS, "is").alias("amount_in_words"),
     )
-    sn, sa = name_and_address(F.col("_sec_s"), P.SUPPLIER_KEYWORDS)
-    bn, ba = name_and_address(F.col("_sec_b"), P.BUYER_KEYWORDS)
-    cn, ca = name_and_address(F.col("_sec_c"), P.CONSIGNEE_KEYWORDS)
+    a = a.select("*", party_name_raw(F.col("_sec_s"), P.SUPPLIER_KEYWORDS).alias("_rn_s"),
+                 party_name_raw(F.col("_sec_b"), P.BUYER_KEYWORDS).alias("_rn_b"),
+                 party_name_raw(F.col("_sec_c"), P.CONSIGNEE_KEYWORDS).alias("_rn_c"))
+    parties = {}
+    for k in "sbc":
+        sec, raw = F.col(f"_sec_{k}"), F.col(f"_rn_{k}")
+        parties[k] = (party_name(sec, raw), party_address(sec, raw))
+    sn, sa = parties["s"]
+    bn, ba = parties["b"]
+    cn, ca = parties["c"]
     legal_ok = matches(t, P.LEGAL_NAME, "i")
     b = a.select(
         "*",
