@@ -164,8 +164,9 @@ def _answer_parts(df: DataFrame) -> DataFrame:
                     F.col("answer").rlike(r'^\s*\{[\s\S]*"invoice_data"\s*:\s*null').alias("_inv_null"))
 
 
-def normalise_headers(answers: DataFrame) -> DataFrame:
-    """``(doc_key, provider, answer)`` -> header records (30 fields)."""
+def normalise_headers(answers: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_key, provider, answer)`` -> header records (30 fields);
+    ``keep`` carries extra response columns (e.g. ``provider``, ``error``)."""
     a = _parsed(_answer_parts(answers), F.col("_inv_json"), INVOICE_DATA, "_inv")
     cols = {field: F.col("_inv")[name] for name, field in HEADER_MAP.items()}
     for n in HEADER_NUMBERS:
@@ -176,11 +177,11 @@ def normalise_headers(answers: DataFrame) -> DataFrame:
               .when(F.col("_inv_json").isNull() & F.col("_inv_null"), F.lit(ERR_NORMALISE))
               .otherwise(F.concat(F.lit("Extracted with "), provider_name(F.col("provider")), F.lit(" LLM"))))
     usable = F.col("_ans_error").isNull()
-    out = a.select("doc_key", serial_number(F.col("doc_key")).alias("serial_number"),
+    out = a.select("doc_key", *keep, serial_number(F.col("doc_key")).alias("serial_number"),
                    *[F.when(usable, c).alias(k) for k, c in cols.items()],
                    remark.alias("additional_remarks"))
     out = out.withColumn("document_type", F.coalesce(F.col("document_type"), F.lit(P.DEFAULT_DOC_TYPE)))
-    return conform_headers(out)
+    return conform_headers(out, ("doc_key",) + tuple(keep))
 
 
 def normalise_items(answers: DataFrame) -> DataFrame:
@@ -223,10 +224,10 @@ def route_headers(docs: DataFrame, responses: DataFrame) -> DataFrame:
     Documents and responses are joined on ``doc_key`` (both sides are
     partitioned by it, so the join reuses that partitioning).
     """
-    ans = unwrap(responses)
-    norm = normalise_headers(ans.where(F.col("error").isNull()))
-    j = docs.select("doc_key", "text").join(ans.select("doc_key", "provider", "error"), "doc_key", "left")
-    j = j.join(norm, "doc_key", "left")
+    # one pass over the responses (failed answers normalise to NULL fields and
+    # are replaced by the fallback below), one join with the documents
+    norm = normalise_headers(unwrap(responses), keep=("provider", "error"))
+    j = docs.select("doc_key", "text").join(norm, "doc_key", "left")
     t = F.col("text")
     fb = minimal_fields(t, F.coalesce(F.col("provider"), F.lit("")))
     empty = F.coalesce(t, F.lit("")) == ""
