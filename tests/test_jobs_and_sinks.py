@@ -84,3 +84,17 @@ def test_status_windows_streaming_matches_batch(spark):
     # append mode emits a window once the watermark passes it; windows still open
     # at the end are not emitted, so the stream's rows are a subset of the batch's
     assert got <= want and len(got) > 0.5 * len(want)
+
+
+def test_stream_items_equal_batch(spark):
+    """The streaming job's item table equals the batch item extraction."""
+    from fieldloom.operators.items import extract_items
+    from fieldloom.plans.common import invoices
+    inv = invoices(spark, "/root/testdata/sf0.001")
+    base = S.scratch_path(spark, "stream_items")
+    inv.repartition(4, "doc_key").write.parquet(f"{base}/in")
+    J.stream_extract(spark, f"{base}/in", f"{base}/out", f"{base}/ck", max_files_per_trigger=2)
+    got = spark.read.parquet(f"{base}/out/items").drop("batch")
+    want = extract_items(inv, "layout")
+    assert got.count() == want.count() > 0
+    assert got.exceptAll(want.select(*got.columns)).count() == 0
