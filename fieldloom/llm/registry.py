@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import mixing, quality, sharding
+from fieldloom.llm import line_dedup, mixing, quality, sharding, tokens
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op8_sharding": sharding.op8_sharding,
+    "op9_token_counts": tokens.op9_token_counts,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLE = {
     "op4_mixing": mixing.OP4_SQL,
+    "op5_line_dedup": line_dedup.OP5_SQL,
     "op8_sharding": sharding.OP8_SQL,
 }
