@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import decontam, langid, line_dedup, mixing, quality, sharding, tokens
+from fieldloom.llm import decontam, langid, line_dedup, mixing, near_dedup, quality, sharding, tokens
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op3_decontamination": decontam.op3_decontamination,
     "op4_mixing": mixing.op4_mixing,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op8_sharding": sharding.op8_sharding,
     "op9_token_counts": tokens.op9_token_counts,
     "op10_quality_rules": quality.op10_quality_rules,
