@@ -241,7 +241,11 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     _, sizes, est, small = _fit(docs, ["lang", "source"])
     own = F.struct(*[F.col(c) for c in docs.columns])
     stats = with_statistics(docs.select(own.alias("_row"), "text", "lang", "source"), ["_row", "lang", "source"])
-    return judged(_grouped(stats, sizes, small), est, small).where("kept").select("_row.*")
+    verdict = judged(_grouped(stats, sizes, small), est, small)
+    # a filter on kept would be pushed below the statistics and repeat them in its condition;
+    # an outer generator stays in place and computes each of them once
+    out = verdict.select(F.explode_outer(F.when(F.col("kept"), F.array("_row"))).alias("_row"))
+    return out.where(F.col("_row").isNotNull()).select("_row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
