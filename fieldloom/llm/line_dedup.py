@@ -141,10 +141,11 @@ def text_digest() -> list[Column]:
     return [F.xxhash64(t).alias("_t1"), F.xxhash64(t, F.lit("t")).alias("_t2")]
 
 
-def doc_keys(docs: DataFrame, *keep) -> DataFrame:
-    """(k1, k2) once per document that has the key."""
+def doc_keys(docs: DataFrame) -> DataFrame:
+    """(_t1, _t2, k1, k2): each document's text digest with each of its keys once."""
     keys = F.array_distinct(F.transform(lines_of(F.col("text")), line_key))
-    return docs.select(*keep, F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("_k"))
+    return docs.select(*text_digest(), F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("_k")) \
+        .select("_t1", "_t2", "_k.k1", "_k.k2")
 
 
 # --- index ------------------------------------------------------------------
@@ -171,14 +172,16 @@ class LineIndex:
     def shard_of(self, k1: Column) -> Column:
         return F.pmod(k1, F.lit(self.shards)).cast("int")
 
-    def insert(self, docs: DataFrame) -> LineIndex:
-        return self._change(docs, 1)
+    def insert(self, keys: DataFrame) -> LineIndex:
+        """Adds documents, given as their ``doc_keys``."""
+        return self._change(keys, 1)
 
-    def delete(self, docs: DataFrame) -> LineIndex:
-        return self._change(docs, -1)
+    def delete(self, keys: DataFrame) -> LineIndex:
+        """Takes out documents, given as their ``doc_keys``."""
+        return self._change(keys, -1)
 
-    def _change(self, docs: DataFrame, sign: int) -> LineIndex:
-        delta = doc_keys(docs).groupBy("_k.k1", "_k.k2").agg((F.count("*") * sign).alias("_d"))
+    def _change(self, keys: DataFrame, sign: int) -> LineIndex:
+        delta = keys.groupBy("k1", "k2").agg((F.count("*") * sign).alias("_d"))
         old = self.refs()
         if self.version:
             moved = old.withColumn("_d", F.lit(0).cast("long")) \
@@ -232,10 +235,9 @@ class LineIndex:
         self._build_filters(keys, version)
         out.where(F.col("filter").isNotNull()).write.mode("append").parquet(self._at("filters", version))
 
-    def frequent_keys(self, docs: DataFrame) -> DataFrame:
-        """(_t1, _t2, drop): for texts with frequent lines, the keys of these lines."""
-        probes = doc_keys(docs, *text_digest()).select("_t1", "_t2", "_k.k1", "_k.k2", self.shard_of(F.col("_k.k1")).alias("shard"))
-        probes = stored(probes, "line-probes")
+    def frequent_keys(self, keys: DataFrame) -> DataFrame:
+        """(_t1, _t2, _drop): for texts with frequent lines, the keys of these lines; ``keys`` is read twice."""
+        probes = keys.withColumn("shard", self.shard_of(F.col("k1")))
         salts = probes.groupBy("shard").count().select("shard", F.ceil(F.col("count") / PROBES_PER_TASK).cast("int").alias("salts"))
         dealt = probes.join(salts, "shard").select(
             "shard", F.pmod(F.xxhash64("_t1", "k2"), F.col("salts")).cast("int").alias("salt"), "_t1", "_t2", "k1", "k2")
@@ -257,9 +259,13 @@ class LineIndex:
 
 # --- use --------------------------------------------------------------------
 
-def _with_kept(docs: DataFrame, index: LineIndex, keep: list) -> DataFrame:
+def stored_keys(docs: DataFrame) -> DataFrame:
+    return stored(doc_keys(docs), "line-keys")
+
+
+def _with_kept(docs: DataFrame, index: LineIndex, keys: DataFrame | None, keep: list) -> DataFrame:
     """``keep`` columns, n_lines, n_dropped and the kept text."""
-    drops = index.frequent_keys(docs).select(F.col("_t1").alias("_d1"), F.col("_t2").alias("_d2"), "_drop")
+    drops = index.frequent_keys(stored_keys(docs) if keys is None else keys).select(F.col("_t1").alias("_d1"), F.col("_t2").alias("_d2"), "_drop")
     rows = docs.select(*keep, "text", *text_digest())
     rows = rows.join(drops, (F.col("_t1") == F.col("_d1")) & (F.col("_t2") == F.col("_d2")), "left")
     rows = rows.select(*keep, lines_of(F.col("text")).alias("_lines"), "_drop")
@@ -270,23 +276,24 @@ def _with_kept(docs: DataFrame, index: LineIndex, keep: list) -> DataFrame:
                        F.array_join("_left", "\n").alias("_kept"))
 
 
-def line_report(docs: DataFrame, index: LineIndex) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 per document."""
-    return _with_kept(docs, index, ["doc_id"]).select(
+def line_report(docs: DataFrame, index: LineIndex, keys: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 per document; ``keys``: their ``doc_keys``, where stored already."""
+    return _with_kept(docs, index, keys, ["doc_id"]).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.encode("_kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
-def drop_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
+def drop_lines(docs: DataFrame, index: LineIndex, keys: DataFrame | None = None) -> DataFrame:
     """The documents with frequent lines taken out of their text."""
     own = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
-    out = _with_kept(docs.select(own, "text"), index, ["_row"])
+    out = _with_kept(docs.select(own, "text"), index, keys, ["_row"])
     return out.select(*[F.col("_kept").alias(c) if c == "text" else F.col(f"_row.{c}") for c in docs.columns])
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    index = LineIndex(spark, scratch(spark, "line-index")).insert(docs)
-    return line_report(docs, index)
+    keys = stored_keys(docs)
+    index = LineIndex(spark, scratch(spark, "line-index")).insert(keys)
+    return line_report(docs, index, keys)
 
 
 _KEY = "translate(trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '" + UPPER + "', '" + LOWER + "')"
