@@ -100,20 +100,21 @@ def conform_items(df: DataFrame, keep: tuple[str, ...] = ("doc_key",)) -> DataFr
     return _conform(df, ITEM_FIELDS, keep)
 
 
-def contract_flags(df: DataFrame, kind: str = "header") -> DataFrame:
+def contract_flags(df: DataFrame, kind: str = "header", only: tuple[str, ...] | None = None) -> DataFrame:
     """Add ``contract_ok`` and ``contract_error`` (first violated rule).
 
-    Required text fields must be non-NULL, required numbers must be non-NULL
-    and finite.  The reference declares these rules but never enforces them.
+    Required text fields must hold something but white space (the default that
+    stands for a missing one is blank), required numbers must be non-NULL and
+    finite.  ``only`` limits the test to some of the required fields.  The reference declares these rules but never enforces them.
     """
     fields = HEADER_FIELDS if kind == "header" else ITEM_FIELDS
     checks = []
     for name, _, typ, _, required in fields:
-        if not required:
+        if not required or (only is not None and name not in only):
             continue
         c = F.col(name)
         if isinstance(typ, T.StringType):
-            bad = c.isNull()
+            bad = F.trim(F.coalesce(c, F.lit(""))) == ""
         else:
             bad = c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf"))
         checks.append((bad, name))

@@ -10,7 +10,11 @@ DOCNO = r"[A-Za-z0-9/\-_]+"
 DATE_NUM = r"\d{1,2}[-/\.]\d{1,2}[-/\.]\d{2,4}"
 DATE_MON = r"\d{1,2}[A-Za-z]{3}\d{2,4}"
 TAXID = r"[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]{1}[Z]{1}[0-9A-Z]{1}"
-NUM_STRICT = r"\d+(?:,\d+)*(?:\.\d+)?"
+# Digit groups joined by single commas.  Written as one character class under the
+# repetition (never two commas in a row, a digit at the end): a repeated group of
+# varying length recurses once per repetition and overflows the stack on long runs.
+NUM_COMMAS = r"\d(?:[\d,](?<!,,))*(?<=\d)"
+NUM_STRICT = rf"{NUM_COMMAS}(?:\.\d+)?"
 
 # Vendor-specific document number form (a parameter of the number operators).
 VENDOR_NUMBER = r"(Mensa/[A-Z]{2}/[A-Z]{3}/\d+)"
@@ -44,7 +48,6 @@ SECTION_ADDRESS = r"Address\s*(?:1|2|Line)?\s*:?\s*([^\n]+)"
 TAX_LINE = r"GSTIN|GST No|PAN"
 LEGAL_NAME = r"Legal\s*Name\s*:?\s*([^\n]+)"
 COMPANY_WORDS = ["PRIVATE", "LIMITED", "PVT", "LTD"]
-COMPANY_SCAN_LINES = 10
 
 SUPPLIER_CONTEXT = "Supplier|Seller|From|GSTIN"
 BUYER_CONTEXT = "Buyer|Customer|Bill to|GSTIN"
@@ -83,8 +86,6 @@ ENTITY_TAIL = r"\s*:\s*(.*?)(?:\n|GSTIN|PAN|$)"
 # Role words that anchor the layout tax-id search, by role.
 LAYOUT_ID_ROLES = {"supplier": "Supplier|Seller|From", "buyer": "Buyer|Customer|Bill to",
                    "consignee": "Consignee|Ship to"}
-NEAREST_MAX_DISTANCE = 500
-ADDRESS_WINDOW = 500
 ADDRESS_PATTERNS = [
     r"Address\s*:\s*(.*?)(?:GSTIN|PAN|Phone|Email|$)",
     r"\n(.*?(?:Road|Street|Avenue|Lane|Boulevard|Drive|Place|Highway|Expressway|Freeway).*?)(?:\n\s*\n|\n[A-Z])",
@@ -92,7 +93,6 @@ ADDRESS_PATTERNS = [
     r"\n(.*?(?:\d{6}).*?)(?:\n\s*\n|\n[A-Z])",
 ]
 ADDRESS_SKIP = r"GSTIN|PAN|Phone|Email"
-ADDRESS_FALLBACK_LINES = 5
 LAYOUT_TOTAL_QTY = "Total Qty|Quantity"
 LAYOUT_SUBTOTAL = r"Sub\s*Total|Taxable\s*Value|Assessable\s*Value"
 LAYOUT_TOTAL = r"Total\s*Amount|Grand\s*Total|Invoice\s*Value"
@@ -107,13 +107,12 @@ LAYOUT_IRN = r"IRN\s*:?\s*([a-fA-F0-9]{64})"
 MINIMAL_NUMBER = [rf"Invoice\s*No\.?\s*:?\s*({DOCNO})", rf"Document\s*No\s*:?\s*({DOCNO})", VENDOR_NUMBER]
 MINIMAL_DATE = [rf"Invoice\s*Date\s*:\s*({DATE_NUM})", rf"Date\s*:\s*({DATE_NUM})",
                 rf"Date\s*:\s*({DATE_MON})", rf"Date\s*of\s*Supply\s*:\s*({DATE_NUM})"]
-MINIMAL_SUPPLIER_SCAN_LINES = 3
 MINIMAL_BUYER = [r"(?:Buyer|Bill To|Customer|Ship To|Billed To)\s*:\s*([^\n]+)",
                  r"(?:Buyer|Bill To|Customer|Ship To|Billed To)\s*Name\s*:\s*([^\n]+)",
                  r"Details\s*of\s*Receiver\s*[^:]*:\s*([^\n]+)"]
 KNOWN_PARTIES = ["Myntra", "Jabong", "India Pvt Ltd"]
 KNOWN_PARTY_FULL = r"(Myntra\s*Jabong\s*India\s*Pvt\s*Ltd)"
-KNOWN_ADDRESS = r"(SVS\s*Warehouse[^\n]+(?:\n[^\n]+){1,3})"
+KNOWN_ADDRESS = r"(SVS\s*Warehouse[^\n]+\n[^\n][\s\S]*?)(?=\n\n|\z)"  # up to a blank line
 MINIMAL_TOTAL = [rf"{lab}\s*:?\s*(?:₹|Rs\.?)?\s*(\d[\d,.]+\.\d+)" for lab in
                  [r"Total\s*Invoice\s*Value\s*(?:in\s*INR)?", r"Grand\s*Total", r"Total\s*Amount", r"Total"]]
 MINIMAL_REMARK = "Extracted with fallback method due to {provider} API failure"

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import patterns as P
 from fieldloom.functions.contract import conform_headers
-from fieldloom.functions.rx import (collapse_ws, contains_ci, extract, first_lines, first_matching,
+from fieldloom.functions.rx import (collapse_ws, contains_ci, extract, first_matching,
                                     first_nonblank, first_value, is_upper, lines_stripped_nonblank,
                                     matches, number_loose, number_strict, py, strip)
 
@@ -149,13 +149,6 @@ def party_name(sec: Column, raw_name: Column) -> Column:
     return F.when(sec.isNull(), F.lit("")).otherwise(F.regexp_replace(raw_name, py(r"^[:\s]+"), ""))
 
 
-def name_and_address(sec: Column, keywords: list[str]) -> tuple[Column, Column]:
-    """(name, address) from a party section, as expressions (see
-    ``simple_headers`` for the staged form that computes the name once)."""
-    raw = party_name_raw(sec, keywords)
-    return party_name(sec, raw), party_address(sec, raw)
-
-
 def _any(conds: list[Column]) -> Column:
     out = conds[0]
     for c in conds[1:]:
@@ -164,13 +157,13 @@ def _any(conds: list[Column]) -> Column:
 
 
 def company_name(text: Column, doc_type: Column) -> Column:
-    """First of the first 10 lines that is all caps or names a company form,
-    skipping lines that contain the document type."""
+    """First line that is all caps or names a company form, skipping lines
+    that contain the document type."""
     def ok(x):
         ux = F.upper(x)
         return ((~ux.contains(F.upper(doc_type))) & (x != F.lit(""))
                 & (is_upper(x) | _any([ux.contains(w) for w in P.COMPANY_WORDS])))
-    cand = F.filter(F.transform(first_lines(text, P.COMPANY_SCAN_LINES), strip), ok)
+    cand = F.filter(F.transform(F.split(text, "\n"), strip), ok)
     return F.coalesce(F.get(cand, 0), F.lit(""))
 
 
@@ -260,8 +253,8 @@ def layout_entity_name(text: Column, roles: list[str]) -> Column:
 
 def _layout_gstin(text: Column, role: str) -> Column:
     """H9 in its intended form: first id after the first role word; else the
-    first id after ``GSTIN``; else the id nearest (< 500 chars) to the first
-    role word, ties to the earlier id."""
+    first id after ``GSTIN``; else the id nearest to the first role word (at any
+    distance), ties to the earlier id."""
     words = P.LAYOUT_ID_ROLES[role]
     after_role = F.nullif(extract(text, rf"(?:{words}).*?({P.TAXID})", "is"), F.lit(""))
     after_label = F.nullif(extract(text, rf"GSTIN.*?({P.TAXID})", "is"), F.lit(""))
@@ -269,18 +262,21 @@ def _layout_gstin(text: Column, role: str) -> Column:
     ids = tax_ids_all(text)
     best = F.array_min(F.transform(ids, lambda m, i: F.struct(
         F.abs(F.instr(text, m) - anchor).alias("d"), i.alias("i"), m.alias("m"))))
-    nearest = F.when((anchor > 0) & (best["d"] < P.NEAREST_MAX_DISTANCE), best["m"])
+    nearest = F.when(anchor > 0, best["m"])
     return F.coalesce(after_role, after_label, nearest, F.lit(""))
 
 
 def layout_address(text: Column, name: Column) -> Column:
-    """Within 500 characters from the first occurrence of the name, the
-    first of four address patterns, else up to five following lines."""
+    """From the first occurrence of the name onward, the first of four
+    address patterns, else the lines that follow up to a blank line or a line
+    with an id, phone or email label."""
     pos = F.instr(text, name)
-    chunk = F.substring(text, pos, P.ADDRESS_WINDOW)
-    fb_lines = F.slice(F.split(chunk, "\n"), 2, P.ADDRESS_FALLBACK_LINES)
-    fb = F.array_join(F.transform(F.filter(fb_lines, lambda x: (strip(x) != F.lit("")) & ~matches(
-        x, P.ADDRESS_SKIP, "i")), strip), ", ")
+    chunk = F.substring(text, pos, F.length(text))
+    lines = F.split(chunk, "\n")
+    after = F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))
+    stop = _first_index(after, lambda x: (strip(x) == F.lit("")) | matches(x, P.ADDRESS_SKIP, "i"))
+    taken = F.when(stop.isNull(), after).otherwise(F.slice(after, 1, stop))
+    fb = F.array_join(F.transform(taken, strip), ", ")
     found = first_matching(chunk, P.ADDRESS_PATTERNS, "is", default=fb,
                            post=lambda x: collapse_ws(strip(x)))
     return F.when((name == F.lit("")) | (pos == 0), F.lit("")).otherwise(found)
@@ -340,10 +336,10 @@ def layout_headers(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER,
 
 
 def minimal_supplier_name(text: Column) -> Column:
-    """First of the first 3 lines that is non-blank and lacks ``invoice``
-    (only when the text has at least 2 lines)."""
+    """First line that is non-blank and lacks ``invoice`` (only when the
+    text has at least 2 lines)."""
     lines = F.split(text, "\n")
-    cand = F.filter(first_lines(text, P.MINIMAL_SUPPLIER_SCAN_LINES),
+    cand = F.filter(lines,
                     lambda x: (strip(x) != F.lit("")) & ~F.lower(x).contains("invoice"))
     return F.when(F.size(lines) > 1, F.coalesce(strip(F.get(cand, 0)), F.lit(""))).otherwise(F.lit(""))
 

@@ -42,26 +42,22 @@ SKU_SIMPLE = r"\b([A-Z0-9]+(?:_[A-Z0-9]+)*)\b"
 HSN_SIMPLE = r"\b(\d{4,8})\b"
 QTY_SIMPLE = rf"\b(\d+(?:\.\d+)?)\s*(?:{UOM7})\b"
 UOM_SIMPLE = rf"\b({UOM7})\b"
-PRICE_SIMPLE = rf"\b(\d+(?:,\d+)*(?:\.\d+)?)\s*(?=\s*\b(?:PER|{UOM7})\b)"
-TOTAL_AT_END = r"\b(\d+(?:,\d+)*(?:\.\d+)?)\s*$"
+PRICE_SIMPLE = rf"\b({P.NUM_STRICT})\s*(?=\s*\b(?:PER|{UOM7})\b)"
+TOTAL_AT_END = rf"\b((?>{P.NUM_STRICT}))\s*$"  # no shorter number can end the line
 PERCENT = r"(\d+(?:\.\d+)?)%"
 FALLBACK_SKIP = r"(S\.?No\.?|Sr\.?\s*No\.?|Item Code|Description)$"
 FALLBACK_CODE = r"\b[A-Z0-9_-]{6,}\b"
 FALLBACK_QTY_UNIT = rf"\b\d+\s*(?:{UOM4})\b"
-FALLBACK_NUMBER = r"\b\d+(?:,\d+)*(?:\.\d+)?\b"
-FALLBACK_AMOUNT = r"\b(\d+(?:,\d+)*(?:\.\d+)?)\b"
+FALLBACK_NUMBER = rf"\b{P.NUM_STRICT}\b"
+FALLBACK_AMOUNT = rf"\b({P.NUM_STRICT})\b"
 FALLBACK_SKU = r"\b([A-Z0-9]+(?:[_-][A-Z0-9]+)*)\b"
 FALLBACK_QTY = rf"\b(\d+(?:\.\d+)?)\s*(?:{UOM4})\b"
 FALLBACK_UOM = rf"\b({UOM4})\b"
-FALLBACK_MIN_LEN = 10
-DESCRIPTION_PREFIX = 50
-DESCRIPTION_MIN_LEN = 5
 DEFAULT_UOM = "PCS"
-LAYOUT_TOTAL_AT_END = r"(\d+(?:,\d+)*(?:\.\d+)?)$"
+LAYOUT_TOTAL_AT_END = rf"((?>{P.NUM_STRICT}))$"
 ZIP_SKU = r"([A-Z0-9]+_[A-Z0-9]+)"
 ZIP_HSN = r"(\d{8})"
 ZIP_QTY = rf"(\d+)\s*(?:{UOM3})"
-ZIP_LIMIT = 5
 ZIP_TAX_RATE = "GST_5"
 ZIP_IGST_RATE = "5.00%"
 
@@ -104,8 +100,7 @@ def simple_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER, keep: t
         F.upper(t).contains("IGST").alias("_has_i"),
     )
     primary = F.filter(_lines(F.col("_sec")), lambda x: (x != F.lit("")) & ~matches(x, SIMPLE_HEADER_LINE, "i"))
-    fallback = F.filter(_lines(t), lambda x: (F.length(x) >= FALLBACK_MIN_LEN)
-                        & ~matches(x, FALLBACK_SKIP, "i") & matches(x, FALLBACK_CODE)
+    fallback = F.filter(_lines(t), lambda x: ~matches(x, FALLBACK_SKIP, "i") & matches(x, FALLBACK_CODE)
                         & (matches(x, FALLBACK_QTY_UNIT, "i") | matches(x, FALLBACK_NUMBER)))
     b = a.select("*", F.when(F.col("_sec") == "", F.array().cast("array<string>"))
                  .otherwise(primary).alias("_primary"))
@@ -157,9 +152,7 @@ def simple_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER, keep: t
                         F.col("hsn_code"), F.lit("\\b|\\b"), F.col("quantity").cast("string"),
                         F.lit("\\b|\\b"), F.col("uom"), F.lit("\\b)"))
     desc = strip(F.call_function("regexp_extract", line, desc_pat, F.lit(1)))
-    prefix = F.substring(line, 1, DESCRIPTION_PREFIX)
-    description = F.when(fb, prefix).otherwise(
-        F.when((desc == "") & (F.length(line) > DESCRIPTION_MIN_LEN), prefix).otherwise(desc))
+    description = F.when(fb | (desc == ""), line).otherwise(desc)
     e = d.select(
         "doc_key", *keep, F.col("_pos").isNotNull().alias("has_item"),
         serial_number(F.col("doc_key")).alias("invoice_serial_number"),
@@ -186,21 +179,22 @@ def _gst_label(rate: Column) -> Column:
         .otherwise(F.concat(F.lit("GST_"), _float_text(rate)))
 
 
-# Columns of a stripped line split on runs of 2+ white-space characters
-# (``re.split(r'\s{2,}', line)``): maximal runs of non-space characters and
-# single spaces.  A literal pattern, so it is compiled once per task.
-_WSC = r"[\s\x1c-\x1f]"
-COLUMN_RE = rf"(?Ud)(?:[^\s\x1c-\x1f]|(?<!{_WSC}){_WSC}(?!{_WSC}))+"
+# Columns of a stripped line are split at runs of 2+ white-space characters.  The
+# runs become line ends first, which no line contains: the pattern has one
+# character class under its repetition, so a line of any length matches without
+# recursion, and splitting at a single literal character compiles no pattern.
+COLUMN_GAP = r"(?Ud)[\s\x1c-\x1f]{2,}"
 
 
 def split_columns(line: Column) -> Column:
     """The column parts of a stripped, non-blank line."""
-    return F.regexp_extract_all(line, F.lit(COLUMN_RE), 0)
+    return F.split(F.regexp_replace(line, COLUMN_GAP, "\n"), "\n")
 
 
 def layout_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER, keep: tuple[str, ...] = (),
-                 outer: bool = False) -> DataFrame:
-    """I2, I4, I6, I17-I25.  ``keep`` / ``outer`` as in :func:`simple_items`."""
+                 outer: bool = False, zip_limit: int | None = None) -> DataFrame:
+    """I2, I4, I6, I17-I25.  ``keep`` / ``outer`` as in :func:`simple_items`;
+    ``zip_limit``: rows of the zip fallback (all by default)."""
     t = F.col("text")
     keep = tuple(k for k in keep if k not in ("doc_key", "text"))
     starts = [F.regexp_instr(t, F.lit(py(p, "is"))) for p in LAYOUT_SECTIONS]
@@ -234,7 +228,8 @@ def layout_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER, keep: t
 
     primary = F.filter(F.transform(with_parts, numbers), ok)
     txt = F.col("text")
-    skus = F.slice(F.regexp_extract_all(txt, F.lit(py(ZIP_SKU)), 1), 1, ZIP_LIMIT)
+    skus = F.regexp_extract_all(txt, F.lit(py(ZIP_SKU)), 1)
+    skus = skus if zip_limit is None else F.slice(skus, 1, zip_limit)
     hsns = F.regexp_extract_all(txt, F.lit(py(ZIP_HSN)), 1)
     qtys = F.regexp_extract_all(txt, F.lit(py(ZIP_QTY)), 1)
     zipped = F.transform(skus, lambda s, i: F.struct(
@@ -250,12 +245,14 @@ def layout_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER, keep: t
     wide = F.size(parts) >= 7
     tax = digits_to_double(extract(line, PERCENT))
     qty, price = F.col("r.qty"), F.coalesce(F.col("r.price"), F.lit(0.0))
-    # money arithmetic in exact decimals, rounded half-even to 2 places
-    sub = price.cast("decimal(20,6)") * qty.cast("decimal(20,6)")
-    igst = F.bround(sub * tax.cast("decimal(10,4)") / F.lit(100), 2)
+    # money arithmetic in exact decimals, rounded half-even to 2 places; in doubles
+    # where a number from the text doesn't fit them (it never ends the job)
+    sub = F.try_multiply(price.try_cast("decimal(18,6)"), qty.try_cast("decimal(18,6)"))
+    exact = F.try_divide(F.try_multiply(sub, tax.try_cast("decimal(10,4)")), F.lit(100).cast("decimal(3,0)"))
+    igst = F.coalesce(F.bround(exact, 2).cast("double"), F.bround(price * qty * tax / 100, 2))
     computed = F.when(wide & tax.isNotNull() & (price > 0) & (qty > 0), igst)
     trailing = _parse_commas(extract(line, LAYOUT_TOTAL_AT_END))
-    line_total = F.when(wide, F.coalesce(trailing, (sub + computed).cast("double"))).otherwise(F.lit(0.0))
+    line_total = F.when(wide, F.coalesce(trailing, F.coalesce(sub.cast("double"), price * qty) + computed)).otherwise(F.lit(0.0))
     hsn3 = F.get(parts, 2)
     m = r.select(
         "doc_key", *keep, F.col("r").isNotNull().alias("has_item"), "invoice_number",
@@ -271,7 +268,7 @@ def layout_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER, keep: t
         .alias("tax_rate"),
         F.when(is_zip, F.lit(ZIP_IGST_RATE)).when(tax.isNotNull(), F.concat(_float_text(tax), F.lit("%")))
         .otherwise(F.lit("")).alias("igst_rate"),
-        F.coalesce(computed.cast("double"), F.lit(0.0)).alias("igst_amount"),
+        F.coalesce(computed, F.lit(0.0)).alias("igst_amount"),
         line_total.alias("line_total_value"),
     )
     out = m.withColumn("invoice_serial_number", serial_number(F.col("doc_key")))

@@ -19,7 +19,7 @@ from fieldloom.functions.contract import conform_headers, conform_items
 from fieldloom.functions.rx import money, strip
 from fieldloom.operators.header import minimal_fields, serial_number
 
-# Request text around the document, per-provider limits, names.
+# Request text around the document, characters per request, names.
 REQUEST_PREFIX = (
     "\nExtract structured data from this invoice text. Return ONLY a valid JSON with two fields:\n"
     '1. "invoice_data": object with these fields: Document Type, Invoice Number, Invoice Date, '
@@ -67,8 +67,9 @@ ITEM_MAP = {
 ITEM_NUMBERS = ["quantity", "unit_price", "discount", "cgst_amount", "sgst_amount", "igst_amount",
                 "line_total_value"]
 REMARK_OK = "Extracted with {provider} LLM"
-ERR_FORMAT = "Unexpected API response format"
-ERR_PARSE = "Failed to parse JSON"
+ERR_FORMAT = {"google": "Unexpected API response format", "openai": "Unexpected OpenAI response format"}
+ERR_PARSE = {"google": "Failed to parse JSON", "openai": "Failed to parse JSON from OpenAI response"}
+ERR_OBJECT = "Answer is not a JSON object"
 ERR_PROVIDER = "Unsupported LLM provider: "
 ERR_NORMALISE = "Error normalizing data: argument of type 'NoneType' is not iterable"
 
@@ -93,11 +94,13 @@ def provider_name(provider: Column) -> Column:
 # --- M1-M3: requests ---------------------------------------------------------------
 
 
-def build_requests(docs: DataFrame, provider: str | Column = "provider") -> DataFrame:
-    """``(doc_key, text[, provider])`` -> ``(doc_key, provider, request, error)``.
+def build_requests(docs: DataFrame, provider: str | Column = "provider", prefix: str = REQUEST_PREFIX,
+                   suffix: str = REQUEST_SUFFIX) -> DataFrame:
+    """``(doc_key, text[, provider])`` -> ``(doc_key, provider, chunk_no, n_chunks, request, error)``.
 
-    The document text is cut to the provider's limit (code points) before the
-    fixed instructions are put around it; an unknown provider gets an error
+    A text longer than the provider takes in one request (code points) becomes
+    consecutive chunks, a request row each, that together hold the whole text;
+    the instructions go around every chunk.  An unknown provider gets an error
     instead of a request (route it to a quarantine table).
     """
     prov = F.col(provider) if isinstance(provider, str) and provider in docs.columns else (
@@ -105,11 +108,15 @@ def build_requests(docs: DataFrame, provider: str | Column = "provider") -> Data
     p = F.lower(prov)
     limit = F.when(p == "google", F.lit(PROVIDER_LIMITS["google"])).when(
         p == "openai", F.lit(PROVIDER_LIMITS["openai"]))
-    req = F.concat(F.lit(REQUEST_PREFIX), F.expr("substring(text, 1, _limit)"), F.lit(REQUEST_SUFFIX))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    n = F.greatest(F.lit(1), F.ceil(F.length(text) / F.coalesce(F.col("_limit"), F.length(text) + 1))).cast("int")
+    req = F.concat(F.lit(prefix), F.substring(text, F.col("chunk_no") * F.col("_limit") + 1, F.col("_limit")), F.lit(suffix))
     return (docs.select("doc_key", "text", p.alias("provider"), limit.alias("_limit"))
-            .select("doc_key", "provider",
+            .select("*", n.alias("n_chunks"))
+            .select("*", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk_no"))
+            .select("doc_key", "provider", "chunk_no", "n_chunks",
                     F.when(F.col("_limit").isNotNull(), req).alias("request"),
-                    F.when(F.col("_limit").isNull(), F.concat(F.lit(ERR_PROVIDER), F.col("provider")))
+                    F.when(F.col("_limit").isNull(), F.concat(F.lit(ERR_PROVIDER), F.coalesce(F.col("provider"), F.lit(""))))
                     .alias("error")))
 
 
@@ -120,10 +127,14 @@ def unwrap(responses: DataFrame) -> DataFrame:
     """``(doc_key, provider, http_status, body)`` -> ``(doc_key, provider, answer, error)``.
 
     ``answer`` is the model's JSON text after fence removal; ``error`` is set
-    for non-200 statuses, unexpected envelopes and unparsable JSON.
+    for an unknown provider, non-200 statuses (with or without a body),
+    unexpected envelopes, unparsable JSON, JSON that is not an object, and an
+    answer that itself reports an ``error``.
     """
     b = F.col("body")
-    is_a = F.lower(F.col("provider")) == "google"
+    prov = F.lower(F.col("provider"))
+    is_a = prov == "google"
+    named = lambda m: F.when(prov == "openai", F.lit(m["openai"])).otherwise(F.lit(m["google"]))
     a_parts = F.get(F.from_json(b, ENVELOPE_A)["candidates"], 0)["content"]["parts"]
     a_text = F.get(F.filter(a_parts, lambda x: x["text"].isNotNull()), 0)["text"]
     b_text = F.get(F.from_json(b, ENVELOPE_B)["choices"], 0)["message"]["content"]
@@ -134,11 +145,17 @@ def unwrap(responses: DataFrame) -> DataFrame:
     s1 = responses.select("doc_key", "provider", "http_status", "body", raw.alias("_raw"))
     s2 = s1.select("*", x.alias("_clean"))
     status_ok = F.col("http_status") == 200
-    parsed = F.try_parse_json(F.col("_clean"))
-    err = (F.when(~status_ok, F.concat(F.lit("API error: "), F.col("http_status").cast("string"),
-                                        F.lit(" - "), F.col("body")))
-           .when(F.col("_raw").isNull(), F.lit(ERR_FORMAT))
-           .when(parsed.isNull(), F.lit(ERR_PARSE)))
+    s2 = s2.select("*", F.try_parse_json(F.col("_clean")).alias("_json"))
+    told = F.get_json_object("_clean", "$.error")
+    err = (F.when(~F.coalesce(prov.isin(list(ENVELOPES)), F.lit(False)),
+                  F.concat(F.lit(ERR_PROVIDER), F.coalesce(F.col("provider"), F.lit(""))))
+           .when(~F.coalesce(status_ok, F.lit(False)),
+                 F.concat(F.lit("API error: "), F.coalesce(F.col("http_status").cast("string"), F.lit("none")),
+                          F.lit(" - "), F.coalesce(F.col("body"), F.lit(""))))
+           .when(F.col("_raw").isNull(), named(ERR_FORMAT))
+           .when(F.col("_json").isNull(), named(ERR_PARSE))
+           .when(~F.col("_clean").startswith("{"), F.lit(ERR_OBJECT))
+           .when(told.isNotNull(), told))
     s3 = s2.select("doc_key", "provider", F.col("_clean").alias("answer"), err.alias("error"))
     return s3.select("doc_key", "provider",
                      F.when(F.col("error").isNull(), F.col("answer")).alias("answer"), "error")
@@ -201,7 +218,9 @@ def normalise_items(answers: DataFrame) -> DataFrame:
 
     b = a.select("doc_key", F.get_json_object(F.col("_inv_json"), "$['Invoice Number']").alias("_inv_no"),
                  F.when(F.col("_ans_error").isNull() & ~F.exists(elems, bad), elems).alias("_elems"))
-    c = b.select("doc_key", "_inv_no", F.posexplode("_elems").alias("_pos", "_e"))
+    # the outer generator: a plain one lets Spark infer size(_elems) > 0 and push it, with all
+    # of the JSON parsing that _elems stands for, into whatever join lies below
+    c = b.select("doc_key", "_inv_no", F.posexplode_outer("_elems").alias("_pos", "_e")).where(F.col("_pos").isNotNull())
     c = _parsed(c, F.when(F.substring(F.ltrim(F.col("_e")), 1, 1) == "{", F.col("_e")), ITEM, "_item")
     cols = {field: F.col("_item")[name] for name, field in ITEM_MAP.items()}
     for n in ITEM_NUMBERS:
@@ -216,6 +235,16 @@ def normalise_items(answers: DataFrame) -> DataFrame:
 # --- M15, T6, J7: routing ----------------------------------------------------------------------
 
 
+def latest_responses(responses: DataFrame, order: str = "received_at") -> DataFrame:
+    """One response per document, for callers that retry: the latest by ``order``; without
+    that column, an answer with status 200 before one without (then the larger body)."""
+    rank = F.struct(F.col(order)) if order in responses.columns else F.struct(
+        F.coalesce(F.col("http_status") == 200, F.lit(False)), F.col("body"), F.col("provider"))
+    row = F.struct(*[F.col(c) for c in responses.columns if c != "doc_key"])
+    best = responses.groupBy("doc_key").agg(F.max_by(row, rank).alias("_r"))
+    return best.select("doc_key", "_r.*")
+
+
 def route_headers(docs: DataFrame, responses: DataFrame) -> DataFrame:
     """M15 + T6: one header per document.
 
@@ -226,7 +255,7 @@ def route_headers(docs: DataFrame, responses: DataFrame) -> DataFrame:
     """
     # one pass over the responses (failed answers normalise to NULL fields and
     # are replaced by the fallback below), one join with the documents
-    norm = normalise_headers(unwrap(responses), keep=("provider", "error"))
+    norm = normalise_headers(unwrap(latest_responses(responses)), keep=("provider", "error"))
     j = docs.select("doc_key", "text").join(norm, "doc_key", "left")
     t = F.col("text")
     fb = minimal_fields(t, F.coalesce(F.col("provider"), F.lit("")))
@@ -254,7 +283,7 @@ def route_headers(docs: DataFrame, responses: DataFrame) -> DataFrame:
 
 def route_items(docs: DataFrame, responses: DataFrame) -> DataFrame:
     """Items only for documents with text and a usable answer."""
-    ans = unwrap(responses).where(F.col("error").isNull())
+    ans = unwrap(latest_responses(responses)).select("doc_key", "provider", F.when(F.col("error").isNull(), F.col("answer")).alias("answer"))
     ok_docs = docs.where(F.coalesce(F.col("text"), F.lit("")) != "").select("doc_key")
     return normalise_items(ans.join(ok_docs, "doc_key", "left_semi"))
 

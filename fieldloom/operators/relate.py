@@ -54,30 +54,17 @@ def first_item_of(rec: DataFrame) -> DataFrame:
 
 def reconcile_records(rec: DataFrame, tolerance: float = 0.005) -> DataFrame:
     """X1 from :func:`records`: one aggregation, no join."""
-    lt = F.when(F.col("has_item"), F.col("line_total_value").cast("decimal(18,2)"))
+    # amounts come from texts: one that doesn't fit is NULL, not the end of the job
+    lt = F.when(F.col("has_item"), F.col("line_total_value").try_cast("decimal(28,2)"))
     a = rec.groupBy("doc_key").agg(
-        F.max(F.col("header.subtotal_taxable_value").cast("decimal(18,2)")).alias("subtotal"),
-        F.coalesce(F.sum(lt), F.lit(0)).cast("decimal(18,2)").alias("items_total"),
+        F.max(F.col("header.subtotal_taxable_value").try_cast("decimal(28,2)")).alias("subtotal"),
+        F.coalesce(F.sum(lt), F.lit(0)).try_cast("decimal(37,2)").alias("items_total"),
         F.sum(F.col("has_item").cast("bigint")).alias("n_items"))
-    diff = (F.col("items_total") - F.col("subtotal")).cast("decimal(18,2)")
+    diff = F.try_subtract(F.col("items_total"), F.col("subtotal")).try_cast("decimal(38,2)")
     return a.select("doc_key", "subtotal", "items_total", "n_items", diff.alias("difference"),
                     (F.abs(diff) <= F.lit(tolerance)).alias("reconciled"))
 
 
-def header_item_join(headers: DataFrame, items: DataFrame) -> DataFrame:
-    """Every item with its header; documents without items keep one row."""
-    h = headers.select("doc_key", "invoice_document_number", "document_type")
-    i = items.select("doc_key", "line_number", "item_sku_code", "line_total_value")
-    return h.join(i, "doc_key", "left")
-
-
-def items_per_doc(headers: DataFrame, items: DataFrame) -> DataFrame:
-    """R2: number of items per document (0 shows)."""
-    n = items.groupBy("doc_key").agg(F.count("*").alias("n_items"))
-    return headers.select("doc_key").join(n, "doc_key", "left") \
-        .select("doc_key", F.coalesce(F.col("n_items"), F.lit(0)).alias("n_items"))
-
-
 def first_item(items: DataFrame) -> DataFrame:
     """The item with the lowest line number per document (``min_by``)."""
     s = F.struct("line_number", "item_sku_code", "line_total_value")
@@ -94,23 +81,9 @@ def header_summary(headers: DataFrame) -> DataFrame:
     return headers.select("doc_key", *SUMMARY_FIELDS)
 
 
-def contract_check(records: DataFrame, kind: str = "header") -> DataFrame:
-    """``contract_ok`` / ``contract_error`` per record."""
-    return contract_flags(records, kind)
-
-
-def reconcile(headers: DataFrame, items: DataFrame, tolerance: float = 0.005) -> DataFrame:
-    """Sum of item line totals against the header subtotal, in exact decimals."""
-    s = items.groupBy("doc_key").agg(
-        F.sum(F.col("line_total_value").cast("decimal(18,2)")).cast("decimal(18,2)").alias("items_total"),
-        F.count("*").alias("n_items"))
-    h = headers.select("doc_key", F.col("subtotal_taxable_value").cast("decimal(18,2)").alias("subtotal"))
-    j = h.join(s, "doc_key", "left")
-    items_total = F.coalesce(F.col("items_total"), F.lit(0).cast("decimal(18,2)"))
-    diff = (items_total - F.col("subtotal")).cast("decimal(18,2)")
-    return j.select("doc_key", "subtotal", items_total.alias("items_total"),
-                    F.coalesce(F.col("n_items"), F.lit(0)).alias("n_items"), diff.alias("difference"),
-                    (F.abs(diff) <= F.lit(tolerance)).alias("reconciled"))
+def contract_check(records: DataFrame, kind: str = "header", fields: tuple[str, ...] | None = None) -> DataFrame:
+    """``contract_ok`` / ``contract_error`` per record; ``fields``: the required ones to look at."""
+    return contract_flags(records, kind, fields)
 
 
 COVERAGE_FIELDS = ["invoice_document_number", "invoice_document_date", "supplier_name", "supplier_gstin",
@@ -125,18 +98,22 @@ def coverage(headers: DataFrame, fields: list[str] = COVERAGE_FIELDS) -> DataFra
 
 
 def duplicate_numbers(headers: DataFrame) -> DataFrame:
-    """Document numbers used more than once by the same supplier."""
-    return (headers.groupBy("supplier_gstin", "invoice_document_number").agg(F.count("*").alias("n"))
+    """Document numbers used more than once by the same supplier; blank and
+    default numbers are no numbers."""
+    number = F.trim(F.coalesce(F.col("invoice_document_number"), F.lit("")))
+    return (headers.where((number != "") & (number != "UNKNOWN")).groupBy("supplier_gstin", "invoice_document_number").agg(F.count("*").alias("n"))
             .where(F.col("n") > 1))
 
 
 def spend_rollup(headers: DataFrame, date_format: str = "dd-MM-yyyy") -> DataFrame:
-    """Total value by supplier and month with subtotals (``rollup``)."""
+    """Total value by supplier and month with subtotals (``rollup``); ``level``
+    (``grouping_id``) tells a subtotal from an unreadable date."""
     d = F.try_to_date(F.col("invoice_document_date"), date_format)
     h = headers.select("supplier_gstin", F.date_format(d, "yyyy-MM").alias("month"),
-                       F.col("total_invoice_value").cast("decimal(18,2)").alias("v"))
+                       F.col("total_invoice_value").try_cast("decimal(28,2)").alias("v"))
     return h.rollup("supplier_gstin", "month").agg(
-        F.sum("v").cast("decimal(18,2)").alias("total_value"), F.count("*").alias("n_docs"))
+        F.grouping_id().cast("bigint").alias("level"), F.sum("v").cast("decimal(38,2)").alias("total_value"),
+        F.count("*").alias("n_docs"))
 
 
 AGREEMENT_FIELDS = ["document_type", "invoice_document_number", "invoice_document_date", "supplier_name",

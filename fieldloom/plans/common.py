@@ -18,7 +18,7 @@ def dec(c: Column | str, scale: int = 2) -> Column:
     """Money / quantity output type: exact decimals, so value hashes do not
     depend on the last bits of a double."""
     c = F.col(c) if isinstance(c, str) else c
-    return c.cast(f"decimal(18,{scale})")
+    return c.try_cast(f"decimal(18,{scale})")
 
 
 def decimals(df: DataFrame, cols: list[str], scale: int = 2) -> DataFrame:

@@ -332,7 +332,7 @@ SELECT doc_key, CAST(doc_key AS VARCHAR) AS invoice_serial_number,
   'GST_5' AS tax_rate, '' AS cgst_rate, '' AS sgst_rate, '5.00%' AS igst_rate,
   CAST(0 AS DECIMAL(18,2)) AS cgst_amount, CAST(0 AS DECIMAL(18,2)) AS sgst_amount,
   CAST(0 AS DECIMAL(18,2)) AS igst_amount, CAST(0 AS DECIMAL(18,2)) AS line_total_value
-FROM item_src WHERE line_number <= 5"""
+FROM item_src"""
 
 _ITEMS_FALLBACK = f"""
 SELECT doc_key, line_number,
@@ -340,7 +340,7 @@ SELECT doc_key, line_number,
   CAST(qty AS DECIMAL(18,2)) AS quantity, CASE WHEN u0 = '' THEN 'PCS' ELSE u0 END AS uom,
   CAST(CAST(CASE WHEN qty > 0 AND total > 0 THEN total / qty ELSE 0.0 END AS VARCHAR) AS DECIMAL(28,8))
     AS unit_price,
-  CAST(CAST(total AS VARCHAR) AS DECIMAL(28,2)) AS line_total_value, left(line, 50) AS item_description
+  CAST(CAST(total AS VARCHAR) AS DECIMAL(28,2)) AS line_total_value, line AS item_description
 FROM (
   SELECT doc_key, line_number, line, sku0, u0,
     CASE WHEN q0 = '' THEN 1.0 ELSE CAST(q0 AS DOUBLE) END AS qty,
@@ -356,8 +356,7 @@ FROM (
         SELECT doc_key, unnest(string_split(text, chr(10))) AS line,
                generate_subscripts(string_split(text, chr(10)), 1) AS idx
         FROM (SELECT doc_key, {V.SQL["headerless"]} AS text FROM invoices) h) l) t
-    WHERE length(line) >= 10
-      AND NOT regexp_matches(line, '(?i)(S\\.?No\\.?|Sr\\.?\\s*No\\.?|Item Code|Description)$')
+    WHERE NOT regexp_matches(line, '(?i)(S\\.?No\\.?|Sr\\.?\\s*No\\.?|Item Code|Description)$')
       AND regexp_matches(line, '\\b[A-Z0-9_-]{{6,}}\\b')
       AND (regexp_matches(line, '(?i)\\b\\d+\\s*(?:PCS|NOS|EA|KG)\\b')
            OR regexp_matches(line, '\\b\\d+(?:,\\d+)*(?:\\.\\d+)?\\b'))) r) x"""

@@ -72,9 +72,20 @@ def q_status_windows(spark, sf):
 
 
 def q_bulk_status(spark, sf):
-    h = extract_headers(invoices(spark, sf), "simple")
-    ev = J.status_events(h, job_id="bulk")
-    return J.latest_status(ev, cols=("status", "invoice_csv", "item_csv"))
+    """The minimal extraction of every invoice; a document without a number fails."""
+    h = extract_headers(invoices(spark, sf), "minimal")
+    checked = R.contract_check(h, fields=("invoice_document_number",))
+    ev = J.status_events(checked, job_id="bulk", error_col="contract_error")
+    return J.latest_status(ev, cols=("status", "invoice_csv", "item_csv", "error"))
+
+
+def q_status_json_roundtrip(spark, sf):
+    """The bulk job's events written as JSON, read back for the job."""
+    h = extract_headers(invoices(spark, sf), "minimal")
+    checked = R.contract_check(h, fields=("invoice_document_number",))
+    path = S.scratch_path(spark, "status")
+    S.write_status(J.status_events(checked, job_id="bulk", error_col="contract_error"), path)
+    return S.read_status(spark, path, "bulk").select("file_id", "seq", "status", "provider", "invoice_csv", "error")
 
 
 def q_stream_extract(spark, sf):
@@ -82,7 +93,7 @@ def q_stream_extract(spark, sf):
     them micro-batch by micro-batch; the header output is read back."""
     base = S.scratch_path(spark, "stream")
     src = f"{base}/in"
-    invoices(spark, sf).repartition(8, "doc_key").write.parquet(src)
+    invoices(spark, sf).repartition("doc_key").write.parquet(src)
     J.stream_extract(spark, src, f"{base}/out", f"{base}/checkpoint", max_files_per_trigger=3)
     h = spark.read.parquet(f"{base}/out/headers").drop("batch")
     return decimals(h, HEADER_MONEY)
@@ -125,12 +136,16 @@ def q_header_summary(spark, sf):
 
 
 def q_contract_check(spark, sf):
-    d = _native(Tables(spark, sf))
-    return R.contract_check(extract_headers(d, "simple")).select("doc_key", "contract_ok", "contract_error")
+    """R5 on the parties and number of the minimal extraction: about a third lacks a number."""
+    h = extract_headers(invoices(spark, sf), "minimal")
+    return R.contract_check(h, fields=("document_type", "invoice_document_number", "supplier_name", "buyer_name",
+                                       "supplier_gstin", "total_invoice_value")) \
+        .select("doc_key", "contract_ok", "contract_error")
 
 
 def q_reconcile(spark, sf):
-    return R.reconcile_records(_records(spark, sf, ["subtotal_taxable_value"]))
+    r = R.reconcile_records(_records(spark, sf, ["subtotal_taxable_value"]))
+    return decimals(r, ["subtotal", "items_total", "difference"])
 
 
 def q_coverage(spark, sf):
@@ -138,7 +153,10 @@ def q_coverage(spark, sf):
 
 
 def q_dup_numbers(spark, sf):
-    return R.duplicate_numbers(extract_headers(invoices(spark, sf), "minimal"))
+    """X3 over all invoices and a second upload of every seventh, with its texts unchanged."""
+    docs = invoices(spark, sf)
+    again = docs.where(F.col("doc_key") % 7 == 0).withColumn("doc_key", -F.col("doc_key") - 1)
+    return R.duplicate_numbers(extract_headers(docs.unionByName(again), "minimal"))
 
 
 def q_spend_rollup(spark, sf):
@@ -159,6 +177,7 @@ QUERIES = {
     "job_summary": q_job_summary,
     "status_windows": q_status_windows,
     "bulk_status": q_bulk_status,
+    "status_json_roundtrip": q_status_json_roundtrip,
     "stream_extract": q_stream_extract,
     "csv_roundtrip": q_csv_roundtrip,
     "header_item_join": q_header_item_join,
@@ -245,10 +264,17 @@ ORACLE = {
                        "time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, "
                        "count(*) AS n FROM events GROUP BY 1, 2, 3"),
     "bulk_status": _with(DOC_SRC) + (
-        "SELECT CAST(doc_key AS VARCHAR) AS file_id, 'completed' AS status, "
-        "'invoice_level_' || CAST(doc_key AS VARCHAR) || '.csv' AS invoice_csv, "
-        "'item_level_' || CAST(doc_key AS VARCHAR) || '.csv' AS item_csv, 2 * doc_key + 1 AS last_seq, "
-        "CAST(2 AS BIGINT) AS n_events FROM doc_src"),
+        "SELECT CAST(doc_key AS VARCHAR) AS file_id, CASE WHEN doc_key % 3 = 2 THEN 'failed' ELSE 'completed' END AS status, "
+        "CASE WHEN doc_key % 3 <> 2 THEN 'invoice_level_' || CAST(doc_key AS VARCHAR) || '.csv' END AS invoice_csv, "
+        "CASE WHEN doc_key % 3 <> 2 THEN 'item_level_' || CAST(doc_key AS VARCHAR) || '.csv' END AS item_csv, "
+        "CASE WHEN doc_key % 3 = 2 THEN 'missing or non-numeric invoice_document_number' END AS error, "
+        "CAST(1 AS BIGINT) AS last_seq, CAST(2 AS BIGINT) AS n_events FROM doc_src"),
+    "status_json_roundtrip": _with(DOC_SRC) + (
+        "SELECT CAST(doc_key AS VARCHAR) AS file_id, s.seq, CASE WHEN s.seq = 0 THEN 'processing' "
+        "WHEN doc_key % 3 = 2 THEN 'failed' ELSE 'completed' END AS status, 'regex' AS provider, "
+        "CASE WHEN s.seq = 1 AND doc_key % 3 <> 2 THEN 'invoice_level_' || CAST(doc_key AS VARCHAR) || '.csv' END AS invoice_csv, "
+        "CASE WHEN s.seq = 1 AND doc_key % 3 = 2 THEN 'missing or non-numeric invoice_document_number' END AS error "
+        "FROM doc_src, (SELECT unnest([0, 1])::BIGINT AS seq) s"),
     "stream_extract": EXTRACT_ORACLE["headers_full"],
     "csv_roundtrip": EXTRACT_ORACLE["headers_full"],
     "header_item_join": _with(DOC_SRC, ITEM_SRC) + (
@@ -267,8 +293,9 @@ ORACLE = {
         "ELSE 'Tax Invoice' END AS document_type, inv_no AS invoice_document_number, "
         "strftime(o_orderdate, '%d-%m-%Y') AS invoice_document_date, vendor AS supplier_name, "
         f"client AS buyer_name, {D2('o_totalprice')} AS total_invoice_value FROM doc_src"),
-    "contract_check": ("SELECT doc_id AS doc_key, true AS contract_ok, CAST(NULL AS VARCHAR) AS contract_error "
-                       "FROM documents"),
+    "contract_check": _with(DOC_SRC) + (
+        "SELECT doc_key, doc_key % 3 <> 2 AS contract_ok, "
+        "CASE WHEN doc_key % 3 = 2 THEN 'missing or non-numeric invoice_document_number' END AS contract_error FROM doc_src"),
     "reconcile": _with(DOC_SRC, ITEM_SRC) + (
         "SELECT d.doc_key, CAST(d.taxable AS DECIMAL(18,2)) AS subtotal, CAST(sum(i.ext) AS DECIMAL(18,2)) "
         "AS items_total, count(*) AS n_items, CAST(sum(i.ext) - d.taxable AS DECIMAL(18,2)) AS difference, "
@@ -276,11 +303,12 @@ ORACLE = {
         "GROUP BY d.doc_key, d.taxable"),
     "coverage": _with(DOC_SRC) + _COVERAGE,
     "dup_numbers": _with(DOC_SRC) + (
-        f"SELECT {TAXID_SUPPLIER} AS supplier_gstin, CASE WHEN doc_key % 3 = 2 THEN '' ELSE inv_no END "
-        "AS invoice_document_number, count(*) AS n FROM doc_src GROUP BY 1, 2 HAVING count(*) > 1"),
+        f"SELECT {TAXID_SUPPLIER} AS supplier_gstin, inv_no AS invoice_document_number, CAST(2 AS BIGINT) AS n "
+        "FROM doc_src WHERE doc_key % 3 <> 2 AND doc_key % 7 = 0"),
     "spend_rollup": _with(DOC_SRC) + (
         f"SELECT {TAXID_SUPPLIER} AS supplier_gstin, strftime(o_orderdate, '%Y-%m') AS month, "
-        "CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS total_value, count(*) AS n_docs "
+        f"CAST(GROUPING({TAXID_SUPPLIER}, strftime(o_orderdate, '%Y-%m')) AS BIGINT) AS level, "
+        "CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total_value, count(*) AS n_docs "
         "FROM doc_src GROUP BY ROLLUP (1, 2)"),
     "profile_agreement": _with(DOC_SRC) + _PROFILE,
 }

@@ -17,12 +17,12 @@ def _responses(spark, sf):
 
 
 def q_model_requests(spark: SparkSession, sf: str) -> DataFrame:
-    """M1-M3 over the prose corpus: provider by key parity; text cut by provider."""
+    """M1-M3 over the prose corpus: provider by key parity; whole texts, in chunks by provider."""
     d = Tables(spark, sf).documents
     docs = d.select(F.col("doc_id").alias("doc_key"), "text",
                     F.element_at(F.array(*[F.lit(p) for p in PROVIDERS]), (F.col("doc_id") % 2 + 1).cast("int"))
                     .alias("provider"))
-    return M.build_requests(docs).select("doc_key", "provider", "request")
+    return M.build_requests(docs).select("doc_key", "provider", "chunk_no", "n_chunks", "request")
 
 
 def q_model_unwrap(spark, sf):
@@ -37,7 +37,8 @@ def q_model_headers(spark, sf):
 
 
 def q_model_items(spark, sf):
-    u = M.unwrap(_responses(spark, sf)).where(F.col("error").isNull())
+    u = M.unwrap(_responses(spark, sf))
+    u = u.select("doc_key", "provider", F.when(F.col("error").isNull(), F.col("answer")).alias("answer"))
     return decimals(M.normalise_items(u), ITEM_MONEY + ITEM_TAX_MONEY)
 
 
@@ -113,9 +114,12 @@ FROM doc_src"""
 
 ORACLE = {
     "model_requests": (
+        f"WITH d AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 10000 ELSE 8000 END AS lim FROM documents), "
+        f"c AS (SELECT *, greatest(1, (length(coalesce(text, '')) + lim - 1) // lim)::INT AS n FROM d), "
+        f"e AS (SELECT *, unnest(range(n)) AS i FROM c) "
         f"SELECT doc_id AS doc_key, CASE WHEN doc_id % 2 = 0 THEN 'google' ELSE 'openai' END AS provider, "
-        f"{_sql_str(M.REQUEST_PREFIX)} || substring(text, 1, CASE WHEN doc_id % 2 = 0 THEN 10000 ELSE 8000 END) "
-        f"|| {_sql_str(M.REQUEST_SUFFIX)} AS request FROM documents"),
+        f"i::INT AS chunk_no, n AS n_chunks, {_sql_str(M.REQUEST_PREFIX)} || substring(coalesce(text, ''), i * lim + 1, lim) "
+        f"|| {_sql_str(M.REQUEST_SUFFIX)} AS request FROM e"),
     "model_unwrap": _with(DOC_SRC) + (
         f"SELECT doc_key, {_PROV} AS provider, {_OK} AS answer_ok, "
         f"CASE WHEN {_OK} THEN inv_no END AS invoice_number FROM doc_src"),

@@ -48,13 +48,16 @@ def get_session(master: str | None = None, app: str = "fieldloom",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local tests) a
-    fresh scratch folder is created and registered.
+    Read from ``spark.checkpoint.dir``; where it is unset, a local master gets a
+    fresh scratch folder and any other an error (a machine-local folder would be
+    read back in part by other executors).
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="fieldloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():

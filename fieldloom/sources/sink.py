@@ -36,11 +36,17 @@ def _display(df: DataFrame, cols: list[str], names: dict[str, str], keep: tuple[
     return df.select(*[F.col(k) for k in keep], *[F.col(c).alias(names[c]) for c in cols])
 
 
+#: Quotes doubled, empty text as nothing, fields with line ends in quotes: what CSV readers elsewhere expect.
+_CSV = {"header": True, "encoding": "UTF-8", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "",
+        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+_CSV_READ = {**_CSV, "multiLine": True}
+
+
 def write_headers_csv(headers: DataFrame, path: str, partition_by: tuple[str, ...] = (),
                       mode: str = "overwrite") -> None:
     """Header records as CSV with the display names and a header row."""
     out = _display(headers, HEADER_COLUMNS, HEADER_DISPLAY, partition_by)
-    w = out.write.mode(mode).option("header", True).option("encoding", "UTF-8")
+    w = out.write.mode(mode).options(**_CSV)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
@@ -50,7 +56,7 @@ def write_items_csv(items: DataFrame, path: str, partition_by: tuple[str, ...] =
                     mode: str = "overwrite") -> None:
     """Item records as CSV; an empty item set still writes the 19-column header."""
     out = _display(items, ITEM_COLUMNS, ITEM_DISPLAY, partition_by)
-    w = out.write.mode(mode).option("header", True).option("encoding", "UTF-8")
+    w = out.write.mode(mode).options(**_CSV)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
@@ -58,12 +64,12 @@ def write_items_csv(items: DataFrame, path: str, partition_by: tuple[str, ...] =
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Any frame as CSV with a header row, no index column."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(**_CSV).csv(path)
 
 
 def csv_columns(spark: SparkSession, path: str) -> list[str]:
     """The column names of a CSV dataset (header row)."""
-    return spark.read.option("header", True).csv(path).columns
+    return spark.read.options(**_CSV_READ).csv(path).columns
 
 
 def _typed_schema(fields) -> T.StructType:
@@ -72,7 +78,7 @@ def _typed_schema(fields) -> T.StructType:
 
 def read_headers_csv(spark: SparkSession, path: str) -> DataFrame:
     """Read header CSV back into snake_case typed columns (plus partition columns)."""
-    df = spark.read.option("header", True).schema(_typed_schema(HEADER_FIELDS)).csv(path)
+    df = spark.read.options(**_CSV_READ).schema(_typed_schema(HEADER_FIELDS)).csv(path)
     inv = {v: k for k, v in HEADER_DISPLAY.items()}
     df = df.select(*[F.col(f"`{c}`").alias(inv.get(c, c)) for c in df.columns])
     extra = tuple(c for c in df.columns if c not in HEADER_DISPLAY)
@@ -80,7 +86,7 @@ def read_headers_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_items_csv(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.option("header", True).schema(_typed_schema(ITEM_FIELDS)).csv(path)
+    df = spark.read.options(**_CSV_READ).schema(_typed_schema(ITEM_FIELDS)).csv(path)
     inv = {v: k for k, v in ITEM_DISPLAY.items()}
     df = df.select(*[F.col(f"`{c}`").alias(inv.get(c, c)) for c in df.columns])
     extra = tuple(c for c in df.columns if c not in ITEM_DISPLAY)

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.functions.contract import contract_flags
 from fieldloom.operators.header import extract_headers
 from fieldloom.operators.items import extract_items
 from fieldloom.sources.sink import output_names
@@ -25,17 +26,18 @@ from fieldloom.sources.sink import output_names
 def status_events(headers: DataFrame, job_id: str, provider: str = "regex",
                   error_col: str | None = None) -> DataFrame:
     """Two events per document (``processing`` then ``completed`` or
-    ``failed``); a per-row error never stops the batch.  Both events come from
-    one pass over the records (``explode`` of a two-element array), so the
-    extraction upstream runs once."""
+    ``failed``); a per-row error never stops the batch.  ``seq`` orders the events
+    of a file (0, 1), so keys of any type will do.  Both events come from one pass
+    over the records (``explode`` of a two-element array), so the extraction
+    upstream, which the error column reads, runs once."""
     err = F.col(error_col) if error_col else F.lit(None).cast("string")
     k = F.col("doc_key")
     fid = k.cast("string")
     inv_csv, item_csv = output_names("_fid")
     null_s = F.lit(None).cast("string")
-    first = F.struct((k * 2).alias("seq"), F.lit("processing").alias("status"), null_s.alias("invoice_csv"),
+    first = F.struct(F.lit(0).cast("bigint").alias("seq"), F.lit("processing").alias("status"), null_s.alias("invoice_csv"),
                      null_s.alias("item_csv"), null_s.alias("error"))
-    done = F.struct((k * 2 + 1).alias("seq"),
+    done = F.struct(F.lit(1).cast("bigint").alias("seq"),
                     F.when(F.col("_err").isNull(), F.lit("completed")).otherwise(F.lit("failed")).alias("status"),
                     F.when(F.col("_err").isNull(), inv_csv).alias("invoice_csv"),
                     F.when(F.col("_err").isNull(), item_csv).alias("item_csv"), F.col("_err").alias("error"))
@@ -105,7 +107,8 @@ def stream_extract(spark: SparkSession, source_dir: str, out_dir: str, checkpoin
             it = extract_items(batch, item_profile)
             h.write.mode("overwrite").parquet(f"{out_dir}/headers/batch={batch_id}")
             it.write.mode("overwrite").parquet(f"{out_dir}/items/batch={batch_id}")
-            status_events(h, job_id).write.mode("overwrite").parquet(f"{out_dir}/status/batch={batch_id}")
+            checked = contract_flags(h, "header", ("invoice_document_number",))
+            status_events(checked, job_id, error_col="contract_error").write.mode("overwrite").parquet(f"{out_dir}/status/batch={batch_id}")
         finally:
             batch.unpersist()
 

@@ -33,8 +33,8 @@ def test_unwrap_fences_and_errors(spark):
              (6, "openai", 200, env_b(ANSWER[:40])))
     got = {r.doc_key: r.error for r in M.unwrap(r).collect()}
     assert got[1] is None and got[3] is None
-    assert got[2] == M.ERR_PARSE and got[6] == M.ERR_PARSE
-    assert got[4] == "API error: 500 - boom" and got[5] == M.ERR_FORMAT
+    assert got[2] == M.ERR_PARSE["google"] and got[6] == M.ERR_PARSE["openai"]
+    assert got[4] == "API error: 500 - boom" and got[5] == M.ERR_FORMAT["google"]
 
 
 def test_normalise_headers_and_items(spark):
@@ -66,8 +66,8 @@ def test_route_fallback_and_empty_text(spark):
 def test_requests_cut_by_provider(spark):
     d = docs(spark, "§" * 12000, "¤" * 12000).withColumn(
         "provider", F.when(F.col("doc_key") == 0, "google").otherwise("openai"))
-    r = {x.doc_key: x.request for x in M.build_requests(d).collect()}
-    assert r[0].count("§") == 10000 and r[1].count("¤") == 8000
+    r = {(x.doc_key, x.chunk_no): x.request for x in M.build_requests(d).collect()}
+    assert [r[0, i].count("§") for i in (0, 1)] == [10000, 2000] and [r[1, i].count("¤") for i in (0, 1)] == [8000, 4000]
     bad = docs(spark, "z").withColumn("provider", F.lit("other"))
     row = M.build_requests(bad).collect()[0]
     assert row.request is None and row.error.startswith(M.ERR_PROVIDER)
