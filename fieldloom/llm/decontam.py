@@ -212,7 +212,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for start in range(0, batch.num_rows, BATCH):
                     part = batch.slice(start, BATCH)
                     ids = part.column("doc_id").to_pylist()
-                    got = [(i, *m) for i, ms in zip(ids, b.matches(part.column("text").to_pylist())) for m in sorted(ms)]
+                    got = [(i, *m) for i, ms in zip(ids, b.matches(part.column("text").to_pylist())) for m in sorted(ms, key=lambda m: (m[0] is None, m))]
                     if got:
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))],
