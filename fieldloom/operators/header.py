@@ -81,12 +81,13 @@ def simple_gstin(text: Column, context: str, all_ids: Column) -> Column:
         labelled += P.BUYER_ID_LABELS
     # (a)/(b): the captured id is never empty, so one evaluation per pattern
     steps = [F.nullif(extract(text, p, "i"), F.lit("")) for p in labelled]
-    # (c): one search for the whole alternation; its leftmost match is either a
-    # bare role word (answer "") or "GSTIN ... <id>" (the id ends the match)
-    hit = extract(text, rf"({context}.*?{P.TAXID})", "is")
-    words = [w for w in context.split("|") if w != "GSTIN"]
-    ctx = F.when(hit == "", F.lit(None)).when(
-        _any([F.lower(hit) == w.lower() for w in words]), F.lit("")).otherwise(F.substring(hit, -15, 15))
+    # (c): the leftmost of a bare role word (answer "") and "GSTIN ... <id>" (its id).
+    # If no id follows the first GSTIN, none follows a later one: one look suffices,
+    # where a lazy search would rescan the rest of the text from every GSTIN.
+    words = "|".join(w for w in context.split("|") if w != "GSTIN")
+    role_at, label_at = _first_at(text, words), _first_at(text, "GSTIN")
+    found = F.when(label_at > 0, F.nullif(extract(_from(text, label_at), rf"({P.TAXID})", "i"), F.lit("")))
+    ctx = F.when((role_at > 0) & (found.isNull() | (role_at < label_at)), F.lit("")).otherwise(found)
     steps.append(ctx)
     if "GSTIN" in context:
         steps.append(F.nullif(extract(text, P.GENERIC_ID_LABEL, "i"), F.lit("")))
@@ -101,11 +102,26 @@ def simple_gstin(text: Column, context: str, all_ids: Column) -> Column:
     return F.coalesce(*steps, pos, F.lit(""))
 
 
+def _first_at(text: Column, pattern: str) -> Column:
+    """1-based place of the first match (ignore case), 0 without one."""
+    return F.regexp_instr(text, F.lit(py(pattern, "i")))
+
+
+def _from(text: Column, place: Column) -> Column:
+    return F.substring(text, place, F.length(text))
+
+
 def section(text: Column, keywords: list[str]) -> Column:
     """P11 (simple parties): text from the first keyword that matches up to
-    ``GSTIN``, ``PAN`` or a blank line; NULL when no keyword matches."""
-    vals = [F.nullif(extract(text, rf"(?:{kw}|Details of {kw}){P.SECTION_TAIL}", "is", 0), F.lit(""))
-            for kw in keywords]
+    ``GSTIN``, ``PAN`` or a blank line; NULL when no keyword matches.
+
+    The search starts at a keyword's first place and is tried there only: if no
+    end follows it, none follows a later one.
+    """
+    vals = []
+    for kw in keywords:
+        start = rf"(?:{kw}|Details of {kw})"
+        vals.append(F.nullif(extract(_from(text, _first_at(text, start)), rf"^{start}{P.SECTION_TAIL}", "is", 0), F.lit("")))
     return F.coalesce(*vals)
 
 
@@ -256,8 +272,10 @@ def _layout_gstin(text: Column, role: str) -> Column:
     first id after ``GSTIN``; else the id nearest to the first role word (at any
     distance), ties to the earlier id."""
     words = P.LAYOUT_ID_ROLES[role]
-    after_role = F.nullif(extract(text, rf"(?:{words}).*?({P.TAXID})", "is"), F.lit(""))
-    after_label = F.nullif(extract(text, rf"GSTIN.*?({P.TAXID})", "is"), F.lit(""))
+    def after(label: str) -> Column:  # the first id after the label's first place; a later place has no other
+        at = _first_at(text, label)
+        return F.when(at > 0, F.nullif(extract(_from(text, at), rf"({P.TAXID})", "i"), F.lit("")))
+    after_role, after_label = after(words), after("GSTIN")
     anchor = F.regexp_instr(text, F.lit(py(f"(?:{words})")))
     ids = tax_ids_all(text)
     best = F.array_min(F.transform(ids, lambda m, i: F.struct(

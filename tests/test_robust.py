@@ -125,3 +125,37 @@ def test_csv_quotes_commas_and_line_ends(spark, tmp_path):
     assert sorted(r["Supplier Name"] for r in rows) == sorted(names)
     S.write_csv(h.select("doc_key"), str(tmp_path / "any"))
     assert S.csv_columns(spark, str(tmp_path / "any")) == ["doc_key"]
+
+
+ID = "27ABCDE1234F1Z5"
+
+
+@pytest.mark.parametrize("text", [
+    f"x GSTIN {ID}", f"From x GSTIN {ID}", "GSTIN none here", f"GSTIN a From b {ID}", f"{ID} GSTIN", "from only",
+    f"GSTIN GSTIN {ID} seller", f"seller GSTIN {ID}", "", f"gstin\n{ID.lower()}",
+])
+def test_context_search_equals_the_one_pattern(spark, text):
+    import re
+
+    from fieldloom.functions import patterns as P
+    from fieldloom.operators.header import simple_gstin
+    m = re.search(rf"({P.SUPPLIER_CONTEXT}.*?{P.TAXID})", text, re.I | re.S)
+    want = None if not m else "" if m[1].lower() in ("supplier", "seller", "from") else m[1][-15:]
+    labelled = [re.search(p, text, re.I) for p in [*P.SUPPLIER_ID_LABELS]]
+    if not any(labelled) and want is not None:
+        df = docs(spark, text).select(simple_gstin(F.col("text"), P.SUPPLIER_CONTEXT, F.array().cast("array<string>")).alias("g"))
+        assert df.collect()[0].g == want
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    def took(n):
+        d = docs(spark, "from GSTIN x " * n)
+        t = time.perf_counter()
+        extract_headers(d, "simple").collect()
+        extract_headers(d, "layout").collect()
+        return time.perf_counter() - t
+    took(100)
+    small, large = took(5_000), took(40_000)
+    assert large < 10 + 12 * small
