@@ -45,8 +45,10 @@ def q_first_engine_text(spark, sf):
 
 
 def q_admit_documents(spark, sf):
-    p = Tables(spark, sf).pages.select("page_id", F.floor(F.col("page_id") / 25).cast("bigint").alias("job_id"),
-                                       F.col("url").alias("path"))
+    """Pages as uploads in jobs of 25; one page of every other job has no ``.pdf`` name."""
+    job = F.floor(F.col("page_id") / 25).cast("bigint")
+    named = (job % 2 == 0) | (F.col("page_id") % 25 != 3)
+    p = Tables(spark, sf).pages.select("page_id", job.alias("job_id"), F.concat("url", F.when(named, ".pdf").otherwise("")).alias("path"))
     return A.admit(p).select("page_id", "job_id", "file_id", "filename", "admitted", "batch_admitted")
 
 
@@ -143,6 +145,19 @@ def q_contract_check(spark, sf):
         .select("doc_key", "contract_ok", "contract_error")
 
 
+def q_hostile_documents(spark, sf):
+    """Whole prose and web page texts, each pressed into one line; every other one has a number in
+    front.  Bad rows carry an error, none ends the job."""
+    t = Tables(spark, sf)
+    docs = t.documents.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text") \
+        .unionByName(t.pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text")))
+    line = F.translate(F.coalesce("text", F.lit("")), "\n", " ")
+    front = F.when(F.col("id") % 2 == 0, F.concat(F.lit("Document No: H"), F.col("id").cast("string"), F.lit("\n"))).otherwise("")
+    h = extract_headers(docs.select(F.concat_ws("-", "kind", "id").alias("doc_key"), F.concat(front, line).alias("text")), "minimal")
+    return R.contract_check(h, fields=("invoice_document_number",)) \
+        .select("doc_key", "invoice_document_number", "contract_ok", "contract_error")
+
+
 def q_reconcile(spark, sf):
     r = R.reconcile_records(_records(spark, sf, ["subtotal_taxable_value"]))
     return decimals(r, ["subtotal", "items_total", "difference"])
@@ -185,6 +200,7 @@ QUERIES = {
     "first_item": q_first_item,
     "header_summary": q_header_summary,
     "contract_check": q_contract_check,
+    "hostile_documents": q_hostile_documents,
     "reconcile": q_reconcile,
     "coverage": q_coverage,
     "dup_numbers": q_dup_numbers,
@@ -216,9 +232,10 @@ FROM documents d LEFT JOIN conv_text o ON d.doc_id = o.doc_key"""
 
 _ADMIT = """
 WITH p AS (
-  SELECT page_id, page_id // 25 AS job_id, url,
-         string_split(url, '/')[-1] AS filename, ends_with(string_split(url, '/')[-1], '.pdf') AS admitted
-  FROM pages)
+  SELECT page_id, job_id, url, string_split(url, '/')[-1] AS filename,
+         ends_with(string_split(url, '/')[-1], '.pdf') AS admitted
+  FROM (SELECT page_id, page_id // 25 AS job_id,
+               url || CASE WHEN (page_id // 25) % 2 = 0 OR page_id % 25 <> 3 THEN '.pdf' ELSE '' END AS url FROM pages) u)
 SELECT page_id, job_id, sha256(CAST(job_id AS VARCHAR) || '|' || url) AS file_id, filename, admitted,
        bool_and(admitted) OVER (PARTITION BY job_id) AS batch_admitted
 FROM p"""
@@ -296,6 +313,11 @@ ORACLE = {
     "contract_check": _with(DOC_SRC) + (
         "SELECT doc_key, doc_key % 3 <> 2 AS contract_ok, "
         "CASE WHEN doc_key % 3 = 2 THEN 'missing or non-numeric invoice_document_number' END AS contract_error FROM doc_src"),
+    "hostile_documents": (
+        "SELECT kind || '-' || CAST(id AS VARCHAR) AS doc_key, CASE WHEN id % 2 = 0 THEN 'H' || CAST(id AS VARCHAR) ELSE '' END "
+        "AS invoice_document_number, id % 2 = 0 AS contract_ok, "
+        "CASE WHEN id % 2 <> 0 THEN 'missing or non-numeric invoice_document_number' END AS contract_error "
+        "FROM (SELECT 'document' AS kind, doc_id AS id FROM documents UNION ALL SELECT 'page', page_id FROM pages) d"),
     "reconcile": _with(DOC_SRC, ITEM_SRC) + (
         "SELECT d.doc_key, CAST(d.taxable AS DECIMAL(18,2)) AS subtotal, CAST(sum(i.ext) AS DECIMAL(18,2)) "
         "AS items_total, count(*) AS n_items, CAST(sum(i.ext) - d.taxable AS DECIMAL(18,2)) AS difference, "
