@@ -36,7 +36,7 @@ def q_words_to_text(spark, sf):
 
 def q_prefer_text(spark, sf):
     t = Tables(spark, sf)
-    return A.prefer_text(_native(t), A.pages_to_text(_conv_pages(t)))
+    return A.prefer_text_of_pages(_native(t), _conv_pages(t))
 
 
 def q_first_engine_text(spark, sf):
@@ -69,6 +69,12 @@ def q_job_summary(spark, sf):
     return J.job_summary(e, statuses=STATUSES)
 
 
+def q_job_files(spark, sf):
+    e = Tables(spark, sf).events.select(F.to_date("ts").alias("job_id"), F.col("user_id").alias("file_id"), "ts",
+                                        F.col("event_type").alias("status"))
+    return J.job_files(e, seq="ts")
+
+
 def q_status_windows(spark, sf):
     return J.status_windows(Tables(spark, sf).events)
 
@@ -190,6 +196,7 @@ QUERIES = {
     "admit_documents": q_admit_documents,
     "job_status_latest": q_job_status_latest,
     "job_summary": q_job_summary,
+    "job_files": q_job_files,
     "status_windows": q_status_windows,
     "bulk_status": q_bulk_status,
     "status_json_roundtrip": q_status_json_roundtrip,
@@ -277,6 +284,8 @@ ORACLE = {
                           "count(*) AS n_events FROM events GROUP BY user_id"),
     "job_summary": (f"SELECT CAST(ts AS DATE) AS job_id, count(DISTINCT user_id) AS n_files, count(*) AS n_events, "
                     f"{_STATUS_COUNTS} FROM events GROUP BY 1"),
+    "job_files": ("SELECT CAST(ts AS DATE) AS job_id, user_id AS file_id, arg_max(event_type, ts) AS status, "
+                  "count(*) AS n_events FROM events GROUP BY 1, 2"),
     "status_windows": ("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, "
                        "time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, "
                        "count(*) AS n FROM events GROUP BY 1, 2, 3"),

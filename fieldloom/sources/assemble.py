@@ -83,6 +83,12 @@ def prefer_text(native: DataFrame, ocr: DataFrame, min_chars: int = OCR_MIN_CHAR
     return long_.unionByName(chosen)
 
 
+def prefer_text_of_pages(native: DataFrame, pages: DataFrame, min_chars: int = OCR_MIN_CHARS) -> DataFrame:
+    """T4 from OCR pages: only the pages of documents with a short native text are assembled."""
+    short = native.where(F.length(strip(F.coalesce(F.col("text"), F.lit("")))) < min_chars).select("doc_key")
+    return prefer_text(native, pages_to_text(pages.join(short, "doc_key", "left_semi")), min_chars)
+
+
 def first_nonempty_text(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     """T5: first non-empty of two extraction engines, else ''."""
     p = primary.select("doc_key", F.col("text").alias("_a"))

@@ -65,6 +65,12 @@ def job_summary(events: DataFrame, job: str = "job_id", file: str = "file_id",
     return events.groupBy(job).agg(*aggs)
 
 
+def job_files(events: DataFrame, job: str = "job_id", file: str = "file_id", status: str = "status",
+              seq: str = "seq") -> DataFrame:
+    """The files of each job with their latest status, one row per file."""
+    return events.groupBy(job, file).agg(F.max_by(status, seq).alias(status), F.count("*").alias("n_events"))
+
+
 def status_windows(events: DataFrame, ts: str = "ts", status: str = "event_type",
                    window: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
     """Count per status and event-time window; rows later than the
