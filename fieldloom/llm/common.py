@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Callable
 
@@ -27,15 +29,33 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/fieldloom-llm/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back; ``options`` are the writer's.
 
     Cuts the lineage and lets several consumers share one computation; a lost
     executor costs nothing, as the files are not on it.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path  # for release()
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete stored ``tables`` that nothing reads any more, and have Spark delete the shuffle
+    files of steps that are no longer referred to.
+
+    Spark's cleaner works when the driver collects its garbage, which may be long after; the
+    second collection is for what the first one's finalizers and the listeners let go.
+    """
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for _ in range(2):
+        time.sleep(0.4)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

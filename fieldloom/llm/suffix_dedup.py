@@ -8,11 +8,13 @@ the doubling runs over content-defined blocks:
     the smallest hash is a block start.  Equal strings of ``LENGTH`` bytes have the
     same starts inside, at least two of them.  A block reaches from its start to
     ``GRAM`` bytes into the next; its first rank is a hash of its bytes.
- 2. Doubling: positions with a rank of their own drop out.  The others pair
-    their rank with that of the block sequence that follows, and the pairs are
-    ranked anew, over twice as many blocks each round, until a position is
+ 2. Doubling: positions with a rank of their own drop out.  The others join
+    their rank with those of the block sequences that follow, and these tuples are
+    ranked anew, at offsets eight times as far each round, until a position is
     unique or its sequence is ``LENGTH`` bytes long.  A sequence that long which
-    still is not unique is repeated as a whole.
+    still is not unique is repeated as a whole.  (It is ranked at ``GROWN`` bytes
+    as well, so that the windows inside a long repeat all lie in one.  Eight instead of two: a round
+    costs a shuffle by text and two by rank, and most sequences need four blocks.)
  3. Ends: a repeated string may reach beyond whole blocks, by less than a block.
     Windows of ``LENGTH`` bytes all of whose blocks are repeated, but that no
     repeated sequence holds, are compared by their own hashes, with each other
@@ -43,12 +45,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import documents, stored, text_of
+from fieldloom.llm.common import documents, release, stored, text_of
 
 LENGTH = 200
-GRAM = 32                   # a power of two
-RUN = 80                    # 2 * RUN + GRAM <= LENGTH + 1: two starts inside every window
+GRAM = 16                   # a power of two
+RUN = 92                    # 2 * RUN + GRAM <= LENGTH + 1: two starts inside every window
+FOLLOWERS = 7               # sequences that a round appends to each, at most
+GROWN = LENGTH + RUN - 1    # a repeated sequence this long holds every window that starts in its first block
 CHUNK = 1 << 23
+PASSES = 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -152,38 +157,76 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return stored(one.select(F.monotonically_increasing_id().alias("id"), "_t1", "_t2", "copies", "_b.*"), "suffix-blocks")
 
 
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each short sequence of a text with up to ``FOLLOWERS`` that follow it, as far as ``LENGTH`` and ``GROWN`` bytes."""
+    for batch in batches:
+        out: list[tuple] = []
+        for row in range(batch.num_rows):
+            seq = batch.column("seq")[row].values
+            a, e, r = (seq.field(c).to_numpy(zero_copy_only=False) for c in "aer")
+            order = np.argsort(a)
+            a, e, r = a[order].astype(np.int64), e[order].astype(np.int64), r[order].view(np.uint64)
+            after = np.searchsorted(a, e - GRAM)  # the next sequence starts GRAM bytes before this one's end
+            after[a[np.minimum(after, len(a) - 1)] != e - GRAM] = -1
+            at = here = np.flatnonzero(e - a < LENGTH)
+            name, end = r[at], e[at]
+            found = []
+            for goal in (LENGTH, GROWN):
+                for _ in range(FOLLOWERS):
+                    grow = end - a[at] < goal
+                    keep = ~grow | (after[here] >= 0)  # a sequence with a unique follower is unique
+                    at, here, name, end, grow = at[keep], here[keep], name[keep], end[keep], grow[keep]
+                    here = np.where(grow, after[here], here)
+                    name = np.where(grow, _mix(name * _ODD + r[here]), name)
+                    end = e[here]
+                found.append((a[at], end, name.view(np.int64)))
+                more = (end - a[at] >= LENGTH) & (end - a[at] < GROWN)
+                at, here, name, end = at[more], here[more], name[more], end[more]
+            out.append(tuple(map(np.concatenate, zip(*found))))
+        cols = list(zip(*out)) if out else [()] * 3
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *[_lists(c, d) for c, d in zip(cols, (np.int32, np.int32, np.int64))]],
+                                         names=["id", "a", "e", "r"])
+
+
 def repeated_sequences(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Repeated blocks, and repeated block sequences of ``LENGTH`` bytes or more: (id, a, e, r)."""
-    each = blocks.select("id", F.explode(F.arrays_zip("a", "e", "r")).alias("_b")).select("id", "_b.a", "_b.e", "_b.r")
-    ranks = blocks.select(F.explode("r").alias("r")).groupBy("r").count().where("count > 1").select("r")
-    level = first = stored(each.join(ranks, "r").select("id", "a", "e", "r"), "suffix-ranks")
+    """Repeated blocks, and repeated block sequences of ``LENGTH`` bytes or more: (id, a, e, r), both stored.
+
+    ``blocks`` is deleted."""
+    rows = lambda t: t.select("id", F.explode(F.arrays_zip("a", "e", "r")).alias("_b")).select("id", "_b.a", "_b.e", "_b.r")
+    repeated = lambda t: t.select(F.explode("r").alias("r")).groupBy("r").count().where("count > 1").select("r")
+    first = stored(rows(blocks).join(repeated(blocks), "r").select("id", "a", "e", "r"), "suffix-ranks")
+    level = first
     short = F.col("e") - F.col("a") < LENGTH
-    long = first.where(~short)
-    while True:
-        left = level.where(short)
-        if left.isEmpty():
-            return first, long
-        # the sequence that follows starts GRAM bytes before this one's end
-        after = level.select(F.col("id").alias("_id"), F.col("a").alias("_a"), F.col("e").alias("_e"), F.col("r").alias("_r"))
-        pairs = left.join(after, (F.col("id") == F.col("_id")) & (F.col("e") - GRAM == F.col("_a"))) \
-            .select("id", "a", F.col("_e").alias("e"), "r", F.col("_r").alias("r2"))
-        again = pairs.groupBy("r", "r2").count().where("count > 1").select("r", "r2")
-        ranked = stored(pairs.join(again, ["r", "r2"]).select("id", "a", "e", F.xxhash64("r", "r2").alias("r")), "suffix-ranks")
+    long, spark, done = first.where(~short), blocks.sparkSession, []
+    release(spark, blocks)
+    while not level.where(short).isEmpty():
+        if level is not first:  # only texts that still have short sequences
+            level = level.join(level.where(short).select("id").distinct(), "id", "left_semi")
+        texts = level.repartition("id").groupBy("id").agg(F.collect_list(F.struct("a", "e", "r")).alias("seq"))
+        grown = stored(texts.mapInArrow(_followed, "id long, a array<int>, e array<int>, r array<long>"), "suffix-grown")
+        ranked = stored(rows(grown).join(repeated(grown), "r").select("id", "a", "e", "r"), "suffix-ranks")
         long = long.unionByName(ranked.where(~short))
+        release(spark, grown)
+        done.append(ranked)
         # sequences that are long enough stay as what may follow others
         level = ranked.unionByName(level.where(~short))
+    long = stored(long, "suffix-long")
+    release(spark, *done)
+    return first, long
 
 
-def _spans_per_text(blocks: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, spans): per text the repeated spans of bytes, not merged."""
+def _spans_per_text(blocks: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, spans): per text the repeated spans of bytes, not merged; ``texts``: id, _t1, _t2."""
+    spark = docs.sparkSession
     first, long = repeated_sequences(blocks)
-    long = stored(long, "suffix-long")
     chosen = long.groupBy("r").agg(F.min(F.struct("id", "a", "e")).alias("_m")).select("_m.*")  # one representative each
     marks = first.select("id", F.lit(0).alias("kind"), "a", "e") \
         .unionByName(long.select("id", F.lit(1).alias("kind"), "a", "e")) \
         .unionByName(chosen.select("id", F.lit(2).alias("kind"), "a", "e"))
-    marks = marks.groupBy("id").agg(*[F.collect_list(F.when(F.col("kind") == k, F.struct("a", "e"))).alias(f"s{k}") for k in (0, 1, 2)]) \
+    marks = marks.repartition("id").groupBy("id").agg(*[F.collect_list(F.when(F.col("kind") == k, F.struct("a", "e"))).alias(f"s{k}") for k in (0, 1, 2)]) \
         .select("id", *[F.col(f"s{k}.{c}").alias(f"{c}{k}") for k in (0, 1, 2) for c in ("a", "e")])
+    marks = stored(marks, "suffix-marks")
+    release(spark, first, long)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -204,13 +247,22 @@ def _spans_per_text(blocks: DataFrame, docs: DataFrame) -> DataFrame:
                 [pa.array(cols[0], pa.int64()), _lists(cols[1], np.int32), _lists(cols[2], np.int64), _lists(cols[3], np.int64),
                  _lists(cols[4], np.int32), _lists(cols[5], np.int32)], names=["id", "p", "h", "others", "a", "e"])
 
-    texts = _texts(docs).groupBy("_t1", "_t2").agg(F.first("text").alias("text"))
-    work = texts.join(blocks.select("id", "_t1", "_t2").join(marks, "id"), ["_t1", "_t2"]).drop("_t1", "_t2")
+    one = _texts(docs).groupBy("_t1", "_t2").agg(F.first("text").alias("text"))
+    work = one.join(texts.select("id", "_t1", "_t2").join(marks, "id"), ["_t1", "_t2"]).drop("_t1", "_t2")
     found = stored(work.mapInArrow(run, "id long, p array<int>, h array<long>, others array<long>, a array<int>, e array<int>"), "suffix-windows")
-    open_ = found.select("id", F.explode(F.arrays_zip("p", "h")).alias("_w")).select("id", "_w.p", "_w.h")
-    every = found.select(F.explode(F.concat("h", "others")).alias("h"))
-    again = every.groupBy("h").count().where("count > 1").select("h")
-    ends = open_.join(again, "h").groupBy("id").agg(F.collect_list("p").alias("_p"))
+    del work, one
+    release(spark, marks)
+    hits = None
+    for part in range(PASSES):  # of the hashes, one after another, to halve what is shuffled at once
+        here = F.pmod(F.col("h"), F.lit(PASSES)) == part
+        ends = found.select("id", F.explode(F.arrays_zip("p", "h")).alias("_w")).select("id", "_w.p", "_w.h").where(here)
+        every = found.select(F.explode(F.concat("h", "others")).alias("h")).where(here)
+        again = every.groupBy("h").count().where("count > 1").select("h")
+        got = stored(ends.join(again, "h").select("id", "p"), "suffix-ends")
+        hits = got if hits is None else hits.unionByName(got)
+        del ends, every, again
+        release(spark)
+    ends = hits.groupBy("id").agg(F.collect_list("p").alias("_p"))
     span = lambda a, e: F.struct(a.cast("int").alias("a"), e.cast("int").alias("e"))
     spans = found.select("id", F.arrays_zip("a", "e").alias("_s")).join(ends, "id", "left")
     return spans.select("id", F.concat(F.transform("_s", lambda s: span(s["a"], s["e"])), F.coalesce(
@@ -232,8 +284,9 @@ def _cut(data: bytes, a: np.ndarray, e: np.ndarray) -> tuple[int, int, bytes]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) per document."""
     blocks = _blocks(docs)
-    spans = _spans_per_text(blocks, docs)
-    cuts = blocks.select("id", "_t1", "_t2", (F.col("copies") > 1).alias("whole")).join(spans, "id", "left") \
+    texts = stored(blocks.select("id", "_t1", "_t2", "copies"), "suffix-texts")
+    spans = _spans_per_text(blocks, texts, docs)
+    cuts = texts.select("id", "_t1", "_t2", (F.col("copies") > 1).alias("whole")).join(spans, "id", "left") \
         .where("whole OR size(spans) > 0").select(F.col("_t1").alias("_x1"), F.col("_t2").alias("_x2"), "whole",
                                                   F.when(~F.col("whole"), F.col("spans.a")).alias("a"), F.when(~F.col("whole"), F.col("spans.e")).alias("e"))
 
