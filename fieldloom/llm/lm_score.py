@@ -30,20 +30,21 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import documents, stored
+from fieldloom.llm.common import documents, release, stored
 
 ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 BATCH_DOCS = 512
-RANGE_BYTES = 12 << 20
+RANGE_BYTES = 8 << 20
 CHUNK = 4 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -91,12 +92,12 @@ class Words:
             at = end
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
-    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Word hashes of a batch and the place of each word in its text."""
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word hashes of a batch, the place of each word in its text, and the words per text."""
         each = [self.of(t.encode()) for t in texts]
         sizes = np.array(list(map(len, each)), np.int64)
         flat = np.concatenate([np.zeros(0, np.uint64), *each])
-        return flat, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return flat, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes
 
 
 def grams(words: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,13 +109,37 @@ def grams(words: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return last, h
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Counts in the smallest integer type that holds them, named by the first byte."""
+    kind = np.min_scalar_type(int(x.max()))
+    return kind.char.encode() + x.astype(kind).tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.dtype(x[:1].decode()), offset=1).astype(np.int64)
+
+
+@contextmanager
+def _arrow_rows(spark: SparkSession, n: int):
+    """Python tasks get ``n`` rows at a time: a row is a batch of documents here."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _batches(docs: DataFrame) -> DataFrame:
-    """One row per batch of documents: batch, doc_ids, texts, n_bytes."""
+    """One row per batch of documents: batch, doc_ids, texts, n_bytes, n_words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(ids: list, texts: list, size: int) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [pa.array([uuid.uuid4().bytes], pa.binary()), pa.array([ids], pa.list_(pa.int64())),
-                 pa.array([texts], pa.list_(pa.string())), pa.array([size], pa.int64())], names=["batch", "doc_ids", "texts", "n_bytes"])
+                 pa.array([texts], pa.list_(pa.string())), pa.array([size], pa.int64()),
+                 pa.array([sum(len(t.encode().split()) for t in texts)], pa.int64())],
+                names=["batch", "doc_ids", "texts", "n_bytes", "n_words"])
 
         ids: list = []
         texts: list = []
@@ -132,8 +157,8 @@ def _batches(docs: DataFrame) -> DataFrame:
             yield packed(ids, texts, size)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "batch binary, doc_ids array<long>, texts array<string>, n_bytes long")
-    return stored(rows, "lm-batches")  # from here on a batch keeps its id
+        run, "batch binary, doc_ids array<long>, texts array<string>, n_bytes long, n_words long")
+    return stored(rows, "lm-batches", **{"parquet.block.size": 8 << 20})  # from here on a batch keeps its id
 
 
 def _counted(batches: DataFrame, k: int, ranges: int) -> DataFrame:
@@ -142,7 +167,7 @@ def _counted(batches: DataFrame, k: int, ranges: int) -> DataFrame:
         words = Words()
         for b in rows:
             for row in range(b.num_rows):
-                distinct, n = np.unique(grams(*words.batch(b.column("texts")[row].as_py()), k)[1], return_counts=True)
+                distinct, n = np.unique(grams(*words.batch(b.column("texts")[row].as_py())[:2], k)[1], return_counts=True)
                 if not len(distinct):
                     continue
                 part = ((distinct >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
@@ -159,7 +184,7 @@ def _counted(batches: DataFrame, k: int, ranges: int) -> DataFrame:
         _, at = np.unique(np.concatenate(hashes), return_inverse=True)
         totals = np.bincount(at, weights=n)[at].astype(np.int64)
         ends = np.cumsum(list(map(len, hashes)))
-        out = [totals[e - len(h):e].tobytes() for h, e in zip(hashes, ends)]
+        out = [_packed(totals[e - len(h):e]) for h, e in zip(hashes, ends)]
         return pa.table({"k": pa.array([k] * len(out), pa.int32()), "batch": table.column("batch"),
                          "range": table.column("range"), "totals": pa.array(out, pa.binary())})
 
@@ -169,27 +194,23 @@ def _counted(batches: DataFrame, k: int, ranges: int) -> DataFrame:
 
 def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
     """doc_id, n_words, log_score (sum of ln S), mean_score (per word) for each document."""
+    spark = docs.sparkSession
     batches = _batches(docs)
-    total = batches.agg(F.sum("n_bytes")).first()[0] or 0
-    ranges = max(1, math.ceil(total / RANGE_BYTES))
+    size = batches.agg(F.sum("n_bytes"), F.sum("n_words")).first()
+    ranges, n_words = max(1, math.ceil((size[0] or 0) / RANGE_BYTES)), size[1] or 0
     answers = None
     for k in range(1, order + 1):
-        a = _counted(batches, k, ranges)
+        with _arrow_rows(spark, 4):
+            a = _counted(batches, k, ranges)
         answers = a if answers is None else answers.unionByName(a)
-
-    def words_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = Words()
-        for b in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([sum(len(w.of(t.as_py().encode())) for t in texts.values) for texts in b.column("texts")], pa.int64())], names=["n"])
-
-    n_words = batches.select("texts").mapInArrow(words_of, "n long").agg(F.sum("n")).first()[0] or 0
+        release(spark)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Words()
         for b in rows:
             for row in range(b.num_rows):
                 texts, ids = b.column("texts")[row].as_py(), b.column("doc_ids")[row].as_py()
-                words, place = hashed.batch(texts)
+                words, place, sizes = hashed.batch(texts)
                 got: dict[int, list[tuple[int, bytes]]] = {}
                 for a in b.column("answers")[row].as_py() or []:
                     got.setdefault(a["k"], []).append((a["range"], a["totals"]))
@@ -199,28 +220,26 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
                     last, h = grams(words, place, k)
                     if not len(last):
                         break
-                    totals = np.concatenate([np.frombuffer(t, np.int64) for _, t in sorted(got[k])])
+                    totals = np.concatenate([_unpacked(t) for _, t in sorted(got[k])])
                     n = totals[np.unique(h, return_inverse=True)[1]].astype(float)
                     context = shorter[last - 1] if k > 1 else shorter[last]
                     here = np.log(n) - np.log(context)
                     best[last] = np.where(n >= min_count, here, best[last] + math.log(alpha)) if k > 1 else here
                     shorter = np.ones(len(words))
                     shorter[last] = n
-                starts = np.flatnonzero(place == 0)
-                sizes = np.array([0] * len(texts))
-                has = np.array([bool(t.encode().split()) for t in texts], bool)
-                sizes[has] = np.diff(np.r_[starts, len(words)])
                 sums = np.zeros(len(texts))
-                if len(starts):
-                    sums[has] = np.add.reduceat(best, starts)
+                if len(words):
+                    sums[sizes > 0] = np.add.reduceat(best, np.flatnonzero(place == 0))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()),
                      pa.array(np.divide(sums, sizes, out=np.zeros(len(sums)), where=sizes > 0), pa.float64(), mask=sizes == 0)],
                     names=["doc_id", "n_words", "log_score", "mean_score"])
 
     per = answers.groupBy("batch").agg(F.collect_list(F.struct("k", "range", "totals")).alias("answers"))
-    return batches.select("batch", "doc_ids", "texts").join(per, "batch", "left").select("doc_ids", "texts", "answers") \
+    out = batches.select("batch", "doc_ids", "texts").join(per, "batch", "left").select("doc_ids", "texts", "answers") \
         .mapInArrow(run, "doc_id long, n_words long, log_score double, mean_score double")
+    with _arrow_rows(spark, 4):
+        return stored(out, "lm-scores")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
