@@ -38,6 +38,7 @@ MODEL_WORDS = 20_000
 MODEL_GRAMS = 15_000
 MAX_GRAM = 4
 SMOOTH = 0.5
+BROADCAST_LANGS = 10_000
 MEMORY = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -115,7 +116,8 @@ def _centred(counts: dict[str, dict[str, int]], langs: list[str]) -> dict[str, n
 def fit(docs: DataFrame) -> Model:
     """Learns from a bounded sample of the labelled rows that are not held out."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = rows.groupBy("lang").count().withColumnRenamed("lang", "_lang")
+    sizes = stored(rows.groupBy("lang").count().withColumnRenamed("lang", "_lang"), "langid-sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGS else sizes  # else texts are shuffled by language
     place = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.select("lang", "text", place.alias("_u")).join(sizes, F.col("lang") == F.col("_lang")) \
         .where(F.col("_u") * F.col("count") < SAMPLE_DOCS)
