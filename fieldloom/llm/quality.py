@@ -16,9 +16,11 @@ quantile and the moments of the nearest share are read off the few bins.
 Integer sums make reruns agree bit for bit.
 
 Defined cases: a NULL or empty text has no words and fails the base rules; NULL
-``lang`` or ``source`` are groups of their own; groups under ``MIN_GROUP`` rows
-are pooled by language, and where that is still too small only the base rules
-decide; repeated rows are judged one by one, alike; other columns are ignored.
+``lang`` or ``source`` are groups of their own; a group with under ``MIN_GROUP``
+rows that pass the base rules is judged by the estimate over all passing rows of
+its language, and where the language has fewer too, by the one over all passing
+rows of the table; only where even these are fewer do the base rules decide alone;
+repeated rows are judged one by one, alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -158,17 +160,39 @@ def _distance(rows: DataFrame) -> DataFrame:
                      *[f"_l{i}{j}" for i, j in PAIRS])
 
 
-def _sizes(stats: DataFrame) -> DataFrame:
-    return stats.where(~F.col("base_failed")).groupBy(F.col("lang").alias("_glang"), F.col("source").alias("_gsource")) \
-        .agg(F.count("*").alias("_size"))
+def _sizes(stats: DataFrame) -> tuple[DataFrame, bool]:
+    """Per (lang, source) ``_pooled``: 0 where its passing rows suffice for an estimate, 1 where its language's
+    do, 2 where neither; ``_wide``: the language's estimate is needed.  And whether the groups are few."""
+    own = stored(stats.groupBy(F.col("lang").alias("_glang"), F.col("source").alias("_gsource"))
+                 .agg(F.count_if(~F.col("base_failed")).alias("_size")), "quality-groups")
+    small = own.count() <= BROADCAST_GROUPS
+    langs = own.groupBy("_glang").agg(F.sum("_size").alias("_lsize"), F.min("_size").alias("_least"))
+    enough = F.col("_lsize") >= MIN_GROUP
+    sizes = _attach(own, langs, ["_glang"], small).select(
+        "_glang", "_gsource", F.when(F.col("_size") >= MIN_GROUP, 0).when(enough, 1).otherwise(2).alias("_pooled"),
+        (enough & (F.col("_least") < MIN_GROUP)).alias("_wide"))
+    return stored(sizes, "quality-sizes"), small
 
 
 def _grouped(stats: DataFrame, sizes: DataFrame, small: bool) -> DataFrame:
-    """Adds the estimation group: (lang, source), pooled to lang where the former is small."""
+    """Adds the group whose estimate judges the row: (lang, source), or lang, or all rows where these are small."""
     s = stats.select("*", F.col("lang").alias("_glang"), F.col("source").alias("_gsource"))
-    s = _attach(s, sizes, ["_glang", "_gsource"], small, "left")
-    few = F.coalesce(F.col("_size"), F.lit(0)) < MIN_GROUP
-    return s.withColumn("_pooled", few).withColumn("_gsource", F.when(~few, F.col("_gsource"))).drop("_size")
+    return _keyed(_attach(s, sizes, ["_glang", "_gsource"], small).drop("_wide"))
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """The group's keys as far as ``_pooled`` tells groups apart."""
+    return rows.withColumn("_glang", F.when(F.col("_pooled") < 2, F.col("_glang"))) \
+        .withColumn("_gsource", F.when(F.col("_pooled") < 1, F.col("_gsource")))
+
+
+def _members(stats: DataFrame, sizes: DataFrame, small: bool) -> DataFrame:
+    """The passing rows once per estimate they are part of: their own group's, their language's and that of all."""
+    s = stats.where(~F.col("base_failed")).select(F.col("lang").alias("_glang"), F.col("source").alias("_gsource"), "base_failed", *NAMES)
+    whole = not sizes.where("_pooled = 2").isEmpty()
+    part_of = [F.when(F.col("_pooled") == 0, 0), F.when(F.col("_wide"), 1), F.lit(2 if whole else None).cast("int")]
+    s = _attach(s, sizes, ["_glang", "_gsource"], small)
+    return _keyed(s.withColumn("_pooled", F.explode(F.array_compact(F.array(*part_of)))).drop("_wide"))
 
 
 def estimates(grouped: DataFrame, small: bool) -> DataFrame:
@@ -220,9 +244,8 @@ def judged(grouped: DataFrame, est: DataFrame, small: bool) -> DataFrame:
 
 def _fit(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
     stats = stored(with_statistics(docs, keep), "quality-stats")
-    small = stats.select("lang", "source").distinct().count() <= BROADCAST_GROUPS
-    sizes = _sizes(stats)
-    return stats, sizes, estimates(_grouped(stats, sizes, small), small), small
+    sizes, small = _sizes(stats)
+    return stats, sizes, estimates(_members(stats, sizes, small), small), small
 
 
 def quality(docs: DataFrame) -> DataFrame:

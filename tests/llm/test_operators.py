@@ -434,6 +434,21 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert quality.quality_filter(awkward(spark)).columns == COLUMNS
 
 
+def test_small_groups_are_judged_by_their_language_or_by_all(spark):
+    symbols = lambda seed: " ".join(w + "*$%#" for w in prose(seed, 120).split())
+    rows = [(i, prose(i, 80 + i % 90), "en", "big") for i in range(150)]
+    rows += [(200 + i, prose(200 + i, 100 + i), "en", "small") for i in range(5)] + [(300, symbols(300), "en", "small")]
+    rows += [(400 + i, prose(400 + i, 100 + i), "fr", None) for i in range(5)] + [(500, symbols(500), "fr", None)]
+    rows += [(600, prose(600, 110), None, None), (700, symbols(700), None, None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = table(quality.quality(d))
+    assert len(got) == len(rows) and all(r["distance2"] is not None for r in got)
+    assert {r["doc_id"] for r in got if not r["kept"]} == {300, 500, 700}
+    assert {r.doc_id for r in quality.quality_filter(d).collect()} == {r["doc_id"] for r in got if r["kept"]}
+    few = d.where("lang = 'fr'")
+    assert quality.quality(few).where("not kept or distance2 is not null").count() == 0
+
+
 def brute_mcd(x, steps, alpha, floor, start):
     """Concentration steps with numpy on one group; integer features as the operator has them."""
     p = x.shape[1]
