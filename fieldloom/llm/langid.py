@@ -8,7 +8,7 @@ add up as evidence; the score is the posterior of the best language.
 
 Learning: word counts per language over a sample of the labelled rows that are
 not held out (crc32 of the id's text mod 4 is not 2).  The sample is bounded:
-``SAMPLE_DOCS`` documents per language, drawn by a hash of the id, a documented
+``SAMPLE_DOCS`` documents per language, drawn by a hash of id and text, a documented
 limit of the classifier's fit; the ``MODEL_WORDS`` most frequent words and
 ``MODEL_GRAMS`` most frequent n-grams of each length are kept per language, which
 bounds what is sent to the executors.  Prediction reads every whole text and
@@ -17,7 +17,7 @@ nothing else.
 Defined cases: NULL text or text without a letter is ``und`` with score 0; text
 without any known n-gram gets the first language by name with an even score; no
 labelled row at all makes every text ``und``; NULL doc_id is not held out;
-repeated rows are predicted alike; an empty table gives no rows.
+repeated rows are predicted alike and drawn together; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -118,7 +118,7 @@ def fit(docs: DataFrame) -> Model:
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = stored(rows.groupBy("lang").count().withColumnRenamed("lang", "_lang"), "langid-sizes")
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGS else sizes  # else texts are shuffled by language
-    place = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
+    place = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.select("lang", "text", place.alias("_u")).join(sizes, F.col("lang") == F.col("_lang")) \
         .where(F.col("_u") * F.col("count") < SAMPLE_DOCS)
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
