@@ -3,7 +3,7 @@
 A document's set holds the hashes of its word shingles; its sketch is the
 ``K`` smallest of them, from one hash function.  Equal sets are one from the
 start.  Two sets with similarity 0.8 share at least ``SHARED`` of their retained
-values, but for a chance of 5e-9; so with each sketch ordered by how many sets
+values, but for a chance of 4e-9; so with each sketch ordered by how many sets
 retain a value (rarest first), such a pair has a value in common among the first
 ``K - SHARED + 1``.  Only these go into the inverted lists: values of passages
 that many documents share come last and hardly ever get there.
@@ -11,14 +11,14 @@ that many documents share come last and hardly ever get there.
  1. Each list proposes its members against its ``HUBS`` smallest members, which
     is every pair in lists up to that size and linear in longer ones.
  2. The union sketch of a proposed pair estimates its similarity; pairs far below
-    the threshold go.
+    the threshold go, and with them one of similarity 0.8 by the same chance of 4e-9.
  3. The rest is verified on the full sets, recomputed for the documents concerned.
  4. Links form components.  Longer lists that still span several components are
     searched whole, in blocks of ``BLOCK`` members against each other inside
     tasks: pairs of different components are estimated, each in its first common
     list, and verified there on the full sets; only links come out.
 
-So no link between different texts is lost, no list is capped, and a group of
+So a link between different texts is lost by these two chances only, no list is capped, and a group of
 thousands of near copies costs its size times ``HUBS``, not its square.
 
 Scale: sketches are stored once (``K`` longs a document).  Values retained by one
@@ -51,7 +51,7 @@ SHINGLE = 5                 # words; the query's contract has 4
 PERCENT = 80                # similarity of a link
 K = 64
 SHARED = 31                 # P(Binomial(64, 0.8) < 31) = 4e-9
-MIN_ESTIMATE = 0.55         # five standard deviations below 0.8
+MIN_ESTIMATE = (SHARED - 0.5) / K  # an estimate misses no more often than the lists do
 HUBS = 16
 BLOCK = 3000                # members of a list in one task, and values of their full sets
 BLOCK_ITEMS = 2_000_000

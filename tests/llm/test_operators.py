@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -318,6 +319,11 @@ def test_near_duplicates_awkward(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0 and near_dedup.deduplicate(empty(spark)).count() == 0
 
 
+def test_estimate_misses_no_more_links_than_the_lists():
+    below = lambda n: sum(math.comb(near_dedup.K, k) * 0.8 ** k * 0.2 ** (near_dedup.K - k) for k in range(n))
+    assert below(math.ceil(near_dedup.MIN_ESTIMATE * near_dedup.K)) <= below(near_dedup.SHARED) < 5e-9
+
+
 # --- op7 ------------------------------------------------------------------------------
 
 def brute_removed(texts, length=suffix_dedup.LENGTH):
