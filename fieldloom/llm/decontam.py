@@ -8,10 +8,10 @@ marked, and the search length shrinks until ``MIN_MATCH``.  A tile may lie anywh
 so passages whose parts were reordered are found as well.  A document that
 covers at least ``COVERAGE`` of an item's words is contaminated.
 
-Scale: the benchmark is the query set.  Its bytes are summed first; it is sent to
-the executors in blocks of at most ``BLOCK_BYTES`` (one block for usual
-benchmarks), each block a pass over all documents, so no document is shuffled and
-a passage in a third of all documents is nothing special.  Seeds are looked up
+Scale: the benchmark is the query set.  Its distinct texts are sent to the
+executors in blocks of about ``BLOCK_BYTES`` (one block for usual benchmarks), each
+a pass over all documents; of several blocks one at a time is held.  Item ids join
+the matches by the text's digest, so no document is shuffled and a passage in a third of all documents is nothing special.  Seeds are looked up
 for whole batches at once; only documents with a seed are tiled, over the words
 that their seeds cover.
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import documents
+from fieldloom.llm.common import documents, stored
 from fieldloom.sources.tables import table
 
 MIN_MATCH = 5
@@ -117,7 +117,7 @@ def tile(pattern: list, text: list, min_match: int) -> list[tuple[int, int, int]
 class Benchmark:
     """The items of one block with their seeds; finds the items that a text covers."""
 
-    def __init__(self, items: list[tuple[int, str]], min_match: int = MIN_MATCH, coverage: float = COVERAGE):
+    def __init__(self, items: list[tuple[str, str]], min_match: int = MIN_MATCH, coverage: float = COVERAGE):
         self.min_match, self.coverage = min_match, coverage
         self.items = [(i, w) for i, t in items if (w := words(t))]
         self.sizes = sorted({min(min_match, len(w)) for _, w in self.items})
@@ -151,8 +151,8 @@ class Benchmark:
         out *= np.uint64(0xFF51AFD7ED558CCD)
         return out ^ (out >> np.uint64(32))
 
-    def matches(self, texts: list[str | None]) -> list[list[tuple[int, float, int, int]]]:
-        """Per text the covered items: (item_id, coverage, tiles, longest tile)."""
+    def matches(self, texts: list[str | None]) -> list[list[tuple[str, float, int, int]]]:
+        """Per text the covered items: (key, coverage, tiles, longest tile)."""
         tokens = [words(t) for t in texts]
         ends = np.cumsum([len(w) for w in tokens])
         flat = self._hashes([x for w in tokens for x in w])
@@ -168,7 +168,7 @@ class Benchmark:
                 first = a - (int(ends[d - 1]) if d else 0)
                 for n in owners[int(r[a])]:
                     hits.setdefault(d, {}).setdefault(n, []).append((first, size))
-        out: list[list[tuple[int, float, int, int]]] = [[] for _ in texts]
+        out: list[list[tuple[str, float, int, int]]] = [[] for _ in texts]
         for d, by_item in hits.items():
             for n, found in by_item.items():
                 item, pattern = self.items[n]
@@ -186,25 +186,30 @@ class Benchmark:
         return out
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items, at most about ``BLOCK_BYTES`` of text at a time."""
-    rows = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def _keyed(benchmark: DataFrame) -> DataFrame:
+    """The items with a text, and its digest ``_key``."""
+    return benchmark.where(F.col("text").isNotNull()).select("item_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("_key"))
+
+
+def _blocks(texts: DataFrame) -> Iterator[tuple[list[tuple[str, str]], bool]]:
+    """The distinct texts with their digests, about ``BLOCK_BYTES`` at a time, and whether there are several blocks."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / BLOCK_BYTES))
     for b in range(n):
-        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()]
+        yield [tuple(r) for r in texts.where(F.pmod(F.xxhash64("_key"), F.lit(n)) == b).collect()], n > 1
 
 
-REPORT = "doc_id long, item_id long, coverage double, n_tiles long, longest_tile long"
+REPORT = "doc_id long, _key string, coverage double, n_tiles long, longest_tile long"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item that it covers: doc_id, item_id, coverage, n_tiles, longest_tile."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long"), "text")
+    items = _keyed(benchmark)
     out = None
-    for items in _blocks(benchmark):
-        sent = sc.broadcast(items)
+    for texts, several in _blocks(items.select("_key", "text").distinct()):
+        sent = sc.broadcast(texts)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             b = Benchmark(sent.value)
@@ -212,22 +217,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for start in range(0, batch.num_rows, BATCH):
                     part = batch.slice(start, BATCH)
                     ids = part.column("doc_id").to_pylist()
-                    got = [(i, *m) for i, ms in zip(ids, b.matches(part.column("text").to_pylist())) for m in sorted(ms, key=lambda m: (m[0] is None, m))]
+                    got = [(i, *m) for i, ms in zip(ids, b.matches(part.column("text").to_pylist())) for m in sorted(ms)]
                     if got:
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))],
-                            names=["doc_id", "item_id", "coverage", "n_tiles", "longest_tile"])
+                            [pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()))],
+                            names=["doc_id", "_key", "coverage", "n_tiles", "longest_tile"])
 
         found = rows.mapInArrow(run, REPORT)
+        if several:  # the pass runs now, so that the next block takes this one's place in memory
+            found = stored(found, "decontam-found")
+            sent.destroy()
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.join(items.select("_key", F.col("item_id").cast("long")), "_key") \
+        .select("doc_id", "item_id", "coverage", "n_tiles", "longest_tile")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that cover no item, with their own columns."""
     sc = docs.sparkSession.sparkContext
-    for items in _blocks(benchmark):
-        sent = sc.broadcast(items)
+    for texts, several in _blocks(_keyed(benchmark).select("_key", "text").distinct()):
+        sent = sc.broadcast(texts)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             b = Benchmark(sent.value)
@@ -237,6 +246,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     yield part.filter(pa.array([not m for m in b.matches(part.column("text").to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if several:
+            docs = stored(docs, "decontam-rest")
+            sent.destroy()
     return docs
 
 

@@ -132,6 +132,20 @@ def test_decontamination_awkward(spark):
     assert out.columns == COLUMNS and {r.doc_id for r in out.collect()} == {r.doc_id for r in d.collect()} - {3, 4}
 
 
+@pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 300])
+def test_repeated_items_are_sent_once(spark, monkeypatch, block):
+    texts, sent = [prose(70 + k, 30) for k in range(3)], []
+    blocks = decontam._blocks
+    monkeypatch.setattr(decontam, "_blocks", lambda b: (sent.append(x[0] if isinstance(x, tuple) else x) or x for x in blocks(b)))
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    d = spark.createDataFrame([(k, t + " " + prose(90 + k, 40)) for k, t in enumerate(texts)] + [(9, prose(99, 90))], "doc_id bigint, text string")
+    b = bench(spark, [(i, texts[i % 3]) for i in range(60)] + [(None, texts[0])])
+    got = values(decontam.contaminated(d, b), "doc_id", "item_id")
+    assert got == sorted([(i % 3, i) for i in range(60)] + [(0, None)], key=key)
+    assert sum(map(len, sent)) == 3 and (len(sent) > 1) == (block == 300)
+    assert [r.doc_id for r in decontam.decontaminate(d, b).collect()] == [9]
+
+
 def brute_tiles(p, t, least):
     """Greedy string tiling by trying every pair of starts."""
     pu, tu, out = [False] * len(p), [False] * len(t), 0
