@@ -161,8 +161,8 @@ def render_response_texts(t: Tables) -> DataFrame:
     """``(doc_key, provider, content)``: the model's answer text per order.
 
     Base form ``{"invoice_data":{...},"line_items":[...]}``; the total is a bare
-    number (key % 3 = 0), a rupee string (1) or null (2).  Key % 11 = 0 cuts the
-    text to 40 characters (invalid JSON); key % 7 = 0 wraps it in a json code
+    number (key % 3 = 0), a rupee string (1) or null (2).  Key % 11 = 0 lacks the
+    closing brace (invalid JSON); key % 7 = 0 wraps it in a json code
     fence, key % 7 = 1 in a bare fence (valid only after the second provider's
     clean-up).
     """
@@ -185,7 +185,7 @@ def render_response_texts(t: Tables) -> DataFrame:
     body = F.concat(F.lit('{"invoice_data":{"Invoice Number":"INV/'), k.cast("string"),
                     F.lit('","Total Invoice Value":'), total, F.lit('},"line_items":['),
                     F.col("items_json"), F.lit("]}"))
-    body = F.when(k % 11 == 0, F.substring(body, 1, 40)).otherwise(body)
+    body = F.when(k % 11 == 0, F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)
     content = (F.when(k % 7 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
                .when(k % 7 == 1, F.concat(F.lit("```\n"), body, F.lit("\n```")))
                .otherwise(body))

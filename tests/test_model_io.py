@@ -71,3 +71,11 @@ def test_requests_cut_by_provider(spark):
     bad = docs(spark, "z").withColumn("provider", F.lit("other"))
     row = M.build_requests(bad).collect()[0]
     assert row.request is None and row.error.startswith(M.ERR_PROVIDER)
+
+
+def test_invalid_answers_are_as_long_as_valid_ones(spark, sf001):
+    from fieldloom.sources.corpus import render_response_texts
+    from fieldloom.sources.tables import Tables
+    broken = [r.content.strip("`\n").removeprefix("json\n")
+              for r in render_response_texts(Tables(spark, sf001)).where("doc_key % 11 = 0").collect()]
+    assert broken and all(b.endswith("]") and json.loads(b + "}")["line_items"] for b in broken)
