@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldloom.functions import patterns as P
-from fieldloom.functions.contract import conform_headers, conform_items
+from fieldloom.functions.contract import HEADER_COLUMNS, conform_headers, conform_items
 from fieldloom.functions.rx import money, strip
 from fieldloom.operators.header import minimal_fields, serial_number
 
@@ -30,6 +30,7 @@ REQUEST_PREFIX = (
 REQUEST_SUFFIX = ("\n\nIMPORTANT: Return ONLY valid JSON without any explanation or markdown. Format:\n"
                   '{"invoice_data": {...}, "line_items": [...]}\n')
 PROVIDER_LIMITS = {"google": 10000, "openai": 8000}
+CHUNK = ["chunk_no", "n_chunks"]
 ENVELOPES = {"google": "A", "openai": "B"}
 
 HEADER_MAP = {  # response name -> record field
@@ -67,6 +68,7 @@ ITEM_MAP = {
 ITEM_NUMBERS = ["quantity", "unit_price", "discount", "cgst_amount", "sgst_amount", "igst_amount",
                 "line_total_value"]
 REMARK_OK = "Extracted with {provider} LLM"
+REMARK_MISSING = "; no answer for chunks "
 ERR_FORMAT = {"google": "Unexpected API response format", "openai": "Unexpected OpenAI response format"}
 ERR_PARSE = {"google": "Failed to parse JSON", "openai": "Failed to parse JSON from OpenAI response"}
 ERR_OBJECT = "Answer is not a JSON object"
@@ -95,7 +97,7 @@ def provider_name(provider: Column) -> Column:
 
 
 def build_requests(docs: DataFrame, provider: str | Column = "provider", prefix: str = REQUEST_PREFIX,
-                   suffix: str = REQUEST_SUFFIX) -> DataFrame:
+                   suffix: str = REQUEST_SUFFIX, limits: dict[str, int] | None = None) -> DataFrame:
     """``(doc_key, text[, provider])`` -> ``(doc_key, provider, chunk_no, n_chunks, request, error)``.
 
     A text longer than the provider takes in one request (code points) becomes
@@ -106,8 +108,9 @@ def build_requests(docs: DataFrame, provider: str | Column = "provider", prefix:
     prov = F.col(provider) if isinstance(provider, str) and provider in docs.columns else (
         provider if isinstance(provider, Column) else F.lit(provider))
     p = F.lower(prov)
-    limit = F.when(p == "google", F.lit(PROVIDER_LIMITS["google"])).when(
-        p == "openai", F.lit(PROVIDER_LIMITS["openai"]))
+    limit = F.lit(None).cast("int")
+    for name, size in (limits or PROVIDER_LIMITS).items():
+        limit = F.when(p == name, F.lit(size)).otherwise(limit)
     text = F.coalesce(F.col("text"), F.lit(""))
     n = F.greatest(F.lit(1), F.ceil(F.length(text) / F.coalesce(F.col("_limit"), F.length(text) + 1))).cast("int")
     req = F.concat(F.lit(prefix), F.substring(text, F.col("chunk_no") * F.col("_limit") + 1, F.col("_limit")), F.lit(suffix))
@@ -124,7 +127,8 @@ def build_requests(docs: DataFrame, provider: str | Column = "provider", prefix:
 
 
 def unwrap(responses: DataFrame) -> DataFrame:
-    """``(doc_key, provider, http_status, body)`` -> ``(doc_key, provider, answer, error)``.
+    """``(doc_key, provider, http_status, body)`` -> ``(doc_key, provider, answer, error)``;
+    ``chunk_no`` and ``n_chunks`` are kept where the responses have them.
 
     ``answer`` is the model's JSON text after fence removal; ``error`` is set
     for an unknown provider, non-200 statuses (with or without a body),
@@ -142,7 +146,8 @@ def unwrap(responses: DataFrame) -> DataFrame:
     x = F.regexp_replace(F.col("_raw"), r"(?d)^```json", "")
     x = F.when(is_a, x).otherwise(F.regexp_replace(x, r"(?d)^```", ""))
     x = strip(F.regexp_replace(x, r"(?d)```$", ""))
-    s1 = responses.select("doc_key", "provider", "http_status", "body", raw.alias("_raw"))
+    keys = ["doc_key", "provider", *[c for c in CHUNK if c in responses.columns]]
+    s1 = responses.select(*keys, "http_status", "body", raw.alias("_raw"))
     s2 = s1.select("*", x.alias("_clean"))
     status_ok = F.col("http_status") == 200
     s2 = s2.select("*", F.try_parse_json(F.col("_clean")).alias("_json"))
@@ -156,8 +161,8 @@ def unwrap(responses: DataFrame) -> DataFrame:
            .when(F.col("_json").isNull(), named(ERR_PARSE))
            .when(~F.col("_clean").startswith("{"), F.lit(ERR_OBJECT))
            .when(told.isNotNull(), told))
-    s3 = s2.select("doc_key", "provider", F.col("_clean").alias("answer"), err.alias("error"))
-    return s3.select("doc_key", "provider",
+    s3 = s2.select(*keys, F.col("_clean").alias("answer"), err.alias("error"))
+    return s3.select(*keys,
                      F.when(F.col("error").isNull(), F.col("answer")).alias("answer"), "error")
 
 
@@ -174,11 +179,16 @@ def _parsed(df: DataFrame, col: Column, schema, name: str) -> DataFrame:
     return df.select("*", F.from_json(col, schema).alias(name))
 
 
+def _no_header(answer: Column) -> Column:
+    """The answer's header object is an explicit null: nothing can be normalised."""
+    return answer.rlike(r'^\s*\{[\s\S]*"invoice_data"\s*:\s*null')
+
+
 def _answer_parts(df: DataFrame) -> DataFrame:
     a = _parsed(df, F.col("answer"), ANSWER, "_ans")
     return a.select(*df.columns, F.col("_ans.invoice_data").alias("_inv_json"),
                     F.col("_ans.line_items").alias("_items_json"), F.col("_ans.error").alias("_ans_error"),
-                    F.col("answer").rlike(r'^\s*\{[\s\S]*"invoice_data"\s*:\s*null').alias("_inv_null"))
+                    _no_header(F.col("answer")).alias("_inv_null"))
 
 
 def normalise_headers(answers: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -201,31 +211,35 @@ def normalise_headers(answers: DataFrame, keep: tuple[str, ...] = ()) -> DataFra
     return conform_headers(out, ("doc_key",) + tuple(keep))
 
 
+def _malformed(e: Column) -> Column:
+    """An element of ``line_items`` that no record can be read from."""
+    first = F.substring(F.ltrim(e), 1, 1)
+    is_obj, is_str, is_list = first == "{", first == '"', first == "["
+    str_hit = F.lit(False)
+    for n in ITEM_MAP:
+        str_hit = str_hit | e.contains(n)
+    return e.isNull() | ~(is_obj | is_str | is_list) | (is_str & str_hit)
+
+
 def normalise_items(answers: DataFrame) -> DataFrame:
     """Explode ``line_items``; the response's line number wins over the
-    position; one malformed element empties the document's whole list."""
+    position (but where a column ``n_chunks`` is above one, as each chunk numbers its own
+    lines); one malformed element empties the answer's whole list."""
     a = _parsed(_answer_parts(answers), F.col("_items_json"), T.ArrayType(_S), "_all")
     elems = F.col("_all")
-    names = list(ITEM_MAP)
-
-    def bad(e):
-        first = F.substring(F.ltrim(e), 1, 1)
-        is_obj, is_str, is_list = first == "{", first == '"', first == "["
-        str_hit = F.lit(False)
-        for n in names:
-            str_hit = str_hit | e.contains(n)
-        return e.isNull() | ~(is_obj | is_str | is_list) | (is_str & str_hit)
-
-    b = a.select("doc_key", F.get_json_object(F.col("_inv_json"), "$['Invoice Number']").alias("_inv_no"),
-                 F.when(F.col("_ans_error").isNull() & ~F.exists(elems, bad), elems).alias("_elems"))
+    several = F.col("n_chunks") > 1 if "n_chunks" in answers.columns else F.lit(False)
+
+    b = a.select("doc_key", several.alias("_several"), F.get_json_object(F.col("_inv_json"), "$['Invoice Number']").alias("_inv_no"),
+                 F.when(F.col("_ans_error").isNull() & ~F.col("_inv_null") & ~F.exists(elems, _malformed), elems).alias("_elems"))
     # the outer generator: a plain one lets Spark infer size(_elems) > 0 and push it, with all
     # of the JSON parsing that _elems stands for, into whatever join lies below
-    c = b.select("doc_key", "_inv_no", F.posexplode_outer("_elems").alias("_pos", "_e")).where(F.col("_pos").isNotNull())
+    c = b.select("doc_key", "_several", "_inv_no", F.posexplode_outer("_elems").alias("_pos", "_e")).where(F.col("_pos").isNotNull())
     c = _parsed(c, F.when(F.substring(F.ltrim(F.col("_e")), 1, 1) == "{", F.col("_e")), ITEM, "_item")
     cols = {field: F.col("_item")[name] for name, field in ITEM_MAP.items()}
     for n in ITEM_NUMBERS:
         cols[n] = money(cols[n])
-    cols["line_number"] = F.coalesce(cols["line_number"].try_cast("int"), (F.col("_pos") + 1).cast("int"))
+    own = F.when(~F.col("_several"), cols["line_number"].try_cast("int"))
+    cols["line_number"] = F.coalesce(own, (F.col("_pos") + 1).cast("int"))
     out = c.select("doc_key", serial_number(F.col("doc_key")).alias("invoice_serial_number"),
                    F.coalesce(F.col("_inv_no"), F.lit("")).alias("invoice_number"),
                    *[v.alias(k) for k, v in cols.items()])
@@ -236,54 +250,118 @@ def normalise_items(answers: DataFrame) -> DataFrame:
 
 
 def latest_responses(responses: DataFrame, order: str = "received_at") -> DataFrame:
-    """One response per document, for callers that retry: the latest by ``order``; without
-    that column, an answer with status 200 before one without (then the larger body)."""
+    """One response per document, or per chunk where ``chunk_no`` tells them apart, for callers
+    that retry: the latest by ``order``; without that column, an answer with status 200
+    before one without (then the larger body)."""
     rank = F.struct(F.col(order)) if order in responses.columns else F.struct(
-        F.coalesce(F.col("http_status") == 200, F.lit(False)), F.col("body"), F.col("provider"))
-    row = F.struct(*[F.col(c) for c in responses.columns if c != "doc_key"])
-    best = responses.groupBy("doc_key").agg(F.max_by(row, rank).alias("_r"))
-    return best.select("doc_key", "_r.*")
+        F.coalesce(F.col("http_status") == 200, F.lit(False)), F.col("body"), F.col("provider"), F.col("http_status"))
+    keys = ["doc_key", *[c for c in CHUNK[:1] if c in responses.columns]]
+    row = F.struct(*[F.col(c) for c in responses.columns if c not in keys])
+    best = responses.groupBy(*keys).agg(F.max_by(row, rank).alias("_r"))
+    return best.select(*keys, "_r.*")
+
+
+def missing_chunks(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """``(doc_key, chunk_no, n_chunks, reason)``: the requests that no usable answer came back for.
+
+    ``reason`` is the error of the latest answer, of the request itself (unknown
+    provider), or ``no response``.
+    """
+    answered = unwrap(latest_responses(responses)).select("doc_key", "chunk_no", "answer", F.col("error").alias("_error"))
+    asked = requests.select("doc_key", "chunk_no", "n_chunks", F.col("error").alias("_asked"))
+    j = asked.join(answered, ["doc_key", "chunk_no"], "left").where(F.col("answer").isNull())
+    return j.select("doc_key", "chunk_no", "n_chunks", F.coalesce("_error", "_asked", F.lit("no response")).alias("reason"))
+
+
+def merge_chunks(responses: DataFrame) -> DataFrame:
+    """The answers to a document's chunks as one: ``(doc_key, provider, answer, error, n_chunks, missing)``.
+
+    Chunks are taken in the order of ``chunk_no``: the first non-blank value of each
+    header field wins, item lists follow each other (a malformed element
+    empties its chunk's list).  ``missing`` lists the chunks without a usable answer, in
+    order; a document without any usable chunk has the error of its first one.  A
+    document of a single chunk keeps its answer as it is.  Responses without
+    ``n_chunks`` are taken for complete up to their largest ``chunk_no``.
+    """
+    # by document at once: this also clusters (document, chunk), so there is one shuffle
+    by_doc = latest_responses(responses.repartition("doc_key"))
+    u = unwrap(by_doc if "n_chunks" in responses.columns else by_doc.withColumn("n_chunks", F.lit(None).cast("int")))
+    u = _parsed(u, F.col("answer"), ANSWER, "_ans")
+    u = u.withColumn("error", F.coalesce("error", "_ans.error"))
+    u = _parsed(u, F.col("_ans.invoice_data"), INVOICE_DATA, "_inv")
+    u = _parsed(u, F.col("_ans.line_items"), T.ArrayType(_S), "_all")
+    ok = F.col("error").isNull() & F.col("answer").isNotNull()
+    kept = F.when(ok & ~_no_header(F.col("answer")) & ~F.exists("_all", _malformed), F.col("_all"))
+    quoted = lambda e: F.concat(F.lit('"'), F.replace(F.replace(e, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    raw = F.transform(kept, lambda e: F.when(F.substring(F.ltrim(e), 1, 1) == '"', quoted(e)).otherwise(e))
+    chunk = F.struct("chunk_no", ok.alias("ok"), "provider", "answer", "error", F.col("_inv").alias("inv"), raw.alias("items"))
+    d = u.groupBy("doc_key").agg(F.array_sort(F.collect_list(chunk)).alias("_c"),
+                                 F.greatest(F.max("n_chunks"), F.max("chunk_no") + 1).alias("n_chunks"))
+    usable = F.filter("_c", lambda c: c["ok"])
+    blank = lambda v: v.isNull() | (strip(v) == "")
+    d = d.select("doc_key", "n_chunks", "_c", usable.alias("_u"))
+    first = lambda name: F.get(F.filter(F.transform("_u", lambda c: c["inv"][name]), lambda v: ~blank(v)), F.lit(0))
+    inv = F.to_json(F.struct(*[first(name).alias(name) for name in HEADER_MAP]))
+    items = F.concat(F.lit("["), F.array_join(F.flatten(F.transform("_u", lambda c: F.coalesce(c["items"], F.array().cast("array<string>")))), ","), F.lit("]"))
+    merged = F.concat(F.lit('{"invoice_data":'), inv, F.lit(',"line_items":'), items, F.lit("}"))
+    any_ok = F.size("_u") > 0
+    answer = F.when(any_ok, F.when(F.col("n_chunks") == 1, F.col("_u")[0]["answer"]).otherwise(merged))
+    missing = F.array_except(F.sequence(F.lit(0), F.col("n_chunks") - 1), F.transform("_u", lambda c: c["chunk_no"]))
+    provider = F.when(any_ok, F.get("_u", F.lit(0))["provider"]).otherwise(F.col("_c")[0]["provider"])
+    return d.select("doc_key", provider.alias("provider"), answer.alias("answer"),
+                    F.when(~any_ok, F.col("_c")[0]["error"]).alias("error"), "n_chunks", missing.alias("missing"))
+
+
+def _answers(responses: DataFrame) -> DataFrame:
+    """One answer per document: its chunks merged, where responses come by chunk."""
+    return merge_chunks(responses) if "chunk_no" in responses.columns else unwrap(latest_responses(responses))
 
 
 def route_headers(docs: DataFrame, responses: DataFrame) -> DataFrame:
     """M15 + T6: one header per document.
 
     Empty text -> the 4-field failure record; a failed call -> the ``minimal``
-    regex fallback over the document text; otherwise the normalised answer.
+    regex fallback over the document text; otherwise the normalised answer, merged
+    from all chunks of a long document.  Where some but not all chunks have a usable
+    answer, the remark names the others.
     Documents and responses are joined on ``doc_key`` (both sides are
     partitioned by it, so the join reuses that partitioning).
     """
     # one pass over the responses (failed answers normalise to NULL fields and
     # are replaced by the fallback below), one join with the documents
-    norm = normalise_headers(unwrap(latest_responses(responses)), keep=("provider", "error"))
+    answers = _answers(responses)
+    chunked = [c for c in ("missing",) if c in answers.columns]
+    norm = normalise_headers(answers, keep=("provider", "error", *chunked))
     j = docs.select("doc_key", "text").join(norm, "doc_key", "left")
     t = F.col("text")
     fb = minimal_fields(t, F.coalesce(F.col("provider"), F.lit("")))
     empty = F.coalesce(t, F.lit("")) == ""
     failed = F.col("error").isNotNull() | F.col("provider").isNull()
     sel = [F.col("doc_key"), serial_number(F.col("doc_key")).alias("serial_number")]
-    from fieldloom.functions.contract import HEADER_COLUMNS
     for c in HEADER_COLUMNS:
         if c == "serial_number":
             continue
         normal = F.col(c)
-        if c in fb:
-            val = F.when(failed, fb[c]).otherwise(normal)
-        else:
-            val = F.when(failed, F.lit(None)).otherwise(normal)
+        if c == "additional_remarks" and chunked:
+            normal = F.when(F.size("missing") > 0, F.concat(normal, F.lit(REMARK_MISSING), F.array_join(F.col("missing").cast("array<string>"), ", "))) \
+                .otherwise(normal)
+        val = F.when(failed, fb[c] if c in fb else F.lit(None)).otherwise(normal)
         if c == "additional_remarks":
             val = F.when(empty, F.lit(P.EMPTY_TEXT_REMARK)).otherwise(val)
         elif c == "document_type":
             val = F.when(empty, F.lit(P.DEFAULT_DOC_TYPE)).otherwise(val)
-        elif c != "serial_number":
+        else:
             val = F.when(empty, F.lit(None)).otherwise(val)
         sel.append(val.alias(c))
     return conform_headers(j.select(*sel))
 
 
 def route_items(docs: DataFrame, responses: DataFrame) -> DataFrame:
-    """Items only for documents with text and a usable answer."""
-    ans = unwrap(latest_responses(responses)).select("doc_key", "provider", F.when(F.col("error").isNull(), F.col("answer")).alias("answer"))
+    """Items only for documents with text and a usable answer; of a long document, those of all
+    its chunks, numbered through."""
+    ans = _answers(responses)
+    ans = ans.select("doc_key", "provider", *[c for c in CHUNK if c in ans.columns],
+                     F.when(F.col("error").isNull(), F.col("answer")).alias("answer"))
     ok_docs = docs.where(F.coalesce(F.col("text"), F.lit("")) != "").select("doc_key")
     return normalise_items(ans.join(ok_docs, "doc_key", "left_semi"))
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.plans import extract_queries, flow_queries, model_queries
+from fieldloom.plans import answer_queries, extract_queries, flow_queries, model_queries
 
 QUERIES = {}
 ORACLE = {}
-for _m in (extract_queries, model_queries, flow_queries):
+for _m in (extract_queries, model_queries, answer_queries, flow_queries):
     QUERIES.update(_m.QUERIES)
     ORACLE.update(_m.ORACLE)
 

@@ -79,3 +79,43 @@ def test_invalid_answers_are_as_long_as_valid_ones(spark, sf001):
     broken = [r.content.strip("`\n").removeprefix("json\n")
               for r in render_response_texts(Tables(spark, sf001)).where("doc_key % 11 = 0").collect()]
     assert broken and all(b.endswith("]") and json.loads(b + "}")["line_items"] for b in broken)
+
+
+def chunk_rows(spark, *rows):
+    return spark.createDataFrame(list(rows), "doc_key bigint, provider string, chunk_no int, n_chunks int, http_status int, body string")
+
+
+def test_long_text_gives_chunks_and_all_their_items(spark):
+    d = docs(spark, "x" * 20_000 + "y" * 3_000)
+    req = M.build_requests(d, "openai")
+    assert [r.chunk_no for r in req.orderBy("chunk_no").collect()] == [0, 1, 2]
+    answer = lambda number, *skus: json.dumps({"invoice_data": {"Invoice Number": number}, "line_items": [
+        {"Item/SKU Code": s, "Line Number": i + 1} for i, s in enumerate(skus)]})
+    r = chunk_rows(spark, (0, "openai", 2, 3, 200, env_b(answer("LATE", "S4"))), (0, "openai", 0, 3, 200, env_b(answer("  ", "S1", "S2"))),
+                   (0, "openai", 1, 3, 200, env_b(answer("N1", "S3"))))
+    items = M.route_items(d, r).orderBy("line_number").collect()
+    assert [(i.line_number, i.item_sku_code, i.invoice_number) for i in items] == [(1, "S1", "N1"), (2, "S2", "N1"), (3, "S3", "N1"), (4, "S4", "N1")]
+    h = M.route_headers(d, r).collect()[0]
+    assert h.invoice_document_number == "N1" and h.additional_remarks == "Extracted with Openai LLM"
+    assert M.missing_chunks(req, r).count() == 0
+
+
+def test_missing_and_failed_chunks_are_named(spark):
+    d = docs(spark, "x" * 20_000, "TAX INVOICE\nInvoice No: Z9\n" + "z" * 9_000)
+    req = M.build_requests(d, "openai")
+    r = chunk_rows(spark, (0, "openai", 1, 3, 200, env_b('{"invoice_data": {"Invoice Number": "A\\"1"}, "line_items": [{"Item/SKU Code": "\\\\"}]}')),
+                   (0, "openai", 2, 3, 500, None), (1, "openai", 0, 2, 500, None), (1, "openai", 1, 2, 200, env_b('{"error": "blurred"}')))
+    h = {x.doc_key: x for x in M.route_headers(d, r).collect()}
+    assert h[0].invoice_document_number == 'A"1' and h[0].additional_remarks == "Extracted with Openai LLM; no answer for chunks 0, 2"
+    assert h[1].invoice_document_number == "Z9" and "fallback" in h[1].additional_remarks
+    assert [(i.doc_key, i.item_sku_code) for i in M.route_items(d, r).collect()] == [(0, "\\")]
+    assert {(x.doc_key, x.chunk_no): x.reason for x in M.missing_chunks(req, r).collect()} == {
+        (0, 0): "no response", (0, 2): "API error: 500 - ", (1, 0): "API error: 500 - ", (1, 1): "blurred"}
+
+
+def test_merge_reads_the_responses_once(spark):
+    r = chunk_rows(spark, (0, "openai", 0, 1, 200, env_b(ANSWER)))
+    plan = M.merge_chunks(r)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    (m,) = M.merge_chunks(r).collect()
+    assert m.answer == ANSWER and m.missing == [] and m.n_chunks == 1
