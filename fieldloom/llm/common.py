@@ -58,6 +58,15 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def digest128(c: Column | str) -> list[Column]:
+    """Two 64-bit hashes of a string that don't follow from each other.
+
+    The second starts from another seed: ``xxhash64(c, lit)`` would be a function of
+    the first, as Spark seeds each value's hash with the one before.
+    """
+    return [F.xxhash64(c), F.xxhash64(F.lit("second"), c)]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row."""
     return F.transform(F.array(value), body)[0]

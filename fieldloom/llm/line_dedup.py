@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import LOWER, SPACES, UPPER, documents, scratch, stored
+from fieldloom.llm.common import LOWER, SPACES, UPPER, digest128, documents, scratch, stored
 
 MIN_DOCS = 10
 KEYS_PER_SHARD = 200_000
@@ -129,7 +129,7 @@ class CuckooFilter:
 def line_key(line: Column) -> Column:
     """Digest pair of a line's key; NULL for a key without a code point."""
     key = F.translate(F.btrim(line, F.lit(SPACES)), UPPER, LOWER)
-    return F.when(key != "", F.struct(F.xxhash64(key).alias("k1"), F.xxhash64(key, F.lit("2")).alias("k2")))
+    return F.when(key != "", F.struct(*[h.alias(n) for h, n in zip(digest128(key), ("k1", "k2"))]))
 
 
 def lines_of(text: Column) -> Column:
@@ -137,8 +137,7 @@ def lines_of(text: Column) -> Column:
 
 
 def text_digest() -> list[Column]:
-    t = F.coalesce(F.col("text"), F.lit(""))
-    return [F.xxhash64(t).alias("_t1"), F.xxhash64(t, F.lit("t")).alias("_t2")]
+    return [h.alias(n) for h, n in zip(digest128(F.coalesce(F.col("text"), F.lit(""))), ("_t1", "_t2"))]
 
 
 def doc_keys(docs: DataFrame) -> DataFrame:
