@@ -3,7 +3,7 @@
 A document's set holds the hashes of its word shingles; its sketch is the
 ``K`` smallest of them, from one hash function.  Equal sets are one from the
 start.  Two sets with similarity 0.8 share at least ``SHARED`` of their retained
-values, but for a chance of 4e-9; so with each sketch ordered by how many sets
+values, but for a chance of 2e-14; so with each sketch ordered by how many sets
 retain a value (rarest first), such a pair has a value in common among the first
 ``K - SHARED + 1``.  Only these go into the inverted lists: values of passages
 that many documents share come last and hardly ever get there.
@@ -11,7 +11,7 @@ that many documents share come last and hardly ever get there.
  1. Each list proposes its members against its ``HUBS`` smallest members, which
     is every pair in lists up to that size and linear in longer ones.
  2. The union sketch of a proposed pair estimates its similarity; pairs far below
-    the threshold go, and with them one of similarity 0.8 by the same chance of 4e-9.
+    the threshold go, and with them one of similarity 0.8 by the same chance of 2e-14.
  3. The rest is verified on the full sets, recomputed for the documents concerned.
  4. Links form components.  Longer lists that still span several components are
     searched whole, in blocks of ``BLOCK`` members against each other inside
@@ -44,13 +44,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import WORD_CHAR, documents, let, stored, text_of
+from fieldloom.llm.common import WORD_CHAR, digest128, documents, let, stored, text_of
 from fieldloom.llm.components import components
 
 SHINGLE = 5                 # words; the query's contract has 4
 PERCENT = 80                # similarity of a link
 K = 64
-SHARED = 31                 # P(Binomial(64, 0.8) < 31) = 4e-9
+SHARED = 24                 # P(Binomial(64, 0.8) < 24) = 2e-14
 MIN_ESTIMATE = (SHARED - 0.5) / K  # an estimate misses no more often than the lists do
 HUBS = 16
 BLOCK = 3000                # members of a list in one task, and values of their full sets
@@ -78,7 +78,7 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 
 
 def text_digest() -> list[Column]:
-    return [F.xxhash64("text").alias("_t1"), F.xxhash64("text", F.lit("t")).alias("_t2")]
+    return [h.alias(n) for h, n in zip(digest128("text"), ("_t1", "_t2"))]
 
 
 def _longs(arrays: list[np.ndarray]) -> pa.ListArray:
