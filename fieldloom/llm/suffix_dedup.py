@@ -27,7 +27,8 @@ Scale: a position costs some 20 bytes for one in ``RUN`` / 2 positions, and only
 positions that are not unique reach the rounds; ranks are counted map-side first,
 so a passage in a third of all documents is a row per task, and the joins back
 are equi-joins that adaptive execution splits.  What is gathered per document is
-bounded by its length.  Hashes have 64 bits.
+bounded by its length.  Texts are told apart by 128 bits, block ranks and window
+hashes by 64: of n different strings of ``LENGTH`` bytes, some n * n / 2**65 pairs are taken for equal.
 
 Defined cases: NULL and empty texts have 0 bytes and nothing removed; texts under
 ``LENGTH`` bytes stay; matches never cross documents; bytes are judged on the
@@ -42,10 +43,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import documents, release, stored, text_of
+from fieldloom.llm.common import digest128, documents, release, stored, text_of
 
 LENGTH = 200
 GRAM = 16                   # a power of two
@@ -135,9 +136,13 @@ def _lists(arrays: list[np.ndarray], dtype) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype), *arrays]).astype(dtype)))
 
 
+def _digest() -> list[Column]:
+    return [h.alias(n) for h, n in zip(digest128("text"), ("_t1", "_t2"))]
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     t = docs.select(text_of().alias("text"))
-    return t.where(F.octet_length("text") >= LENGTH).select(F.xxhash64("text").alias("_t1"), F.xxhash64("text", F.lit("t")).alias("_t2"), "text")
+    return t.where(F.octet_length("text") >= LENGTH).select(*_digest(), "text")
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -309,7 +314,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                                              names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).select(
-        "doc_id", "text", F.xxhash64("text").alias("_t1"), F.xxhash64("text", F.lit("t")).alias("_t2"))
+        "doc_id", "text", *_digest())
     joined = rows.join(cuts, (F.col("_t1") == F.col("_x1")) & (F.col("_t2") == F.col("_x2")), "left")
     return joined.select("doc_id", "text", "whole", "a", "e").mapInArrow(run, f"doc_id long, {RESULT}, kept binary")
 
