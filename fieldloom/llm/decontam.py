@@ -12,8 +12,9 @@ Scale: the benchmark is the query set.  Its distinct texts are sent to the
 executors in blocks of about ``BLOCK_BYTES`` (one block for usual benchmarks), each
 a pass over all documents; of several blocks one at a time is held.  Item ids join
 the matches by the text's digest, so no document is shuffled and a passage in a third of all documents is nothing special.  Seeds are looked up
-for whole batches at once; only documents with a seed are tiled, over the words
-that their seeds cover.
+for whole batches at once.  A document meets an item only by a seed that is not among
+the item's most common ones, as many as a match can do without; and it is tiled, over the words
+that their common seeds cover, only if these reach ``COVERAGE``.
 
 Defined cases: NULL or empty texts and items have no words and match nothing;
 items of fewer than ``MIN_MATCH`` words need all their words in one run; repeated
@@ -121,17 +122,31 @@ class Benchmark:
         self.min_match, self.coverage = min_match, coverage
         self.items = [(i, w) for i, t in items if (w := words(t))]
         self.sizes = sorted({min(min_match, len(w)) for _, w in self.items})
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, dict[int, list[int]]]] = {}
+        self.own: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(self.items)  # an item's seeds in order
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for size in self.sizes:
-            owners: dict[int, list[int]] = {}
-            for n, (_, w) in enumerate(self.items):
-                if min(min_match, len(w)) == size:
-                    for h in set(self._rolled(self._hashes(w), size).tolist()):
-                        owners.setdefault(h, []).append(n)
-            keys = np.array(sorted(owners), np.uint64)
+            here = [n for n, (_, w) in enumerate(self.items) if min(min_match, len(w)) == size]
+            for n in here:
+                self.own[n] = self._rolled(self._hashes(self.items[n][1]), size)
+            keys, n_items = np.unique(np.concatenate([np.unique(self.own[n]) for n in here]), return_counts=True)
+            probes = [(self._probes(n, size, keys, n_items), n) for n in here]
+            value = np.concatenate([p for p, _ in probes])
+            item = np.repeat([n for _, n in probes], [len(p) for p, _ in probes])
+            order = np.argsort(value, kind="stable")
             bits = np.zeros(1 << 22, bool)
             bits[(keys >> np.uint64(42)).astype(np.int64)] = True
-            self.seeds[size] = keys, bits, owners
+            self.seeds[size] = keys, bits, value[order], item[order]
+
+    def _probes(self, n: int, size: int, keys: np.ndarray, n_items: np.ndarray) -> np.ndarray:
+        """The item's seeds that make a text a candidate: all but its most common ones.
+
+        Tiles over ``coverage`` of the words hold at least ``need`` seeds, so one of
+        them is among the rarest, less ``need - 1``: a stem that many items share proposes nothing.
+        """
+        own = self.own[n]
+        need = max(1, math.ceil(self.coverage * len(self.items[n][1]) / size - 1e-9))
+        order = np.argsort(n_items[np.searchsorted(keys, own)], kind="stable")
+        return np.unique(own[order[:max(1, len(own) - need + 1)]])
 
     @staticmethod
     def _hashes(tokens: list[bytes]) -> np.ndarray:
@@ -156,35 +171,46 @@ class Benchmark:
         tokens = [words(t) for t in texts]
         ends = np.cumsum([len(w) for w in tokens])
         flat = self._hashes([x for w in tokens for x in w])
-        hits: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        out: list[list[tuple[str, float, int, int]]] = [[] for _ in texts]
         for size in self.sizes:
-            keys, bits, owners = self.seeds[size]
+            keys, bits, value, item = self.seeds[size]
             r = self._rolled(flat, size)
             at = np.flatnonzero(bits[(r >> np.uint64(42)).astype(np.int64)])
             at = at[np.isin(r[at], keys)]
             docs = np.searchsorted(ends, at, side="right")
             inside = at + size <= ends[docs]
-            for a, d in zip(at[inside].tolist(), docs[inside].tolist()):
-                first = a - (int(ends[d - 1]) if d else 0)
-                for n in owners[int(r[a])]:
-                    hits.setdefault(d, {}).setdefault(n, []).append((first, size))
-        out: list[list[tuple[str, float, int, int]]] = [[] for _ in texts]
-        for d, by_item in hits.items():
-            for n, found in by_item.items():
-                item, pattern = self.items[n]
-                text: list = []
-                end = 0
-                for a, size in sorted(found):  # the runs that seeds cover, kept apart from each other
-                    if a > end:
-                        text.append(None)
-                    text += tokens[d][max(a, end):a + size]
-                    end = a + size
-                tiles = tile(pattern, text, min(self.min_match, len(pattern)))
-                covered = sum(k for _, _, k in tiles)
-                if covered >= self.coverage * len(pattern) - 1e-9:
-                    out[d].append((item, covered / len(pattern), len(tiles), max(k for _, _, k in tiles)))
+            at, docs = at[inside], docs[inside]
+            for d in np.unique(docs):
+                here = at[docs == d]
+                found, places = r[here], here - (ends[d - 1] if d else 0)
+                lo, hi = np.searchsorted(value, np.unique(found)), np.searchsorted(value, np.unique(found), side="right")
+                spans = [item[a:b] for a, b in zip(lo, hi) if b > a]
+                for n in np.unique(np.concatenate(spans)).tolist() if spans else []:
+                    got = self._tiled(n, size, tokens[d], places, found)
+                    if got:
+                        out[d].append(got)
         return out
 
+    def _tiled(self, n: int, size: int, tokens: list[bytes], places: np.ndarray, found: np.ndarray) -> tuple[str, float, int, int] | None:
+        """The item's match with a text that has the seeds ``found`` at ``places``, if it covers enough."""
+        key, pattern = self.items[n]
+        mine = np.flatnonzero(np.isin(self.own[n], found))
+        bound = int(np.minimum(np.diff(mine), size).sum()) + size if len(mine) else 0  # words that any tile can hold
+        if bound < self.coverage * len(pattern) - 1e-9:
+            return None
+        text: list = []
+        end = 0
+        for a in places[np.isin(found, self.own[n])].tolist():  # the runs that seeds cover, kept apart from each other
+            if a > end:
+                text.append(None)
+            text += tokens[max(a, end):a + size]
+            end = a + size
+        tiles = tile(pattern, text, min(self.min_match, len(pattern)))
+        covered = sum(k for _, _, k in tiles)
+        if covered < self.coverage * len(pattern) - 1e-9:
+            return None
+        return key, covered / len(pattern), len(tiles), max(k for _, _, k in tiles)
+
 
 def _keyed(benchmark: DataFrame) -> DataFrame:
     """The items with a text, and its digest ``_key``."""

@@ -164,6 +164,26 @@ def brute_tiles(p, t, least):
         out += k
 
 
+def test_items_with_one_stem_cost_little_and_are_still_found():
+    rng = random.Random(1)
+    some = lambda n: " ".join("".join(rng.choices("abcdefghij", k=4)) for _ in range(n))
+    items = [(str(i), "which of the following statements about " + some(25)) for i in range(300)]
+    texts = [some(30) + " which of the following statements about " + some(60) for _ in range(20)]
+    texts[3] += " " + items[7][1]
+    halves = items[9][1].split()
+    texts[5] += " " + " ".join(halves[15:]) + " between " + " ".join(halves[:15])  # the stem is part of what is covered
+    b = decontam.Benchmark(items)
+    tiled = []
+    count = decontam.tile
+    try:
+        decontam.tile = lambda *a: tiled.append(1) or count(*a)
+        got = b.matches(texts)
+    finally:
+        decontam.tile = count
+    assert [(i, m[0]) for i, ms in enumerate(got) for m in ms] == [(3, "7"), (5, "9")]
+    assert len(tiled) < 20  # not every item for every document with the stem
+
+
 def test_tiling_matches_brute_force():
     rng = random.Random(3)
     for _ in range(200):
