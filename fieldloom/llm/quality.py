@@ -6,8 +6,11 @@ source, the minimum-covariance-determinant (MCD) estimate of location and
 scatter is found by concentration steps: distances under the current estimate,
 the ``ALPHA`` share of the rows with the smallest ones, their mean and
 covariance, and again.  Two deterministic starts run side by side and the one
-with the smaller determinant wins.  A document is rejected when its squared
-Mahalanobis distance under that estimate exceeds ``CUTOFF``.
+with the smaller determinant wins.  Languages and the whole table get estimates
+alike; a group's location and scatter are mixed with its language's, and these with
+the table's, each by the square of n / (n + ``SHRINK``) for its n rows: an outlier among few rows
+hardly widens its own limits, many rows decide nearly all, and no size is a limit between.  A document is rejected
+when its squared Mahalanobis distance under that mixture exceeds ``CUTOFF``.
 
 Only DataFrame functions are used.  A step is one pass over the narrow
 statistics table: rows are grouped by (group, start, distance bin) with exact
@@ -16,10 +19,8 @@ quantile and the moments of the nearest share are read off the few bins.
 Integer sums make reruns agree bit for bit.
 
 Defined cases: a NULL or empty text has no words and fails the base rules; NULL
-``lang`` or ``source`` are groups of their own; a group with under ``MIN_GROUP``
-rows that pass the base rules is judged by the estimate over all passing rows of
-its language, and where the language has fewer too, by the one over all passing
-rows of the table; only where even these are fewer do the base rules decide alone;
+``lang`` or ``source`` are groups of their own; a group has an estimate from one
+row on that passes the base rules (the floors under the deviations keep it regular);
 repeated rows are judged one by one, alike; other columns are ignored.
 """
 
@@ -38,7 +39,7 @@ MAX_REPEAT_PCT = 30
 SYMBOLS = "#*$%&|<>"
 ALPHA = 0.75                # share of a group's rows the estimate is made of
 STEPS = 4                   # concentration steps
-MIN_GROUP = 60              # rows needed for an estimate
+SHRINK = 60                 # rows at which a group's own estimate has a quarter of the weight
 SCALE = 1000                # features are kept as integers of 1 / SCALE
 #: Smallest standard deviation of each feature, in feature units: most rows have
 #: no symbol or repetition at all, so their scatter would otherwise be singular.
@@ -109,7 +110,7 @@ def _consistency(alpha: float, p: int) -> float:
     return alpha / _chi2_cdf(lo, p + 2)
 
 
-KEYS = ["_glang", "_gsource", "_pooled"]
+KEYS = ["_glang", "_gsource", "_level"]
 
 
 def _on(a: DataFrame, b: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
@@ -160,44 +161,21 @@ def _distance(rows: DataFrame) -> DataFrame:
                      *[f"_l{i}{j}" for i, j in PAIRS])
 
 
-def _sizes(stats: DataFrame) -> tuple[DataFrame, bool]:
-    """Per (lang, source) ``_pooled``: 0 where its passing rows suffice for an estimate, 1 where its language's
-    do, 2 where neither; ``_wide``: the language's estimate is needed.  And whether the groups are few."""
-    own = stored(stats.groupBy(F.col("lang").alias("_glang"), F.col("source").alias("_gsource"))
-                 .agg(F.count_if(~F.col("base_failed")).alias("_size")), "quality-groups")
-    small = own.count() <= BROADCAST_GROUPS
-    langs = own.groupBy("_glang").agg(F.sum("_size").alias("_lsize"), F.min("_size").alias("_least"))
-    enough = F.col("_lsize") >= MIN_GROUP
-    sizes = _attach(own, langs, ["_glang"], small).select(
-        "_glang", "_gsource", F.when(F.col("_size") >= MIN_GROUP, 0).when(enough, 1).otherwise(2).alias("_pooled"),
-        (enough & (F.col("_least") < MIN_GROUP)).alias("_wide"))
-    return stored(sizes, "quality-sizes"), small
+def _few_groups(stats: DataFrame) -> bool:
+    """The table of estimates is small enough to be broadcast."""
+    return stats.select("lang", "source").distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
 
 
-def _grouped(stats: DataFrame, sizes: DataFrame, small: bool) -> DataFrame:
-    """Adds the group whose estimate judges the row: (lang, source), or lang, or all rows where these are small."""
-    s = stats.select("*", F.col("lang").alias("_glang"), F.col("source").alias("_gsource"))
-    return _keyed(_attach(s, sizes, ["_glang", "_gsource"], small).drop("_wide"))
+def _members(stats: DataFrame) -> DataFrame:
+    """The passing rows once for each estimate they are part of: their group's (level 0), their language's (1), that of all (2)."""
+    s = stats.where(~F.col("base_failed")).select("lang", "source", *NAMES)
+    s = s.withColumn("_level", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    return s.select(F.when(F.col("_level") < 2, F.col("lang")).alias("_glang"), F.when(F.col("_level") < 1, F.col("source")).alias("_gsource"),
+                    "_level", *NAMES)
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    """The group's keys as far as ``_pooled`` tells groups apart."""
-    return rows.withColumn("_glang", F.when(F.col("_pooled") < 2, F.col("_glang"))) \
-        .withColumn("_gsource", F.when(F.col("_pooled") < 1, F.col("_gsource")))
-
-
-def _members(stats: DataFrame, sizes: DataFrame, small: bool) -> DataFrame:
-    """The passing rows once per estimate they are part of: their own group's, their language's and that of all."""
-    s = stats.where(~F.col("base_failed")).select(F.col("lang").alias("_glang"), F.col("source").alias("_gsource"), "base_failed", *NAMES)
-    whole = not sizes.where("_pooled = 2").isEmpty()
-    part_of = [F.when(F.col("_pooled") == 0, 0), F.when(F.col("_wide"), 1), F.lit(2 if whole else None).cast("int")]
-    s = _attach(s, sizes, ["_glang", "_gsource"], small)
-    return _keyed(s.withColumn("_pooled", F.explode(F.array_compact(F.array(*part_of)))).drop("_wide"))
-
-
-def estimates(grouped: DataFrame, small: bool) -> DataFrame:
-    """MCD location ``_m*`` and Cholesky factor ``_l**`` per group, from rows with features and group keys."""
-    rows = grouped.where(~F.col("base_failed")).select(*KEYS, *NAMES)
+def estimates(rows: DataFrame, small: bool) -> DataFrame:
+    """MCD location ``_m*``, Cholesky factor ``_l**`` and row count ``_all`` per group, from rows with features and group keys."""
     p = len(NAMES)
     # start 0: nearest to the coordinate-wise medians in units of the median absolute deviation;
     # start 1: nearest to them in units of the smallest deviations allowed
@@ -225,33 +203,63 @@ def estimates(grouped: DataFrame, small: bool) -> DataFrame:
             .withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
         tot = bins.where(F.col("_before") < F.ceil(F.col("_all") * ALPHA)).groupBy(*keys).agg(
             F.max("_all").alias("_all"), *[F.sum(c).alias(c) for c in ["_n", *[f"_s{i}" for i in range(p)], *[f"_q{i}{j}" for i, j in PAIRS]]])
-        tot = tot.where(F.col("_all") >= MIN_GROUP)
         mean = [F.col(f"_s{i}") / F.col("_n") for i in range(p)]
         cov = {(i, j): (F.col(f"_q{i}{j}") / F.col("_n") - mean[i] * mean[j]) * factor + (F.lit(floor[i] ** 2) if i == j else F.lit(0.0))
                for i, j in PAIRS}
-        est = _cholesky(tot.select("*", *[m.alias(f"_m{i}") for i, m in enumerate(mean)]), cov, [*keys, *[f"_m{i}" for i in range(p)]])
+        est = _cholesky(tot.select("*", *[m.alias(f"_m{i}") for i, m in enumerate(mean)]), cov, [*keys, "_all", *[f"_m{i}" for i in range(p)]])
     det = sum((F.log(F.col(f"_l{i}{i}")) for i in range(p)), F.lit(0.0))
     first = Window.partitionBy(*KEYS).orderBy(F.round(det, 9), "_start")
     return est.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank", "_start")
 
 
-def judged(grouped: DataFrame, est: DataFrame, small: bool) -> DataFrame:
-    """Adds ``distance2`` (NULL without an estimate) and ``kept``."""
-    out = _distance(_attach(grouped, est, KEYS, small, "left"))
+def _moments(est: DataFrame, tag: str, keys: list[str]) -> DataFrame:
+    """``keys``, row count, location and covariance of an estimate, with ``tag`` in front."""
+    cov = {(i, j): sum((F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}") for k in range(j + 1)), F.lit(0.0)) for i, j in PAIRS}
+    return est.select(*keys, F.col("_all").alias(f"{tag}n"), *[F.col(f"_m{i}").alias(f"{tag}m{i}") for i in range(len(NAMES))],
+                      *[c.alias(f"{tag}c{i}{j}") for (i, j), c in cov.items()])
+
+
+def _towards(est: DataFrame, tag: str, wide: str) -> DataFrame:
+    """Replaces the estimate ``tag`` by its mixture with the wider one; its weight grows with its rows."""
+    w = F.pow(F.col(f"{tag}n") / (F.col(f"{tag}n") + SHRINK), 2)
+    gap = [F.col(f"{tag}m{i}") - F.col(f"{wide}m{i}") for i in range(len(NAMES))]
+    mean = {f"{tag}m{i}": w * F.col(f"{tag}m{i}") + (1 - w) * F.col(f"{wide}m{i}") for i in range(len(NAMES))}
+    cov = {f"{tag}c{i}{j}": w * F.col(f"{tag}c{i}{j}") + (1 - w) * F.col(f"{wide}c{i}{j}") + w * (1 - w) * gap[i] * gap[j] for i, j in PAIRS}
+    return est.withColumns({**mean, **cov})
+
+
+def shrunk(est: DataFrame, small: bool) -> DataFrame:
+    """One estimate per (language, source): its own, drawn towards the language's and that of all rows where it has few rows."""
+    own = _moments(est.where("_level = 0"), "_a", ["_glang", "_gsource"])
+    lang = _moments(est.where("_level = 1"), "_b", ["_glang"])
+    every = _moments(est.where("_level = 2"), "_e", [])  # one row
+    both = _towards(_attach(lang.withColumn("_one", F.lit(1)), every.withColumn("_one", F.lit(1)), ["_one"], True), "_b", "_e")
+    both = both.select("_glang", *[c for c in both.columns if c.startswith("_b")])
+    mixed = _towards(_attach(own, both, ["_glang"], small), "_a", "_b")
+    keys = ["_glang", "_gsource", *[f"_m{i}" for i in range(len(NAMES))]]
+    mixed = mixed.select("*", *[F.col(f"_am{i}").alias(f"_m{i}") for i in range(len(NAMES))])
+    return _cholesky(mixed, {(i, j): F.col(f"_ac{i}{j}") for i, j in PAIRS}, keys)
+
+
+def judged(stats: DataFrame, est: DataFrame, small: bool) -> DataFrame:
+    """Adds ``distance2`` (NULL where no row of the group passes the base rules) and ``kept``."""
+    rows = stats.select("*", F.col("lang").alias("_glang"), F.col("source").alias("_gsource"))
+    out = _distance(_attach(rows, est, ["_glang", "_gsource"], small, "left"))
     return out.withColumn("distance2", F.round("_d2", 6)) \
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("_d2") <= CUTOFF, F.lit(True)))
 
 
-def _fit(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+def _fit(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame, bool]:
     stats = stored(with_statistics(docs, keep), "quality-stats")
-    sizes, small = _sizes(stats)
-    return stats, sizes, estimates(_members(stats, sizes, small), small), small
+    small = _few_groups(stats)
+    est = stored(estimates(_members(stats), small), "quality-estimates")
+    return stats, stored(shrunk(est, small), "quality-shrunk"), small
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, kept, distance2."""
-    stats, sizes, est, small = _fit(docs, ["doc_id", "lang", "source"])
-    return judged(_grouped(stats, sizes, small), est, small).select(
+    stats, est, small = _fit(docs, ["doc_id", "lang", "source"])
+    return judged(stats, est, small).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
 
 
@@ -261,10 +269,10 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     The estimates come from a first pass; a second one computes each row's
     statistics again, so no row needs an identity to find its verdict.
     """
-    _, sizes, est, small = _fit(docs, ["lang", "source"])
+    _, est, small = _fit(docs, ["lang", "source"])
     own = F.struct(*[F.col(c) for c in docs.columns])
     stats = with_statistics(docs.select(own.alias("_row"), "text", "lang", "source"), ["_row", "lang", "source"])
-    verdict = judged(_grouped(stats, sizes, small), est, small)
+    verdict = judged(stats, est, small)
     # a filter on kept would be pushed below the statistics and repeat them in its condition;
     # an outer generator stays in place and computes each of them once
     out = verdict.select(F.explode_outer(F.when(F.col("kept"), F.array("_row"))).alias("_row"))

@@ -495,7 +495,38 @@ def test_small_groups_are_judged_by_their_language_or_by_all(spark):
     assert {r["doc_id"] for r in got if not r["kept"]} == {300, 500, 700}
     assert {r.doc_id for r in quality.quality_filter(d).collect()} == {r["doc_id"] for r in got if r["kept"]}
     few = d.where("lang = 'fr'")
-    assert quality.quality(few).where("not kept or distance2 is not null").count() == 0
+    assert {r.doc_id for r in quality.quality(few).where("not kept").collect()} == {500}
+
+
+def test_outlier_in_a_table_of_few_rows_goes(spark):
+    rows = [(i, prose(i, 80 + 3 * i), "en", "s") for i in range(25)] + [(99, " ".join(w + "**" for w in prose(99, 120).split()), "en", "s")]
+    got = table(quality.quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")))
+    assert {r["doc_id"] for r in got if not r["kept"]} == {99} and all(r["distance2"] is not None for r in got)
+
+
+def test_shrinking_matches_numpy(spark):
+    rng = np.random.default_rng(7)
+    features = rng.normal(1000, 300, (90, 5)).astype(int)
+    langs, sources = ["a"] * 60 + ["b"] * 30, ["x"] * 50 + ["y"] * 10 + ["x"] * 30
+    df = spark.createDataFrame([(g, s, False, *map(int, r)) for g, s, r in zip(langs, sources, features)],
+                               "lang string, source string, base_failed boolean, " + ", ".join(f"_f{i} long" for i in range(1, 6)))
+    got = {(r["_glang"], r["_gsource"]): r for r in quality.shrunk(quality.estimates(quality._members(df), True), True).collect()}
+    floor = np.array(list(quality.FEATURES.values())) * quality.SCALE
+
+    def mcd(rows):
+        return min((brute_mcd(features[rows], quality.STEPS, quality.ALPHA, floor, s) for s in (0, 1)), key=lambda e: np.linalg.slogdet(e[1])[1])
+
+    def mixed(n, e, wide):
+        w, gap = (n / (n + quality.SHRINK)) ** 2, e[0] - wide[0]
+        return w * e[0] + (1 - w) * wide[0], w * e[1] + (1 - w) * wide[1] + w * (1 - w) * np.outer(gap, gap)
+
+    langs, sources = np.array(langs), np.array(sources)
+    for g, s in (("a", "x"), ("a", "y"), ("b", "x")):
+        own, lang = np.flatnonzero((langs == g) & (sources == s)), np.flatnonzero(langs == g)
+        mean, cov = mixed(len(own), mcd(own), mixed(len(lang), mcd(lang), mcd(np.arange(90))))
+        r = got[g, s]
+        assert np.allclose([r[f"_m{i}"] for i in range(5)], mean)
+        assert np.allclose([r[f"_l{i}{j}"] for i, j in quality.PAIRS], [np.linalg.cholesky(cov)[i, j] for i, j in quality.PAIRS])
 
 
 def brute_mcd(x, steps, alpha, floor, start):
@@ -524,8 +555,8 @@ def test_estimates_match_numpy(spark):
     rng = np.random.default_rng(4)
     x = np.column_stack([rng.normal(5000, 400, 300), rng.normal(1600, 60, 300), rng.normal(30, 20, 300), rng.normal(0, 50, 300), rng.normal(0, 30, 300)]).astype(int)
     x[:30] += 900
-    rows = [("en", "s", False, *map(int, r), False) for r in x]
-    df = spark.createDataFrame(rows, "_glang string, _gsource string, _pooled boolean, _f1 long, _f2 long, _f3 long, _f4 long, _f5 long, base_failed boolean")
+    rows = [("en", "s", 0, *map(int, r), False) for r in x]
+    df = spark.createDataFrame(rows, "_glang string, _gsource string, _level int, _f1 long, _f2 long, _f3 long, _f4 long, _f5 long, base_failed boolean")
     got = quality.estimates(df, True).collect()[0]
     floor = np.array(list(quality.FEATURES.values())) * quality.SCALE
     both = [brute_mcd(x, quality.STEPS, quality.ALPHA, floor, s) for s in (0, 1)]
