@@ -1,8 +1,11 @@
 """Reversible line dedup with sharded cuckoo filters (operator 5).
 
 State, one folder per version: ``refs`` - the exact reference counts, one row
-(shard, key, n_docs) per line key - and ``filters`` - one cuckoo filter per shard
-that holds the keys found in at least ``MIN_DOCS`` documents.  Inserting or
+(key, n_docs) per line key -, ``filters`` - one cuckoo filter per shard
+that holds the keys found in at least ``MIN_DOCS`` documents -, ``docs`` - the digests of
+the documents that are in, with their number - and, after a deletion, ``refused``.  A row in
+``manifest``, written last, makes a version valid; a ``LineIndex`` opened on a folder goes on with its
+latest one, in any session.  Inserting or
 deleting documents sums their distinct keys (+1 / -1) into the counts; keys that
 cross the threshold enter or leave their shard's filter, which a Bloom filter
 could not do.  A new version is written beside the old one.
@@ -24,15 +27,17 @@ text: equal texts share one decision, and no row needs an identity.
 Defined cases: NULL or empty text is one empty line, whose key has no code point
 and is never dropped; repeated rows count as documents of their own; NULL doc_id
 is kept; an empty table gives no rows; other columns are ignored by the report
-and kept by ``drop_lines``.  Deleting a document that was never inserted raises
-no error; counts never go below 0.
+and kept by ``drop_lines``.  Deleting a document that is not in the index, or more
+often than it is, changes no count; ``refused`` lists it.  A document without any key (blank
+lines only) leaves no trace in the index.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import LOWER, SPACES, UPPER, digest128, documents, scratch, stored
@@ -41,6 +46,7 @@ MIN_DOCS = 10
 KEYS_PER_SHARD = 200_000
 PROBES_PER_TASK = 400_000
 SLOTS = 4
+MANIFEST = "version int, shards int, min_docs int"
 FIRST_BUCKETS = 64
 KICKS = 500
 
@@ -141,20 +147,34 @@ def text_digest() -> list[Column]:
 
 
 def doc_keys(docs: DataFrame) -> DataFrame:
-    """(_t1, _t2, k1, k2): each document's text digest with each of its keys once."""
+    """(_t1, _t2, k1, k2, lead): each document's text digest with each of its keys once, the first one marked."""
     keys = F.array_distinct(F.transform(lines_of(F.col("text")), line_key))
-    return docs.select(*text_digest(), F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("_k")) \
-        .select("_t1", "_t2", "_k.k1", "_k.k2")
+    return docs.select(*text_digest(), F.posexplode(F.filter(keys, lambda k: k.isNotNull())).alias("_at", "_k")) \
+        .select("_t1", "_t2", "_k.k1", "_k.k2", (F.col("_at") == 0).alias("lead"))
 
 
 # --- index ------------------------------------------------------------------
 
 class LineIndex:
-    """Versioned reference counts and filters under ``path``."""
+    """Versioned reference counts, filters and documents under ``path``; opens the latest version."""
 
     def __init__(self, spark: SparkSession, path: str, min_docs: int = MIN_DOCS):
         self.spark, self.path, self.min_docs, self.version = spark, path, min_docs, 0
         self.shards = 1
+        last = self._latest()
+        if last is not None:
+            if last["min_docs"] != min_docs:
+                raise ValueError(f"the index was made with min_docs={last['min_docs']}")
+            self.version, self.shards = last["version"], last["shards"]
+
+    def _latest(self) -> Row | None:
+        try:
+            made = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return made.orderBy(F.desc("version")).first()
 
     def _at(self, name: str, version: int | None = None) -> str:
         return f"{self.path}/v{self.version if version is None else version}/{name}"
@@ -165,6 +185,15 @@ class LineIndex:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self._at("refs"))
 
+    def docs(self) -> DataFrame:
+        """(_t1, _t2, n): the documents that are in, by text digest."""
+        schema = "_t1 long, _t2 long, n long"
+        return self.spark.read.schema(schema).parquet(self._at("docs")) if self.version else self.spark.createDataFrame([], schema)
+
+    def refused(self) -> DataFrame:
+        """(_t1, _t2, n): what the last deletion named beyond the documents that were in."""
+        return self.spark.read.schema("_t1 long, _t2 long, n long").parquet(self._at("refused"))
+
     def filters(self) -> DataFrame:
         return self.spark.read.schema("shard int, filter binary").parquet(self._at("filters"))
 
@@ -180,7 +209,15 @@ class LineIndex:
         return self._change(keys, -1)
 
     def _change(self, keys: DataFrame, sign: int) -> LineIndex:
-        delta = keys.groupBy("k1", "k2").agg((F.count("*") * sign).alias("_d"))
+        new = self.version + 1
+        write = lambda df, name: df.write.mode("overwrite").parquet(self._at(name, new))  # noqa: E731  what a broken run left goes
+        if sign > 0:
+            delta = keys.groupBy("k1", "k2").agg(F.count("*").alias("_d"))
+        else:
+            asked = self._asked(keys)
+            once = keys.select("_t1", "_t2", "k1", "k2").distinct().join(asked.where("_out > 0").select("_t1", "_t2", "_out"), ["_t1", "_t2"])
+            delta = once.groupBy("k1", "k2").agg((F.sum("_out") * -1).alias("_d"))
+            write(asked.where("_n > _out").select("_t1", "_t2", (F.col("_n") - F.col("_out")).alias("n")), "refused")
         old = self.refs()
         if self.version:
             moved = old.withColumn("_d", F.lit(0).cast("long")) \
@@ -189,8 +226,7 @@ class LineIndex:
         else:
             moved = delta.select("k1", "k2", F.lit(0).cast("long").alias("_old"), "_d")
         moved = moved.select("k1", "k2", "_old", F.greatest(F.col("_old") + F.col("_d"), F.lit(0)).alias("n_docs"))
-        new = self.version + 1
-        moved.write.parquet(self._at("moved", new))
+        write(moved, "moved")
         moved = self.spark.read.schema(moved.schema).parquet(self._at("moved", new))
         is_in, was_in = F.col("n_docs") >= self.min_docs, F.col("_old") >= self.min_docs
         crossed = moved.where(is_in != was_in).select("k1", is_in.alias("enters"))
@@ -201,17 +237,35 @@ class LineIndex:
         else:  # first version, or shards that have outgrown their size: deal the keys out anew
             self.shards = shards
             self._build_filters(moved.where(is_in).select("k1"), new)
-        moved.where("n_docs > 0").select("k1", "k2", "n_docs").write.parquet(self._at("refs", new))
+        write(moved.where("n_docs > 0").select("k1", "k2", "n_docs"), "refs")
+        write(self._changed_docs(keys, sign), "docs")
+        self.spark.createDataFrame([(new, self.shards, self.min_docs)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
         self.version = new
         return self
 
+    @staticmethod
+    def _batch(keys: DataFrame) -> DataFrame:
+        return keys.where("lead").groupBy("_t1", "_t2").agg(F.count("*").alias("_n"))
+
+    def _asked(self, keys: DataFrame) -> DataFrame:
+        """(_t1, _t2, _n, _out): documents to take out, how often they are named and how often they go."""
+        have = self.docs().withColumnRenamed("n", "_have")
+        out = self._batch(keys).join(have, ["_t1", "_t2"], "left")
+        return stored(out.select("_t1", "_t2", "_n", F.least("_n", F.coalesce("_have", F.lit(0))).alias("_out")), "line-asked")
+
+    def _changed_docs(self, keys: DataFrame, sign: int) -> DataFrame:
+        change = self._batch(keys).select("_t1", "_t2", (F.col("_n") * sign).alias("n"))
+        if not self.version:
+            return change.where("n > 0")
+        return self.docs().unionByName(change).groupBy("_t1", "_t2").agg(F.sum("n").alias("n")).where("n > 0")
+
     def _build_filters(self, keys: DataFrame, version: int) -> None:
         def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             f = CuckooFilter.build(pdf.k1.to_numpy().view(np.uint64))
             return pd.DataFrame({"shard": [key[0]], "filter": [f.to_bytes()]})
 
         keys.withColumn("shard", self.shard_of(F.col("k1"))).groupBy("shard") \
-            .applyInPandas(build, "shard int, filter binary").write.parquet(self._at("filters", version))
+            .applyInPandas(build, "shard int, filter binary").write.mode("overwrite").parquet(self._at("filters", version))
 
     def _update_filters(self, crossed: DataFrame, version: int) -> None:
         def update(key: tuple, have: pd.DataFrame, moved: pd.DataFrame) -> pd.DataFrame:
@@ -227,7 +281,7 @@ class LineIndex:
         out = stored(out, "line-filters")
         full = out.where(F.col("filter").isNull()).select("shard")
         if full.isEmpty():
-            out.write.parquet(self._at("filters", version))
+            out.write.mode("overwrite").parquet(self._at("filters", version))
             return
         keys = self.spark.read.parquet(self._at("moved", version)).where(F.col("n_docs") >= self.min_docs) \
             .withColumn("shard", self.shard_of(F.col("k1"))).join(full, "shard").select("k1")
