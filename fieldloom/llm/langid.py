@@ -3,17 +3,20 @@
 A word that the model knows is scored by its log frequency in each language.  An
 unseen word falls back to character n-grams: at each of its places the longest
 known n-gram that starts there counts, from ``MAX_GRAM`` letters down to one.
-All scores are centred over the languages, so words and n-grams of any length
+Scores are relative to the other languages, so words and n-grams of any length
 add up as evidence; the score is the posterior of the best language.
 
 Learning: word counts per language over a sample of the labelled rows that are
 not held out (crc32 of the id's text mod 4 is not 2).  The sample is bounded:
-``SAMPLE_DOCS`` documents per language, drawn by a hash of id and text, a documented
-limit of the classifier's fit; the ``MODEL_WORDS`` most frequent words and
-``MODEL_GRAMS`` most frequent n-grams of each length are kept per language, which
-bounds what is sent to the executors.  Prediction reads every whole text and
+``SAMPLE_DOCS`` documents per language and ``SAMPLE_ALL`` in all (shared evenly by the
+languages), drawn by a hash of id and text, a documented limit of the classifier's fit.
+Every word and n-gram of the sample is in the model, which holds a number for each
+language that has it and none for the others; so the sample's bound is the
+model's, whatever the number of languages.  Prediction reads every whole text and
 nothing else.
 
+Letters are the characters of Unicode's categories L*.
+
 Defined cases: NULL text or text without a letter is ``und`` with score 0; text
 without any known n-gram gets the first language by name with an even score; no
 labelled row at all makes every text ``und``; NULL doc_id is not held out;
@@ -22,50 +25,66 @@ repeated rows are predicted alike and drawn together; an empty table gives no ro
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import documents, stored
 
 SAMPLE_DOCS = 1000
-MODEL_WORDS = 20_000
-MODEL_GRAMS = 15_000
+SAMPLE_ALL = 8000
 MAX_GRAM = 4
 SMOOTH = 0.5
 BROADCAST_LANGS = 10_000
 MEMORY = 200_000
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 
 
 def held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
+class Table:
+    """Log frequencies of the tokens of one kind: what every language has for an unseen token, and what a seen one adds."""
+
+    def __init__(self, langs: int, tokens: list[str], owner: np.ndarray, lang: np.ndarray, n: np.ndarray):
+        """Row by row: a token's place in ``tokens`` (ascending), a language that has it, and how often."""
+        total = np.bincount(lang, weights=n, minlength=langs)
+        self.unseen = np.log(SMOOTH) - np.log(total + SMOOTH * max(1, len(tokens)))
+        self.at = dict(zip(tokens, range(len(tokens))))
+        self.ends = np.searchsorted(owner, np.arange(len(tokens) + 1))
+        self.lang, self.more = lang.astype(np.int32), np.log((n + SMOOTH) / SMOOTH)
+
+
 class Model:
-    """Centred log frequencies: word or n-gram -> one number per language."""
+    """Words and n-grams by length; evidence per language, up to a constant that all languages share."""
 
-    def __init__(self, langs: list[str], words: dict, grams: dict):
+    def __init__(self, langs: list[str], words: Table, grams: dict[int, Table]):
         self.langs, self.words, self.grams = langs, words, grams
 
-    def word(self, w: str) -> np.ndarray | float:
-        v = self.words.get(w)
-        if v is not None:
+    def word(self, w: str) -> np.ndarray:
+        t, size = self.words, len(self.langs)
+        i = t.at.get(w)
+        if i is not None:
+            v = t.unseen.copy()
+            v[t.lang[t.ends[i]:t.ends[i + 1]]] += t.more[t.ends[i]:t.ends[i + 1]]
             return v
-        padded, total, n = f" {w} ", 0.0, 0
+        padded, v, n = f" {w} ", np.zeros(size), 0
         for i in range(len(padded)):
-            for size in range(min(MAX_GRAM, len(padded) - i), 0, -1):
-                v = self.grams.get(padded[i:i + size])
-                if v is not None:
-                    total = total + v
+            for k in range(min(MAX_GRAM, len(padded) - i), 0, -1):
+                t = self.grams.get(k)
+                g = t.at.get(padded[i:i + k]) if t else None
+                if g is not None:
+                    v += t.unseen
+                    v[t.lang[t.ends[g]:t.ends[g + 1]]] += t.more[t.ends[g]:t.ends[g + 1]]
                     n += 1
                     break
-        return total / max(1, n ** 0.5)
+        return v / max(1, n ** 0.5)
 
     def token(self, t: str) -> np.ndarray:
         """Evidence of what stands between two white spaces."""
@@ -76,7 +95,7 @@ class Model:
 
 
 class Predictor:
-    """Scores texts; remembers the last ``MEMORY`` to twice as many tokens."""
+    """Scores texts; remembers the evidence of tokens, of ``MEMORY`` to twice as many for four languages, of fewer for more."""
 
     def __init__(self, model: Model):
         self.model, self.known, self.older = model, {}, {}
@@ -91,7 +110,7 @@ class Predictor:
     def predict(self, text: str | None) -> tuple[str, float]:
         if text is None or LETTERS.search(text) is None or not self.model.langs:
             return "und", 0.0
-        if len(self.known) > MEMORY:
+        if len(self.known) * len(self.model.langs) > MEMORY * 4:
             self.known, self.older = {}, self.known
         counts = Counter(text.lower().split())
         known, row = self.known, self._row
@@ -101,26 +120,15 @@ class Predictor:
         return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def _centred(counts: dict[str, dict[str, int]], langs: list[str]) -> dict[str, np.ndarray]:
-    """token -> log frequency per language, less the mean over the languages."""
-    all_ = np.array([sum(counts[g].values()) for g in langs], float)
-    tokens = set().union(*counts.values())
-    base = np.log(all_ + SMOOTH * max(1, len(tokens)))
-    out = {}
-    for t in tokens:
-        v = np.log(np.array([counts[g].get(t, 0) for g in langs]) + SMOOTH) - base
-        out[t] = (v - v.mean()).astype(np.float64)
-    return out
-
-
 def fit(docs: DataFrame) -> Model:
     """Learns from a bounded sample of the labelled rows that are not held out."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = stored(rows.groupBy("lang").count().withColumnRenamed("lang", "_lang"), "langid-sizes")
-    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGS else sizes  # else texts are shuffled by language
+    n_langs = sizes.count()
+    sizes = F.broadcast(sizes) if n_langs <= BROADCAST_LANGS else sizes  # else texts are shuffled by language
     place = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.select("lang", "text", place.alias("_u")).join(sizes, F.col("lang") == F.col("_lang")) \
-        .where(F.col("_u") * F.col("count") < SAMPLE_DOCS)
+        .where(F.col("_u") * F.col("count") < F.least(F.lit(SAMPLE_DOCS), F.lit(SAMPLE_ALL) / F.lit(max(1, n_langs))))
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     words = stored(sample.select("lang", words.alias("t")).groupBy("lang", "t").agg(F.count("*").alias("n")), "langid-words")
     padded = F.concat(F.lit(" "), F.col("t"), F.lit(" "))
@@ -129,21 +137,17 @@ def fit(docs: DataFrame) -> Model:
         at = F.sequence(F.lit(1), F.greatest(F.length(padded) - (size - 1), F.lit(1)))
         grams = words.select("lang", "n", F.explode(F.transform(at, lambda i, k=size: F.substring(padded, i, F.lit(k)))).alias("t"))
         tables.append(grams.groupBy("lang", "t").agg(F.sum("n").alias("n")).withColumn("size", F.lit(size)).select("lang", "t", "n", "size"))
-    table = tables[0]
-    for t in tables[1:]:
-        table = table.unionByName(t)
-    first = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "t")
-    table = table.withColumn("_r", F.row_number().over(first)) \
-        .where(F.col("_r") <= F.when(F.col("size") == 0, MODEL_WORDS).otherwise(MODEL_GRAMS))
-    counts: dict[int, dict[str, dict[str, int]]] = {}
-    for r in table.select("lang", "t", "n", "size").toLocalIterator():  # bounded by the limits above
-        counts.setdefault(r["size"], {}).setdefault(r["lang"], {})[r["t"]] = r["n"]
-    langs = sorted({g for c in counts.values() for g in c})
-    full = lambda c: {g: c.get(g, {}) for g in langs}
-    grams: dict[str, np.ndarray] = {}
-    for size in range(1, MAX_GRAM + 1):
-        grams |= _centred(full(counts.get(size, {})), langs)
-    return Model(langs, _centred(full(counts.get(0, {})), langs), grams)
+    langs = [r[0] for r in words.select("lang").distinct().orderBy("lang").collect()]
+    place = {g: i for i, g in enumerate(langs)}
+    made: dict[int, Table] = {}
+    for size in range(MAX_GRAM + 1):  # what the bounded sample holds
+        got = tables[size].select("t", "lang", "n").toArrow()
+        t, lang = got.column("t").combine_chunks().dictionary_encode(), got.column("lang").to_pylist()
+        tokens = t.dictionary.to_pylist()
+        owner, lang = np.array(t.indices, np.int64), np.array([place[g] for g in lang], np.int64)
+        order = np.lexsort((lang, owner))
+        made[size] = Table(len(langs), tokens, owner[order], lang[order], np.array(got.column("n"), np.float64)[order])
+    return Model(langs, made[0], {k: v for k, v in made.items() if k})
 
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
