@@ -2,8 +2,10 @@
 
 Words are summed per source, the weights give each source a target of words,
 and target / size is the source's repetition rate: a document is emitted
-floor(rate) times, plus once more when a number seeded by its id's digest lies
-below the rate's fraction.
+floor(rate) times, plus once more when a number seeded by the digest of its id, source
+and text lies below the rate's fraction.  Of n rows that are equal in these, floor(n *
+fraction) get the extra copy, and one more by that number: a hot id can't make a
+source miss its target.
 
 Targets: ``SHARE`` of all words is dealt out by weight; a source takes at most
 ``CAP`` times its own words, and what it can't take goes to the others by
@@ -18,8 +20,9 @@ shuffle, and the join with the rates needs no shuffle while that table is under
 Spark's broadcast threshold (a skewed sort-merge join is split beyond it).
 
 Defined cases: NULL text has size 0; NULL source is a source of its own, last in
-order; an empty table gives no rows; a source of size 0 has target 0; repeated
-rows draw alike; NULL doc_id draws by the digest of the empty string.
+order; an empty table gives no rows; a source of size 0 has target 0; NULL doc_id is
+seeded as an empty one, so that the text decides; of repeated rows the extra copies go to
+any, evenly.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ WEIGHTS = (3, 1, 2)         # by the source's place in code point order, repeati
 SHARE = 1.5
 CAP = 2.0
 SEED = "mix-1"
+SALTS = 256                 # tasks that the rows of one key are dealt over
 
 
 def size_of(text: Column) -> Column:
@@ -60,14 +64,45 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
                       F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("rate"))
 
 
-def draw(doc_id: Column) -> Column:
-    """A number in [0, 1) seeded by the document's id."""
-    digest = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
-    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
+def row_key() -> Column:
+    """The digest that seeds a document's draw; rows with the same one are equal in id, source and text."""
+    own = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.md5(F.concat_ws(":", F.lit(SEED), own("doc_id"), own("source"), F.md5(text_of().cast("binary"))).cast("binary"))
 
 
-def copies(doc_id: Column, rate: Column) -> Column:
-    return (F.floor(rate) + F.when(draw(doc_id) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+def draw(key: Column) -> Column:
+    """A number in [0, 1) from a row's key."""
+    return F.conv(F.substring(key, 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+def copies(rate: Column) -> Column:
+    """How often the row ``_i`` of ``_n`` equal ones is taken."""
+    more = F.col("_n") * (rate - F.floor(rate))
+    extra = F.floor(more) + F.when(draw(F.col("_key")) < more - F.floor(more), 1).otherwise(0)
+    upto = lambda i: F.floor(i * extra / F.col("_n"))
+    return (F.floor(rate) + upto(F.col("_i")) - upto(F.col("_i") - 1)).cast("int")
+
+
+def _numbered(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` with the number ``_n`` of rows that share their ``_key``, and a place ``_i`` among them.
+
+    Keys of one row, nearly all, need no more.  The rows of others are stored with a salt and numbered within
+    (key, salt), so that a key with a third of all rows is dealt over ``SALTS`` tasks.
+    """
+    several = keys.groupBy("_key").count().where("count > 1").withColumnRenamed("_key", "_rk")
+    several = stored(several, "mix-repeated")
+    if several.isEmpty():
+        return rows.withColumns({"_n": F.lit(1).cast("long"), "_i": F.lit(1).cast("long")})
+    flagged = rows.join(several, F.col("_key") == F.col("_rk"), "left").drop("_rk").withColumnRenamed("count", "_n")
+    hot = stored(flagged.where("_n IS NOT NULL").withColumn("_salt", F.monotonically_increasing_id() % SALTS), "mix-several")
+    parts = hot.groupBy(F.col("_key").alias("_pk"), F.col("_salt").alias("_ps")).count()
+    before = Window.partitionBy("_pk").orderBy("_ps").rowsBetween(Window.unboundedPreceding, -1)  # SALTS rows at most
+    parts = parts.select("_pk", "_ps", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_key", "_salt").orderBy("_n"))
+    hot = hot.withColumn("_nth", nth).join(parts, (F.col("_key") == F.col("_pk")) & (F.col("_salt") == F.col("_ps")))
+    hot = hot.withColumn("_i", F.col("_before") + F.col("_nth")).select(*rows.columns, "_n", "_i")
+    alone = flagged.where("_n IS NULL").drop("_n").withColumns({"_n": F.lit(1).cast("long"), "_i": F.lit(1).cast("long")})
+    return alone.unionByName(hot)
 
 
 def _rated(rows: DataFrame, targets: DataFrame) -> DataFrame:
@@ -77,18 +112,18 @@ def _rated(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken per document."""
-    sizes = stored(docs.select("doc_id", "source", size_of(text_of()).alias("size")), "mix-sizes")
-    out = _rated(sizes, source_targets(sizes)).withColumn("copies", copies(F.col("doc_id"), F.col("rate")))
+    sizes = stored(docs.select("doc_id", "source", size_of(text_of()).alias("size"), row_key().alias("_key")), "mix-sizes")
+    out = _rated(_numbered(sizes, sizes), source_targets(sizes)).withColumn("copies", copies(F.col("rate")))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies",
                       (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: every document as many times as the mix takes it, with its own columns."""
-    sizes = stored(docs.select("source", size_of(text_of()).alias("size")), "mix-sizes")
+    sizes = stored(docs.select("source", size_of(text_of()).alias("size"), row_key().alias("_key")), "mix-sizes")
     t = stored(source_targets(sizes), "mix-targets")
-    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), "doc_id", "source")
-    out = _rated(own, t).select("_row", copies(F.col("doc_id"), F.col("rate")).alias("_copies"))
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), "source", row_key().alias("_key"))
+    out = _rated(_numbered(own, sizes), t).select("_row", copies(F.col("rate")).alias("_copies"))
     repeated = F.explode(F.array_repeat(F.lit(0), F.col("_copies")))
     return out.where("_copies > 0").select("_row", repeated).select("_row.*")
 
@@ -99,7 +134,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = f"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(source, '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 per AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [{', '.join(f'{float(w)}' for w in WEIGHTS)}][1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)})] AS w
@@ -116,10 +152,13 @@ tar AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(
 rated AS (
   SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-         CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / {float(1 << 48)} AS u
-  FROM sized s JOIN tar t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, source, size, source_size, CAST(target AS DOUBLE) AS target,
-       CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS INTEGER) AS copies,
-       CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM rated
+         key, CAST('0x' || substr(key, 1, 12) AS BIGINT) / {float(1 << 48)} AS u,
+         count(*) OVER (PARTITION BY key) AS n, row_number() OVER (PARTITION BY key) AS i
+  FROM sized s JOIN tar t ON s.source IS NOT DISTINCT FROM t.source),
+drawn AS (
+  SELECT *, floor(n * (rate - floor(rate))) + CASE WHEN u < n * (rate - floor(rate)) - floor(n * (rate - floor(rate))) THEN 1 ELSE 0 END AS extra
+  FROM rated),
+counted AS (SELECT *, floor(rate) + floor(i * extra / n) - floor((i - 1) * extra / n) AS c FROM drawn)
+SELECT doc_id, source, size, source_size, CAST(target AS DOUBLE) AS target, CAST(c AS INTEGER) AS copies, CAST(size * c AS BIGINT) AS taken
+FROM counted
 """
