@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 
 from fieldloom.llm import decontam, langid, line_dedup, lm_score, mixing, near_dedup, quality, sharding, suffix_dedup, tokens
 from fieldloom.llm.common import documents, scratch
@@ -53,19 +54,80 @@ def test_language_awkward(spark):
 
 
 def test_unseen_words_back_off():
-    counts = {"a": {"xy": 5, "x": 9, "y": 1}, "b": {"zz": 5, "z": 9, "y": 9}}
-    grams = langid._centred({g: c for g, c in counts.items()}, ["a", "b"])
-    m = langid.Model(["a", "b"], {"known": np.array([0.0, 3.0])}, grams)
+    table = lambda *rows: langid.Table(2, sorted({t for t, _, _ in rows}), *(np.array(c) for c in zip(*[
+        (sorted({t for t, _, _ in rows}).index(t), g, n) for t, g, n in sorted(rows)])))
+    grams = {1: table(("x", 0, 9), ("y", 0, 1), ("y", 1, 9), ("z", 1, 9)), 2: table(("xy", 0, 5), ("zz", 1, 5))}
+    m = langid.Model(["a", "b"], table(("known", 1, 20), ("other", 0, 20)), grams)
     p = langid.Predictor(m)
     assert p.predict("known")[0] == "b" and p.predict("xyxy")[0] == "a" and p.predict("1 2 ?") == ("und", 0.0)
 
 
+def brute_language(rows, text):
+    """Word-first backoff from plain counts: (language, score)."""
+    tokens = {g: collections.Counter(w for t, x in rows if x == g for w in regex.findall(r"\p{L}+", t.lower())) for g in sorted({x for _, x in rows})}
+    kinds = [tokens] + [{g: collections.Counter() for g in tokens} for _ in range(langid.MAX_GRAM)]
+    for g, c in tokens.items():
+        for w, n in c.items():
+            for k in range(1, langid.MAX_GRAM + 1):
+                padded = f" {w} "
+                for i in range(max(1, len(padded) - k + 1)):
+                    kinds[k][g][padded[i:i + k]] += n
+    seen = [set().union(*kind.values()) for kind in kinds]
+
+    def log(k, t, g):
+        return math.log(kinds[k][g][t] + langid.SMOOTH) - math.log(sum(kinds[k][g].values()) + langid.SMOOTH * len(seen[k]))
+
+    total = dict.fromkeys(tokens, 0.0)
+    for w in regex.findall(r"\p{L}+", text.lower()):
+        if w in seen[0]:
+            for g in total:
+                total[g] += log(0, w, g)
+            continue
+        padded, found = f" {w} ", []
+        for i in range(len(padded)):
+            k = next((k for k in range(langid.MAX_GRAM, 0, -1) if i + k <= len(padded) and padded[i:i + k] in seen[k]), None)
+            if k:
+                found.append((k, padded[i:i + k]))
+        for g in total:
+            total[g] += sum(log(k, t, g) for k, t in found) / max(1, len(found) ** 0.5)
+    best = max(total, key=lambda g: (total[g], [-ord(c) for c in g]))
+    return best, 1 / sum(math.exp(v - total[best]) for v in total.values())
+
+
+def test_language_matches_brute_force(spark):
+    rng = random.Random(5)
+    stems = {"en": ["the", "tion", "ing", "was", "and"], "fr": ["le", "tion", "eau", "est", "élan"], "de": ["der", "ung", "ich", "und", "straße"]}
+    word = lambda g: "".join(rng.choices(stems[g], k=rng.randint(1, 3)))
+    rows = [(i, " ".join(word(g) for _ in range(8)) + f" {i}x½.", g) for i in range(40) for g in stems]
+    rows = [(3 * i + k, t, g) for k, (i, t, g) in enumerate(rows)]
+    asked = rows[:10] + [(9000 + i, " ".join(word(g) for g in rng.choices(list(stems), k=4)), None) for i in range(40)] + [(9999, "zzz qqq tion", None)]
+    schema = "doc_id bigint, text string, lang string"
+    learn = [(t, g) for i, t, g in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(asked, schema), langid.fit(spark.createDataFrame(rows, schema))).collect()}
+    for i, t, _ in asked:
+        lang, score = brute_language(learn, t)
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-9
+
+
+def test_number_characters_are_no_letters(spark):
+    d = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["½ ² ①", "12 ½", "Ⅷ", "_", "a½"])], "doc_id bigint, text string, lang string")
+    got = [r.lang_pred for r in langid.predict(d, langid.fit(d.where("doc_id = 4"))).orderBy("doc_id").collect()]
+    assert got[:4] == ["und"] * 4 and got[4] != "und" or zlib.crc32(b"4") % 4 == 2
+
+
+def test_model_is_bounded_whatever_the_number_of_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ALL", 200)
+    rows = [(40 * g + i, f"w{'abcdefghij'[g % 10]}{chr(97 + g // 10)} x{'abcdefghij'[i % 10]}{'abcd'[i // 10]}", f"l{g:02}") for g in range(40) for i in range(40)]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(m.langs) > 30 and len(m.words.lang) < 4 * 200
+
+
 def test_sample_of_rows_without_ids_is_bounded_and_not_empty(spark, monkeypatch):
     monkeypatch.setattr(langid, "SAMPLE_DOCS", 40)
     name = lambda i: "".join("abcdefghij"[int(c)] for c in str(1000 + i))
     rows = [(None, f"{g}common {g}{name(i)}", g) for g in ("de", "en", "fr") for i in range(400)]
     m = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
-    taken = {g: sum(w.startswith(g) and w != g + "common" for w in m.words) for g in ("de", "en", "fr")}
+    taken = {g: sum(w.startswith(g) and w != g + "common" for w in m.words.at) for g in ("de", "en", "fr")}
     assert m.langs == ["de", "en", "fr"] and all(10 < n < 120 for n in taken.values())
 
 
@@ -219,6 +281,25 @@ def test_mix_targets_match_resharing(spark, seed):
     assert all(abs(got[s] - want[s]) < 1e-6 * (1 + want[s]) for s in sizes)
 
 
+def test_rows_without_ids_meet_the_targets_and_equal_rows_are_dealt_evenly(spark):
+    rows = [(None, "word " * 20, s, i) for s in "abc" for i in range(1000)] + [(7, "one two three", "d", i) for i in range(101)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string, extra int").repartition(5)
+    got = table(mixing.mix_report(d))
+    by = collections.defaultdict(lambda: [0, 0.0, 0])
+    for r in got:
+        by[r["source"]][0] += r["taken"]
+        by[r["source"]][1] = r["target"]
+        by[r["source"]][2] += r["copies"]
+    assert len(got) == len(rows) and all(abs(t - want) <= 20 for t, want, _ in by.values())
+    out = mixing.mix(d)
+    n = collections.Counter((r.source, r.extra) for r in out.collect())
+    assert out.columns == d.columns and sum(n.values()) == sum(r["copies"] for r in got)
+    for s in "abcd":  # equal rows get the same number of copies, but for one
+        assert max(v for (x, _), v in n.items() if x == s) - min(n[s, i] for i in range(101)) <= 1
+    again = collections.Counter((r["source"], r["copies"]) for r in table(mixing.mix_report(d.repartition(3))))
+    assert again == collections.Counter((r["source"], r["copies"]) for r in got)
+
+
 def test_mix_awkward(spark):
     d = awkward(spark)
     got = table(mixing.mix_report(d))
@@ -268,6 +349,27 @@ def test_lines_match_brute_force_and_deletions_undo(spark):
     assert index.refs().where("n_docs <= 0").count() == 0
 
 
+def test_line_index_is_reopened_and_refuses_strangers(spark):
+    texts = [f"shared\nown {i}" for i in range(12)] + ["shared\nown 0", "  \n"]
+    docs = lambda ts: spark.createDataFrame(list(enumerate(ts)), "doc_id bigint, text string")
+    path = scratch(spark, "line-index")
+    line_dedup.LineIndex(spark, path).insert(line_dedup.doc_keys(docs(texts)))
+    again = line_dedup.LineIndex(spark, path)  # as another session would
+    assert again.version == 1 and again.docs().where("n = 2").count() == 1
+    strangers = [f"shared\nnew {i}" for i in range(5)] + ["shared\nown 1"] * 3
+    again.delete(line_dedup.doc_keys(docs(strangers)))
+    assert sorted(r.n for r in again.refused().collect()) == [1, 1, 1, 1, 1, 2]
+    left = texts[:1] + texts[2:]
+    last = line_dedup.LineIndex(spark, path)
+    assert values(line_dedup.line_report(docs(left), last), "n_lines", "n_dropped", "kept_sha256") == \
+        sorted(brute_lines(left, line_dedup.MIN_DOCS), key=key)
+    last.delete(line_dedup.doc_keys(docs(left[:4])))
+    assert values(line_dedup.line_report(docs(left[4:]), line_dedup.LineIndex(spark, path)), "n_lines", "n_dropped", "kept_sha256") == \
+        sorted(brute_lines(left[4:], line_dedup.MIN_DOCS), key=key)
+    with pytest.raises(ValueError):
+        line_dedup.LineIndex(spark, path, min_docs=3)
+
+
 def test_lines_awkward(spark):
     d = awkward(spark)
     keys = line_dedup.stored_keys(d)
