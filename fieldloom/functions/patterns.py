@@ -49,19 +49,21 @@ TAX_LINE = r"GSTIN|GST No|PAN"
 LEGAL_NAME = r"Legal\s*Name\s*:?\s*([^\n]+)"
 COMPANY_WORDS = ["PRIVATE", "LIMITED", "PVT", "LTD"]
 
-SUPPLIER_CONTEXT = "Supplier|Seller|From|GSTIN"
-BUYER_CONTEXT = "Buyer|Customer|Bill to|GSTIN"
-CONSIGNEE_CONTEXT = "Consignee|Ship to|GSTIN"
 SUPPLIER_ID_LABELS = [rf"Supplier\s*GSTIN\s*:?\s*({TAXID})", rf"Seller\s*GSTIN\s*:?\s*({TAXID})",
                       rf"From\s*GSTIN\s*:?\s*({TAXID})"]
 BUYER_ID_LABELS = [rf"Buyer\s*GSTIN\s*:?\s*({TAXID})", rf"Customer\s*GSTIN\s*:?\s*({TAXID})",
                    rf"GST\s*No\.?:?\s*({TAXID})", rf"Consignee\s*GSTIN\s*:?\s*({TAXID})"]
 GENERIC_ID_LABEL = rf"GSTIN\s*:?\s*({TAXID})"
+# By role: the labels of an id, the role's words, and its place among all ids of the text (else the first).
+SIMPLE_ID_ROLES = {"supplier": (SUPPLIER_ID_LABELS, "Supplier|Seller|From", 0),
+                   "buyer": (BUYER_ID_LABELS, "Buyer|Customer|Bill to", 1),
+                   "consignee": (BUYER_ID_LABELS, "Consignee|Ship to", 2)}
 
-SIMPLE_TOTAL_QTY = r"Total\s*(?:Qty|Quantity)[^0-9]*(\d[\d,.]*)"
-SIMPLE_SUBTOTAL = r"(?:Sub\s*Total|Taxable\s*Value|Assessable\s*Value)[^0-9]*(\d[\d,.]*)"
-SIMPLE_TAXES = {"cgst_amount": r"CGST[^0-9]*(\d[\d,.]*)", "sgst_amount": r"SGST[^0-9]*(\d[\d,.]*)",
-                "igst_amount": r"IGST[^0-9]*(\d[\d,.]*)", "cess_amount": r"CESS[^0-9]*(\d[\d,.]*)"}
+# The first number after the label, however far away.
+SIMPLE_TOTAL_QTY = r"Total\s*(?:Qty|Quantity)"
+SIMPLE_SUBTOTAL = r"(?:Sub\s*Total|Taxable\s*Value|Assessable\s*Value)"
+SIMPLE_TAXES = {"cgst_amount": "CGST", "sgst_amount": "SGST", "igst_amount": "IGST", "cess_amount": "CESS"}
+SIMPLE_NUMBER_TAIL = r"[^0-9]*(\d[\d,.]*)"
 TOTAL_LABELS = [r"Total\s*Invoice\s*Value\s*(?:in\s*INR)?", r"Total\s*Amount", r"Grand\s*Total",
                 r"Total\s*Value", r"Total"]
 SIMPLE_TOTAL_DECIMAL = [rf"{lab}\s*:?\s*(?:₹|Rs\.?)?\s*(\d[\d,.]+\.\d+)" for lab in TOTAL_LABELS]
@@ -86,12 +88,14 @@ ENTITY_TAIL = r"\s*:\s*(.*?)(?:\n|GSTIN|PAN|$)"
 # Role words that anchor the layout tax-id search, by role.
 LAYOUT_ID_ROLES = {"supplier": "Supplier|Seller|From", "buyer": "Buyer|Customer|Bill to",
                    "consignee": "Consignee|Ship to"}
-ADDRESS_PATTERNS = [
-    r"Address\s*:\s*(.*?)(?:GSTIN|PAN|Phone|Email|$)",
-    r"\n(.*?(?:Road|Street|Avenue|Lane|Boulevard|Drive|Place|Highway|Expressway|Freeway).*?)(?:\n\s*\n|\n[A-Z])",
-    r"\n(.*?(?:Village|Town|City|District|State|Country).*?)(?:\n\s*\n|\n[A-Z])",
-    r"\n(.*?(?:\d{6}).*?)(?:\n\s*\n|\n[A-Z])",
+ADDRESS_LABEL = r"Address\s*:\s*(.*?)(?:GSTIN|PAN|Phone|Email|$)"
+# From the first line end on: up to the end of the paragraph or line that follows the first such word.
+ADDRESS_WORDS = [
+    r"(?:Road|Street|Avenue|Lane|Boulevard|Drive|Place|Highway|Expressway|Freeway)",
+    r"(?:Village|Town|City|District|State|Country)",
+    r"(?:\d{6})",
 ]
+ADDRESS_END = r"(?:\n\s*\n|\n[A-Z])"
 ADDRESS_SKIP = r"GSTIN|PAN|Phone|Email"
 LAYOUT_TOTAL_QTY = "Total Qty|Quantity"
 LAYOUT_SUBTOTAL = r"Sub\s*Total|Taxable\s*Value|Assessable\s*Value"

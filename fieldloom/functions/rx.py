@@ -77,6 +77,16 @@ def extract(text: Column, pattern: str, flags: str = "", group: int = 1) -> Colu
     return F.regexp_extract(text, py(pattern, flags), group)
 
 
+def from_first(start: str, rest: str) -> str:
+    """A pattern that finds what ``(start)rest`` finds, where ``rest`` matches after a later
+    ``start`` only if it does after the first one.
+
+    A search would try ``rest``, which may read the whole text, from every ``start``;
+    here the first one is fixed (atomic group), and the time grows with the text's length only.
+    """
+    return rf"\A(?>(?s:.*?)(?={start})){start}{rest}"
+
+
 def matches(text: Column, pattern: str, flags: str = "") -> Column:
     """``re.search(pattern, text) is not None``."""
     return text.rlike(py(pattern, flags))
@@ -115,11 +125,6 @@ def first_matching(text: Column, patterns: list[str], flags: str = "i",
     return out
 
 
-def first_positive(values: list[Column], default: float = 0.0) -> Column:
-    """First value that is > 0."""
-    return F.coalesce(*[F.when(v > 0, v) for v in values], F.lit(default))
-
-
 def digits_to_double(s: Column) -> Column:
     """Parse text made only of digits and dots (``1.2.3``, ``.`` or ``''`` -> NULL).
 
@@ -159,11 +164,6 @@ def money(v: Column) -> Column:
     return F.coalesce(_to_double(F.translate(v, "₹$,", "")), F.lit(0.0))
 
 
-def first_lines(text: Column, n: int) -> Column:
-    """``text.split('\\n')[:n]``."""
-    return F.slice(F.split(text, "\n"), 1, n)
-
-
 def lines_stripped_nonblank(text: Column) -> Column:
     """Split on newline, strip each line, drop blank lines."""
     return F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != F.lit(""))

@@ -8,7 +8,7 @@ the 30 header fields.  Profiles:
   numbers, 2-decimal rounding.  Two alternation defects of the behaviour being
   reproduced (role words and number labels written as an unparenthesised
   alternation, which raises on most documents) are built in their intended
-  grouped form; see ``_layout_gstin`` and ``_layout_number``.
+  grouped form; see ``layout_gstin`` and ``_layout_number``.
 * ``minimal`` - the 12-field fallback used when a model response is unusable.
 
 Plan: a narrow projection with no shuffle.  Work is staged in three
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import patterns as P
 from fieldloom.functions.contract import conform_headers
 from fieldloom.functions.rx import (collapse_ws, contains_ci, extract, first_matching,
-                                    first_nonblank, first_value, is_upper, lines_stripped_nonblank,
+                                    first_nonblank, first_value, from_first, is_upper, lines_stripped_nonblank,
                                     matches, number_loose, number_strict, py, strip)
 
 PROFILES = ("simple", "layout", "minimal")
@@ -66,63 +66,43 @@ def simple_date(text: Column) -> Column:
     return first_nonblank(text, P.SIMPLE_DATE + [P.ANY_DATE], "is", "")
 
 
-def simple_gstin(text: Column, context: str, all_ids: Column) -> Column:
-    """H8: tax id for a role.
+def id_after(text: Column, start: str) -> Column:
+    """The first tax id after the first ``start``; NULL without one."""
+    return F.nullif(extract(text, from_first(start, rf"(?s:.*?)({P.TAXID})"), "i"), F.lit(""))
 
-    (a) supplier labels, (b) buyer/consignee labels, (c) the context written as
-    an alternation: when its leftmost hit is a bare role word the capture is
-    unset and the answer is ``""`` (the search stops), (d) ``GSTIN: id``,
-    (e) position among all ids: 1st / 2nd / 3rd by role, else the 1st.
+
+def simple_gstin(text: Column, role: str, all_ids: Column, label_at: Column, label_id: Column) -> Column:
+    """H8: tax id for a role, see ``P.SIMPLE_ID_ROLES``.
+
+    In this order: an id behind one of the role's labels; whatever comes first of a bare role word (the
+    answer is then ``""``, the search stops) and ``GSTIN`` with an id somewhere after it
+    (``label_at``: its first place; ``label_id``: that id); ``GSTIN: id``; the id at the role's place among all
+    ids, else the first one.
     """
-    labelled: list[str] = []
-    if any(w in context for w in ["Supplier", "Seller", "From"]):
-        labelled += P.SUPPLIER_ID_LABELS
-    if any(w in context for w in ["Buyer", "Customer", "Bill to", "Ship to", "Consignee"]):
-        labelled += P.BUYER_ID_LABELS
-    # (a)/(b): the captured id is never empty, so one evaluation per pattern
-    steps = [F.nullif(extract(text, p, "i"), F.lit("")) for p in labelled]
-    # (c): the leftmost of a bare role word (answer "") and "GSTIN ... <id>" (its id).
-    # If no id follows the first GSTIN, none follows a later one: one look suffices,
-    # where a lazy search would rescan the rest of the text from every GSTIN.
-    words = "|".join(w for w in context.split("|") if w != "GSTIN")
-    role_at, label_at = _first_at(text, words), _first_at(text, "GSTIN")
-    found = F.when(label_at > 0, F.nullif(extract(_from(text, label_at), rf"({P.TAXID})", "i"), F.lit("")))
-    ctx = F.when((role_at > 0) & (found.isNull() | (role_at < label_at)), F.lit("")).otherwise(found)
-    steps.append(ctx)
-    if "GSTIN" in context:
-        steps.append(F.nullif(extract(text, P.GENERIC_ID_LABEL, "i"), F.lit("")))
-    if any(w in context for w in ["Supplier", "Seller", "From"]):
-        pos = F.get(all_ids, 0)
-    elif any(w in context for w in ["Buyer", "Customer", "Bill to"]):
-        pos = F.coalesce(F.get(all_ids, 1), F.get(all_ids, 0))
-    elif any(w in context for w in ["Ship to", "Consignee"]):
-        pos = F.coalesce(F.get(all_ids, 2), F.get(all_ids, 0))
-    else:
-        pos = F.get(all_ids, 0)
-    return F.coalesce(*steps, pos, F.lit(""))
-
-
-def _first_at(text: Column, pattern: str) -> Column:
-    """1-based place of the first match (ignore case), 0 without one."""
-    return F.regexp_instr(text, F.lit(py(pattern, "i")))
+    labels, words, place = P.SIMPLE_ID_ROLES[role]
+    labelled = [F.nullif(extract(text, p, "i"), F.lit("")) for p in labels]  # a captured id is never empty
+    role_at = first_at(text, words)
+    bare = (role_at > 0) & (label_id.isNull() | (role_at < label_at))
+    by_place = F.coalesce(F.get(all_ids, place), F.get(all_ids, 0))
+    return F.coalesce(*labelled, F.when(bare, F.lit("")).otherwise(label_id),
+                      F.nullif(extract(text, P.GENERIC_ID_LABEL, "i"), F.lit("")), by_place, F.lit(""))
 
 
-def _from(text: Column, place: Column) -> Column:
-    return F.substring(text, place, F.length(text))
+def first_at(text: Column, pattern: str) -> Column:
+    """1-based place of the first match (ignore case), 0 without one."""
+    return F.regexp_instr(text, F.lit(py(pattern, "i")))
 
 
 def section(text: Column, keywords: list[str]) -> Column:
     """P11 (simple parties): text from the first keyword that matches up to
     ``GSTIN``, ``PAN`` or a blank line; NULL when no keyword matches.
 
-    The search starts at a keyword's first place and is tried there only: if no
-    end follows it, none follows a later one.
+    Tried at a keyword's first place only: if no end follows it, none follows a later one.
     """
-    vals = []
-    for kw in keywords:
-        start = rf"(?:{kw}|Details of {kw})"
-        vals.append(F.nullif(extract(_from(text, _first_at(text, start)), rf"^{start}{P.SECTION_TAIL}", "is", 0), F.lit("")))
-    return F.coalesce(*vals)
+    def start(kw: str) -> str:
+        return rf"(?:{kw}|Details of {kw})"
+
+    return F.coalesce(*[F.nullif(extract(text, rf"\A(?>.*?(?={start(kw)}))({start(kw)}{P.SECTION_TAIL})", "is"), F.lit("")) for kw in keywords])
 
 
 def _first_index(arr: Column, pred) -> Column:
@@ -183,6 +163,11 @@ def company_name(text: Column, doc_type: Column) -> Column:
     return F.coalesce(F.get(cand, 0), F.lit(""))
 
 
+def simple_number(text: Column, label: str) -> Column:
+    """The first number after the first label."""
+    return number_loose(extract(text, from_first(label, P.SIMPLE_NUMBER_TAIL), "i"))
+
+
 def simple_total(text: Column) -> Column:
     """Five decimal labels, five loose labels (first positive), then the
     words hint (constant for lakh/lac), else 0.0."""
@@ -195,7 +180,7 @@ def simple_total(text: Column) -> Column:
 def simple_headers(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER,
                    keep: tuple[str, ...] = ()) -> DataFrame:
     t = F.col("text")
-    ids = F.col("_ids")
+    gst = F.col("_ids"), F.col("_gst_at"), F.col("_gst_id")
     a = docs.select(
         "doc_key", "text", *[k for k in keep if k != "text"],
         document_type(t).alias("document_type"),
@@ -205,10 +190,12 @@ def simple_headers(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER,
         section(t, P.BUYER_KEYWORDS).alias("_sec_b"),
         section(t, P.CONSIGNEE_KEYWORDS).alias("_sec_c"),
         tax_ids_all(t).alias("_ids"),
+        first_at(t, "GSTIN").alias("_gst_at"),
+        id_after(t, "GSTIN").alias("_gst_id"),
         F.coalesce(F.nullif(strip(extract(t, P.LEGAL_NAME, "i")), F.lit("")), F.lit("")).alias("_legal"),
-        number_loose(extract(t, P.SIMPLE_TOTAL_QTY, "i")).alias("total_quantity"),
-        number_loose(extract(t, P.SIMPLE_SUBTOTAL, "i")).alias("subtotal_taxable_value"),
-        *[number_loose(extract(t, p, "i")).alias(k) for k, p in P.SIMPLE_TAXES.items()],
+        simple_number(t, P.SIMPLE_TOTAL_QTY).alias("total_quantity"),
+        simple_number(t, P.SIMPLE_SUBTOTAL).alias("subtotal_taxable_value"),
+        *[simple_number(t, p).alias(k) for k, p in P.SIMPLE_TAXES.items()],
         simple_total(t).alias("total_invoice_value"),
         first_value(t, P.IRN, "is").alias("irn_no"),
         first_value(t, P.EWAY, "is").alias("eway_bill_no"),
@@ -231,9 +218,9 @@ def simple_headers(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER,
         sn.alias("_sn"), sa.alias("supplier_address"),
         bn.alias("_bn"), ba.alias("buyer_address"),
         cn.alias("_cn"), ca.alias("_ca"),
-        simple_gstin(t, P.SUPPLIER_CONTEXT, ids).alias("supplier_gstin"),
-        simple_gstin(t, P.BUYER_CONTEXT, ids).alias("buyer_gstin"),
-        simple_gstin(t, P.CONSIGNEE_CONTEXT, ids).alias("_cg"),
+        simple_gstin(t, "supplier", *gst).alias("supplier_gstin"),
+        simple_gstin(t, "buyer", *gst).alias("buyer_gstin"),
+        simple_gstin(t, "consignee", *gst).alias("_cg"),
         legal_ok.alias("_legal_ok"),
     )
     supplier_name = F.when(F.col("_sn") == "", F.col("_company")).otherwise(F.col("_sn"))
@@ -267,21 +254,16 @@ def layout_entity_name(text: Column, roles: list[str]) -> Column:
     return first_matching(text, pats, "is", post=lambda x: collapse_ws(strip(x)))
 
 
-def _layout_gstin(text: Column, role: str) -> Column:
+def layout_gstin(text: Column, role: str, all_ids: Column, label_id: Column) -> Column:
     """H9 in its intended form: first id after the first role word; else the
-    first id after ``GSTIN``; else the id nearest to the first role word (at any
+    first id after ``GSTIN`` (``label_id``); else the id nearest to the first role word (at any
     distance), ties to the earlier id."""
     words = P.LAYOUT_ID_ROLES[role]
-    def after(label: str) -> Column:  # the first id after the label's first place; a later place has no other
-        at = _first_at(text, label)
-        return F.when(at > 0, F.nullif(extract(_from(text, at), rf"({P.TAXID})", "i"), F.lit("")))
-    after_role, after_label = after(words), after("GSTIN")
     anchor = F.regexp_instr(text, F.lit(py(f"(?:{words})")))
-    ids = tax_ids_all(text)
-    best = F.array_min(F.transform(ids, lambda m, i: F.struct(
+    best = F.array_min(F.transform(all_ids, lambda m, i: F.struct(
         F.abs(F.instr(text, m) - anchor).alias("d"), i.alias("i"), m.alias("m"))))
     nearest = F.when(anchor > 0, best["m"])
-    return F.coalesce(after_role, after_label, nearest, F.lit(""))
+    return F.coalesce(id_after(text, f"(?:{words})"), label_id, nearest, F.lit(""))
 
 
 def layout_address(text: Column, name: Column) -> Column:
@@ -295,15 +277,19 @@ def layout_address(text: Column, name: Column) -> Column:
     stop = _first_index(after, lambda x: (strip(x) == F.lit("")) | matches(x, P.ADDRESS_SKIP, "i"))
     taken = F.when(stop.isNull(), after).otherwise(F.slice(after, 1, stop))
     fb = F.array_join(F.transform(taken, strip), ", ")
-    found = first_matching(chunk, P.ADDRESS_PATTERNS, "is", default=fb,
-                           post=lambda x: collapse_ws(strip(x)))
+    # from the first line end on: a later one has no other word or end after it, nor has a later word another end
+    patterns = [P.ADDRESS_LABEL] + [rf"\A[^\n]*+\n((?>.*?{w}).*?){P.ADDRESS_END}" for w in P.ADDRESS_WORDS]
+    found = first_matching(chunk, patterns, "is", default=fb, post=lambda x: collapse_ws(strip(x)))
     return F.when((name == F.lit("")) | (pos == 0), F.lit("")).otherwise(found)
 
 
 def _layout_number(text: Column, labels: str) -> Column:
     """H18/H19/H23 in the intended grouped form: first number after the label
     on the same line, optional ``Rs``/``INR``; commas dropped."""
-    return number_strict(extract(text, rf"(?:{labels}){P.LAYOUT_NUMBER_TAIL}", "i"))
+    if r"\s" in labels:  # may reach into the next line, so a later label of a line can have another end
+        return number_strict(extract(text, rf"(?:{labels}){P.LAYOUT_NUMBER_TAIL}", "i"))
+    # a line's first label only: if no number follows it, none follows a later one
+    return number_strict(extract(text, rf"(?m:^)(?>.*?(?={labels}))(?:{labels}){P.LAYOUT_NUMBER_TAIL}", "i"))
 
 
 def layout_amount_in_words(text: Column) -> Column:
@@ -317,6 +303,8 @@ def layout_amount_in_words(text: Column) -> Column:
 def layout_headers(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER,
                    keep: tuple[str, ...] = ()) -> DataFrame:
     t = F.col("text")
+    ids = F.col("_ids"), F.col("_gst_id")
+    docs = docs.select("doc_key", "text", *[k for k in keep if k not in ("doc_key", "text")], tax_ids_all(t).alias("_ids"), id_after(t, "GSTIN").alias("_gst_id"))
     a = docs.select(
         "doc_key", "text", *[k for k in keep if k != "text"],
         document_type(t).alias("document_type"),
@@ -325,9 +313,9 @@ def layout_headers(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER,
         layout_entity_name(t, P.LAYOUT_SUPPLIER_ROLES).alias("supplier_name"),
         layout_entity_name(t, P.LAYOUT_BUYER_ROLES).alias("buyer_name"),
         layout_entity_name(t, P.LAYOUT_CONSIGNEE_ROLES).alias("_cn"),
-        _layout_gstin(t, "supplier").alias("supplier_gstin"),
-        _layout_gstin(t, "buyer").alias("buyer_gstin"),
-        _layout_gstin(t, "consignee").alias("_cg"),
+        layout_gstin(t, "supplier", *ids).alias("supplier_gstin"),
+        layout_gstin(t, "buyer", *ids).alias("buyer_gstin"),
+        layout_gstin(t, "consignee", *ids).alias("_cg"),
         _layout_number(t, P.LAYOUT_TOTAL_QTY).alias("total_quantity"),
         F.bround(_layout_number(t, P.LAYOUT_SUBTOTAL), 2).alias("subtotal_taxable_value"),
         *[F.bround(_layout_number(t, lab), 2).alias(k) for k, lab in P.LAYOUT_TAX_LABELS.items()],

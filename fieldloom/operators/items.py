@@ -25,14 +25,15 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import patterns as P
 from fieldloom.functions.contract import conform_items
-from fieldloom.functions.rx import (WS, _to_double, digits_to_double, extract, matches, py, strip)
-from fieldloom.operators.header import layout_invoice_number, serial_number, simple_invoice_number
+from fieldloom.functions.rx import (WS, _to_double, digits_to_double, extract, from_first, matches, py, strip)
+from fieldloom.operators.header import first_at, layout_invoice_number, serial_number, simple_invoice_number
 
 # Section start keywords, header-line tests, units, fallbacks.
 ITEM_KEYWORDS = r"S\.?No\.?|Sr\.?\s*No\.?|Item Code|HSN|Description|Qty|Rate|Amount"
 SECTION_END = r"Total|Grand Total|Sub Total"
-SIMPLE_SECTION = rf"(?:{ITEM_KEYWORDS}).*?(?={SECTION_END})"
-LAYOUT_SECTIONS = [rf"({ITEM_KEYWORDS}).*?(?={SECTION_END})", rf"(Item\s*Details).*?(?={SECTION_END})"]
+# from the first keyword only: if no end follows it, none follows a later one
+SIMPLE_SECTION = rf"\A(?>.*?(?={ITEM_KEYWORDS}))(.*?)(?={SECTION_END})"
+LAYOUT_SECTIONS = [rf"(?:{ITEM_KEYWORDS})", r"Item\s*Details"]
 SIMPLE_HEADER_LINE = rf"({ITEM_KEYWORDS})$"
 LAYOUT_HEADER_LINE = rf"({ITEM_KEYWORDS})"
 UOM7 = "PCS|EA|NOS|KG|GM|MT|LT"
@@ -90,7 +91,7 @@ def simple_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER, keep: t
     row; ``outer``: keep documents without items as one row (see ``_finish``)."""
     t = F.col("text")
     keep = tuple(k for k in keep if k not in ("doc_key", "text"))
-    sec = F.regexp_extract(t, py(SIMPLE_SECTION, "is"), 0)
+    sec = F.regexp_extract(t, py(SIMPLE_SECTION, "is"), 1)
     a = docs.select(
         "doc_key", "text", *keep,
         simple_invoice_number(t, vendor_pattern).alias("invoice_number"),
@@ -197,7 +198,7 @@ def layout_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER, keep: t
     ``zip_limit``: rows of the zip fallback (all by default)."""
     t = F.col("text")
     keep = tuple(k for k in keep if k not in ("doc_key", "text"))
-    starts = [F.regexp_instr(t, F.lit(py(p, "is"))) for p in LAYOUT_SECTIONS]
+    starts = [F.when(matches(t, from_first(p, rf"(?s:.*?)(?={SECTION_END})"), "i"), first_at(t, p)) for p in LAYOUT_SECTIONS]
     a = docs.select(
         "doc_key", "text", *keep,
         layout_invoice_number(t, vendor_pattern).alias("invoice_number"),

@@ -108,15 +108,17 @@ def q_doc_date_noise(spark, sf):
 
 def q_tax_ids(spark, sf):
     t = F.col("text")
-    a = _inv(spark, sf).select("doc_key", "text", H.tax_ids_all(t).alias("_ids"))
+    a = _inv(spark, sf).select("doc_key", "text", H.tax_ids_all(t).alias("_ids"), H.first_at(t, "GSTIN").alias("_at"),
+                               H.id_after(t, "GSTIN").alias("_id"))
     ids = F.col("_ids")
+    simple, layout = (ids, F.col("_at"), F.col("_id")), (ids, F.col("_id"))
     return a.select(
         "doc_key",
-        H.simple_gstin(t, P.SUPPLIER_CONTEXT, ids).alias("supplier_gstin_simple"),
-        H.simple_gstin(t, P.BUYER_CONTEXT, ids).alias("buyer_gstin_simple"),
-        H._layout_gstin(t, "supplier").alias("supplier_gstin_layout"),
-        H._layout_gstin(t, "buyer").alias("buyer_gstin_layout"),
-        H._layout_gstin(t, "consignee").alias("consignee_gstin_layout"),
+        H.simple_gstin(t, "supplier", *simple).alias("supplier_gstin_simple"),
+        H.simple_gstin(t, "buyer", *simple).alias("buyer_gstin_simple"),
+        H.layout_gstin(t, "supplier", *layout).alias("supplier_gstin_layout"),
+        H.layout_gstin(t, "buyer", *layout).alias("buyer_gstin_layout"),
+        H.layout_gstin(t, "consignee", *layout).alias("consignee_gstin_layout"),
         F.coalesce(F.get(ids, 0), F.lit("")).alias("supplier_gstin_minimal"),
         F.coalesce(F.get(ids, 1), F.lit("")).alias("buyer_gstin_minimal"))
 
