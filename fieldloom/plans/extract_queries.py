@@ -15,6 +15,7 @@ from fieldloom.functions.contract import HEADER_COLUMNS, ITEM_COLUMNS
 from fieldloom.functions.rx import strip, extract
 from fieldloom.operators import header as H
 from fieldloom.operators.items import extract_items
+from fieldloom.operators.parties import known_parties
 from fieldloom.plans import variants as V
 from fieldloom.plans.common import HEADER_MONEY, ITEM_MONEY, ITEM_TAX_MONEY, dec, decimals, invoices
 from fieldloom.plans.oracle_corpus import (INVOICE_CTES, ITEM_ORDER_SQL, TAXID_CUSTOMER, TAXID_SUPPLIER)
@@ -209,7 +210,17 @@ def q_headers_minimal(spark, sf):
     return decimals(H.extract_headers(_inv(spark, sf), "minimal"), HEADER_MONEY)
 
 
+def q_known_parties(spark, sf):
+    """H33 over a dictionary of a third of the customers and, listed after them, half of the suppliers."""
+    t = Tables(spark, sf)
+    name = lambda word, k: F.concat(F.lit(word), F.format_string("%06d", F.col(k)))
+    clients = t.customer.where("c_custkey % 3 = 0").select(name("Client ", "c_custkey").alias("name"), F.col("c_custkey").cast("long").alias("rank"))
+    vendors = t.supplier.where("s_suppkey % 2 = 0").select(name("Vendor ", "s_suppkey").alias("name"), (F.col("s_suppkey") + (1 << 40)).alias("rank"))
+    return known_parties(_inv(spark, sf), clients.unionByName(vendors))
+
+
 QUERIES = {
+    "known_parties": q_known_parties,
     "doc_type": q_doc_type,
     "doc_type_noise": q_doc_type_noise,
     "doc_number_simple": q_doc_number_simple,
@@ -378,6 +389,10 @@ SELECT doc_key, CAST(doc_key AS VARCHAR) AS serial_number, {_DT_MIN} AS document
 FROM doc_src"""
 
 ORACLE = {
+    "known_parties": _with(DOC_SRC) + """
+SELECT doc_key, lower(CASE WHEN o_custkey % 3 = 0 THEN client ELSE replace(vendor, ' PRIVATE LIMITED', '') END) AS party,
+  CASE WHEN o_custkey % 3 = 0 THEN 'Legal Name: ' || client ELSE vendor END AS line
+FROM doc_src WHERE o_custkey % 3 = 0 OR supp_key % 2 = 0""",
     "doc_type": _with(DOC_SRC) + f"SELECT doc_key, {_DT} AS document_type, {_DT_MIN} AS document_type_minimal FROM doc_src",
     "doc_type_noise": _DOCS_NOISE,
     "doc_number_simple": _with(DOC_SRC) + "SELECT doc_key, inv_no AS invoice_document_number FROM doc_src",
