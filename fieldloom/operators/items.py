@@ -192,12 +192,9 @@ def split_columns(line: Column) -> Column:
     return F.split(F.regexp_replace(line, COLUMN_GAP, "\n"), "\n")
 
 
-def layout_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER, keep: tuple[str, ...] = (),
-                 outer: bool = False, zip_limit: int | None = None) -> DataFrame:
-    """I2, I4, I6, I17-I25.  ``keep`` / ``outer`` as in :func:`simple_items`;
-    ``zip_limit``: rows of the zip fallback (all by default)."""
+def _layout_rows(docs: DataFrame, vendor_pattern: str, keep: tuple[str, ...], zip_limit: int | None) -> DataFrame:
+    """``doc_key``, ``keep``, ``invoice_number`` and ``rows``: a document's item rows as an array (NULL without any)."""
     t = F.col("text")
-    keep = tuple(k for k in keep if k not in ("doc_key", "text"))
     starts = [F.when(matches(t, from_first(p, rf"(?s:.*?)(?={SECTION_END})"), "i"), first_at(t, p)) for p in LAYOUT_SECTIONS]
     a = docs.select(
         "doc_key", "text", *keep,
@@ -239,13 +236,15 @@ def layout_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER, keep: t
         s.alias("zsku"), F.coalesce(F.get(hsns, i), F.lit("")).alias("zhsn")))
     c = b.select("doc_key", "text", *keep, "invoice_number", "_sec", primary.alias("_primary"))
     rows = F.when(F.size("_primary") > 0, F.col("_primary")).when(F.col("_sec") != "", zipped)
-    gen = F.explode_outer if outer else F.explode
-    r = c.select("doc_key", *keep, "invoice_number", gen(rows).alias("r"))
-    is_zip = F.col("r.zsku").isNotNull()
-    parts, line = F.col("r.parts"), F.col("r.line")
+    return c.select("doc_key", *keep, "invoice_number", rows.alias("rows"))
+
+
+def _layout_amounts(r: Column) -> tuple[Column, Column, Column]:
+    """Tax rate, computed tax amount and total of an item row."""
+    parts, line = r["parts"], r["line"]
     wide = F.size(parts) >= 7
     tax = digits_to_double(extract(line, PERCENT))
-    qty, price = F.col("r.qty"), F.coalesce(F.col("r.price"), F.lit(0.0))
+    qty, price = r["qty"], F.coalesce(r["price"], F.lit(0.0))
     # money arithmetic in exact decimals, rounded half-even to 2 places; in doubles
     # where a number from the text doesn't fit them (it never ends the job)
     sub = F.try_multiply(price.try_cast("decimal(18,6)"), qty.try_cast("decimal(18,6)"))
@@ -254,6 +253,37 @@ def layout_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER, keep: t
     computed = F.when(wide & tax.isNotNull() & (price > 0) & (qty > 0), igst)
     trailing = _parse_commas(extract(line, LAYOUT_TOTAL_AT_END))
     line_total = F.when(wide, F.coalesce(trailing, F.coalesce(sub.cast("double"), price * qty) + computed)).otherwise(F.lit(0.0))
+    return tax, computed, line_total
+
+
+def layout_item_arrays(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER, keep: tuple[str, ...] = (),
+                       zip_limit: int | None = None) -> DataFrame:
+    """``doc_key``, ``keep`` and ``items``: per document the line number, code and total of its items in order, as
+    :func:`layout_items` has them, without leaving the document's row (no explode, no shuffle to undo it)."""
+    def item(r: Column) -> Column:
+        total = F.coalesce(_layout_amounts(r)[2], F.lit(0.0))
+        return F.struct((r["i"] + 1).cast("int").alias("line_number"),
+                        F.coalesce(r["zsku"], F.get(r["parts"], 0), F.lit("")).alias("item_sku_code"), total.alias("line_total_value"))
+
+    keep = tuple(k for k in keep if k not in ("doc_key", "text"))
+    c = _layout_rows(docs, vendor_pattern, keep, zip_limit)
+    none = F.array().cast("array<struct<line_number:int,item_sku_code:string,line_total_value:double>>")
+    return c.select("doc_key", *keep, F.coalesce(F.transform("rows", item), none).alias("items"))
+
+
+def layout_items(docs: DataFrame, vendor_pattern: str = P.VENDOR_NUMBER, keep: tuple[str, ...] = (),
+                 outer: bool = False, zip_limit: int | None = None) -> DataFrame:
+    """I2, I4, I6, I17-I25.  ``keep`` / ``outer`` as in :func:`simple_items`;
+    ``zip_limit``: rows of the zip fallback (all by default)."""
+    keep = tuple(k for k in keep if k not in ("doc_key", "text"))
+    c = _layout_rows(docs, vendor_pattern, keep, zip_limit)
+    gen = F.explode_outer if outer else F.explode
+    r = c.select("doc_key", *keep, "invoice_number", gen("rows").alias("r"))
+    is_zip = F.col("r.zsku").isNotNull()
+    parts = F.col("r.parts")
+    wide = F.size(parts) >= 7
+    tax, computed, line_total = _layout_amounts(F.col("r"))
+    qty, price = F.col("r.qty"), F.coalesce(F.col("r.price"), F.lit(0.0))
     hsn3 = F.get(parts, 2)
     m = r.select(
         "doc_key", *keep, F.col("r").isNotNull().alias("has_item"), "invoice_number",

@@ -42,24 +42,39 @@ def header_item_rows(rec: DataFrame) -> DataFrame:
                       "item_sku_code", "line_total_value")
 
 
+def document_records(docs: DataFrame, header_profile: str = "simple", header_fields: list[str] | None = None) -> DataFrame:
+    """``doc_key``, ``header`` and ``items``: one row per document with its layout items as an array.
+
+    For relations within a document: they read the array, where exploded items would be shuffled
+    back together by key.  ``header_fields`` as in :func:`records`.
+    """
+    from fieldloom.operators.header import extract_headers
+    from fieldloom.operators.items import layout_item_arrays
+    fields = HEADER_COLUMNS if header_fields is None else header_fields
+    if not fields:
+        return layout_item_arrays(docs)
+    h = extract_headers(docs, header_profile, keep=("text",))
+    return layout_item_arrays(h.select("doc_key", "text", F.struct(*fields).alias("header")), keep=("header",))
+
+
 def item_counts(rec: DataFrame) -> DataFrame:
-    """R2 from :func:`records`."""
-    return rec.groupBy("doc_key").agg(F.sum(F.col("has_item").cast("bigint")).alias("n_items"))
+    """R2 from :func:`document_records`."""
+    return rec.select("doc_key", F.size("items").cast("bigint").alias("n_items"))
 
 
 def first_item_of(rec: DataFrame) -> DataFrame:
-    """R3 from :func:`records`."""
-    return first_item(rec.where("has_item"))
+    """R3 from :func:`document_records`: items stand in the order of their line numbers."""
+    f = rec.select("doc_key", F.get("items", F.lit(0)).alias("f")).where(F.col("f").isNotNull())
+    return f.select("doc_key", "f.line_number", "f.item_sku_code", "f.line_total_value")
 
 
 def reconcile_records(rec: DataFrame, tolerance: float = 0.005) -> DataFrame:
-    """X1 from :func:`records`: one aggregation, no join."""
+    """X1 from :func:`document_records`: no join, no aggregation."""
     # amounts come from texts: one that doesn't fit is NULL, not the end of the job
-    lt = F.when(F.col("has_item"), F.col("line_total_value").try_cast("decimal(28,2)"))
-    a = rec.groupBy("doc_key").agg(
-        F.max(F.col("header.subtotal_taxable_value").try_cast("decimal(28,2)")).alias("subtotal"),
-        F.coalesce(F.sum(lt), F.lit(0)).try_cast("decimal(37,2)").alias("items_total"),
-        F.sum(F.col("has_item").cast("bigint")).alias("n_items"))
+    zero = F.lit(0).cast("decimal(37,2)")
+    added = lambda total, x: F.coalesce(F.try_add(total, F.coalesce(x["line_total_value"].try_cast("decimal(28,2)"), zero)).try_cast("decimal(37,2)"), total)
+    a = rec.select("doc_key", F.col("header.subtotal_taxable_value").try_cast("decimal(28,2)").alias("subtotal"),
+                   F.aggregate("items", zero, added).alias("items_total"), F.size("items").cast("bigint").alias("n_items"))
     diff = F.try_subtract(F.col("items_total"), F.col("subtotal")).try_cast("decimal(38,2)")
     return a.select("doc_key", "subtotal", "items_total", "n_items", diff.alias("difference"),
                     (F.abs(diff) <= F.lit(tolerance)).alias("reconciled"))

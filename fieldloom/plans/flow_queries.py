@@ -131,11 +131,11 @@ def q_header_item_join(spark, sf):
 
 
 def q_items_per_doc(spark, sf):
-    return R.item_counts(_records(spark, sf, []))
+    return R.item_counts(R.document_records(invoices(spark, sf), header_fields=[]))
 
 
 def q_first_item(spark, sf):
-    return decimals(R.first_item_of(_records(spark, sf, [])), ["line_total_value"])
+    return decimals(R.first_item_of(R.document_records(invoices(spark, sf), header_fields=[])), ["line_total_value"])
 
 
 def q_header_summary(spark, sf):
@@ -165,7 +165,7 @@ def q_hostile_documents(spark, sf):
 
 
 def q_reconcile(spark, sf):
-    r = R.reconcile_records(_records(spark, sf, ["subtotal_taxable_value"]))
+    r = R.reconcile_records(R.document_records(invoices(spark, sf), header_fields=["subtotal_taxable_value"]))
     return decimals(r, ["subtotal", "items_total", "difference"])
 
 
