@@ -42,6 +42,7 @@ MAX_GRAM = 4
 SMOOTH = 0.5
 BROADCAST_LANGS = 10_000
 MEMORY = 200_000
+DENSE = 1 << 24             # numbers of a table that are laid out
 LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -56,10 +57,25 @@ class Table:
         """Row by row: a token's place in ``tokens`` (ascending), a language that has it, and how often."""
         total = np.bincount(lang, weights=n, minlength=langs)
         self.unseen = np.log(SMOOTH) - np.log(total + SMOOTH * max(1, len(tokens)))
-        self.at = dict(zip(tokens, range(len(tokens))))
+        self.tokens = tokens
         self.ends = np.searchsorted(owner, np.arange(len(tokens) + 1))
         self.lang, self.more = lang.astype(np.int32), np.log((n + SMOOTH) / SMOOTH)
 
+    def fill(self) -> None:
+        """Lays all rows out where they take little memory; they are the same as those made one by one."""
+        n = len(self.tokens)
+        self.dense = None
+        if n * len(self.unseen) <= DENSE:
+            self.dense = np.tile(self.unseen, (n, 1))
+            self.dense[np.repeat(np.arange(n), np.diff(self.ends)), self.lang] += self.more
+
+    def row(self, i: int) -> np.ndarray:
+        if self.dense is not None:
+            return self.dense[i]
+        v = self.unseen.copy()
+        v[self.lang[self.ends[i]:self.ends[i + 1]]] += self.more[self.ends[i]:self.ends[i + 1]]
+        return v
+
 
 class Model:
     """Words and n-grams by length; evidence per language, up to a constant that all languages share."""
@@ -67,28 +83,39 @@ class Model:
     def __init__(self, langs: list[str], words: Table, grams: dict[int, Table]):
         self.langs, self.words, self.grams = langs, words, grams
 
+
+class Evidence:
+    """A model at work: rows are filled in when they are first asked for."""
+
+    def __init__(self, model: Model):
+        self.size, self.words = len(model.langs), model.words
+        for t in (model.words, *model.grams.values()):
+            t.fill()
+        self.known = dict(zip(model.words.tokens, range(len(model.words.tokens))))
+        self.grams: dict = {t: (table, i) for size, table in model.grams.items() for i, t in enumerate(table.tokens) if len(t) == size}
+
     def word(self, w: str) -> np.ndarray:
-        t, size = self.words, len(self.langs)
-        i = t.at.get(w)
+        i = self.known.get(w)
         if i is not None:
-            v = t.unseen.copy()
-            v[t.lang[t.ends[i]:t.ends[i + 1]]] += t.more[t.ends[i]:t.ends[i + 1]]
-            return v
-        padded, v, n = f" {w} ", np.zeros(size), 0
+            return self.words.row(i)
+        padded, total, n, grams = f" {w} ", np.zeros(self.size), 0, self.grams
         for i in range(len(padded)):
-            for k in range(min(MAX_GRAM, len(padded) - i), 0, -1):
-                t = self.grams.get(k)
-                g = t.at.get(padded[i:i + k]) if t else None
-                if g is not None:
-                    v += t.unseen
-                    v[t.lang[t.ends[g]:t.ends[g + 1]]] += t.more[t.ends[g]:t.ends[g + 1]]
+            for size in range(min(MAX_GRAM, len(padded) - i), 0, -1):
+                g = padded[i:i + size]
+                v = grams.get(g)
+                if v is not None:
+                    if type(v) is tuple:
+                        v = grams[g] = v[0].row(v[1])
+                    total = total + v
                     n += 1
                     break
-        return v / max(1, n ** 0.5)
+        return total / max(1, n ** 0.5)
 
     def token(self, t: str) -> np.ndarray:
         """Evidence of what stands between two white spaces."""
-        v = np.zeros(len(self.langs))
+        if t.isalpha():  # letters only
+            return self.word(t)
+        v = np.zeros(self.size)
         for w in LETTERS.findall(t):
             v = v + self.word(w)
         return v
@@ -98,12 +125,12 @@ class Predictor:
     """Scores texts; remembers the evidence of tokens, of ``MEMORY`` to twice as many for four languages, of fewer for more."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.older = model, {}, {}
+        self.model, self.evidence, self.known, self.older = model, Evidence(model), {}, {}
 
     def _row(self, t: str) -> np.ndarray:
         v = self.older.get(t)
         if v is None:
-            v = self.model.token(t)
+            v = self.evidence.token(t)
         self.known[t] = v
         return v
 
@@ -135,7 +162,8 @@ def fit(docs: DataFrame) -> Model:
     tables = [words.withColumn("size", F.lit(0))]
     for size in range(1, MAX_GRAM + 1):
         at = F.sequence(F.lit(1), F.greatest(F.length(padded) - (size - 1), F.lit(1)))
-        grams = words.select("lang", "n", F.explode(F.transform(at, lambda i, k=size: F.substring(padded, i, F.lit(k)))).alias("t"))
+        piece = lambda i: F.substring(padded, i, F.lit(size))  # noqa: E731, B023  one argument: a second one would be the place
+        grams = words.select("lang", "n", F.explode(F.transform(at, piece)).alias("t"))
         tables.append(grams.groupBy("lang", "t").agg(F.sum("n").alias("n")).withColumn("size", F.lit(size)).select("lang", "t", "n", "size"))
     langs = [r[0] for r in words.select("lang").distinct().orderBy("lang").collect()]
     place = {g: i for i, g in enumerate(langs)}

@@ -127,7 +127,7 @@ def test_sample_of_rows_without_ids_is_bounded_and_not_empty(spark, monkeypatch)
     name = lambda i: "".join("abcdefghij"[int(c)] for c in str(1000 + i))
     rows = [(None, f"{g}common {g}{name(i)}", g) for g in ("de", "en", "fr") for i in range(400)]
     m = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
-    taken = {g: sum(w.startswith(g) and w != g + "common" for w in m.words.at) for g in ("de", "en", "fr")}
+    taken = {g: sum(w.startswith(g) and w != g + "common" for w in m.words.tokens) for g in ("de", "en", "fr")}
     assert m.langs == ["de", "en", "fr"] and all(10 < n < 120 for n in taken.values())
 
 
