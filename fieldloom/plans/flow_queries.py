@@ -16,6 +16,7 @@ from fieldloom.sources import assemble as A
 from fieldloom.sources import sink as S
 from fieldloom.sources.tables import Tables
 from fieldloom.streaming import jobs as J
+from fieldloom.streaming.status_store import StatusStore, stream_status
 
 
 def _conv_pages(t: Tables) -> DataFrame:
@@ -44,12 +45,22 @@ def q_first_engine_text(spark, sf):
     return A.first_nonempty_text(_native(t), A.pages_to_text(_conv_pages(t)))
 
 
-def q_admit_documents(spark, sf):
+def _uploads(spark, sf):
     """Pages as uploads in jobs of 25; one page of every other job has no ``.pdf`` name."""
     job = F.floor(F.col("page_id") / 25).cast("bigint")
     named = (job % 2 == 0) | (F.col("page_id") % 25 != 3)
-    p = Tables(spark, sf).pages.select("page_id", job.alias("job_id"), F.concat("url", F.when(named, ".pdf").otherwise("")).alias("path"))
-    return A.admit(p).select("page_id", "job_id", "file_id", "filename", "admitted", "batch_admitted")
+    return Tables(spark, sf).pages.select("page_id", job.alias("job_id"), F.concat("url", F.when(named, ".pdf").otherwise("")).alias("path"))
+
+
+def q_admit_documents(spark, sf):
+    return A.admit(_uploads(spark, sf)).select("page_id", "job_id", "file_id", "filename", "admitted", "batch_admitted")
+
+
+def q_quarantine_documents(spark, sf):
+    """S1 with its rejects: both outputs of one pass, the reason beside each rejected file."""
+    good, bad = A.admit_or_quarantine(_uploads(spark, sf), S.scratch_path(spark, "quarantine"))
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad) \
+        .select("page_id", "job_id", "file_id", "filename", "reason")
 
 
 def _status_log(t: Tables) -> DataFrame:
@@ -107,6 +118,57 @@ def q_stream_extract(spark, sf):
     return decimals(h, HEADER_MONEY)
 
 
+def q_status_live(spark, sf):
+    """The event log lands as files and is streamed into the status store, with snapshots on the way."""
+    base = S.scratch_path(spark, "live")
+    log = _status_log(Tables(spark, sf)).select(F.to_date("ts").alias("job_id"), F.col("file_id"), F.col("ts").alias("seq"), "status")
+    log.repartition(6, "file_id", "seq").write.parquet(f"{base}/in")
+    store = StatusStore(spark, f"{base}/store", log.schema)
+    stream_status(store, spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in"),
+                  f"{base}/checkpoint", compact_every=2)
+    return store.latest().select("job_id", "file_id", "status", F.col("seq").alias("last_ts"), "n_events")
+
+
+def _failing_stream(spark, sf, kind):
+    """Invoices streamed through the minimal profile, which finds no number in a third of them; those are replayed."""
+    base = S.scratch_path(spark, kind)
+    invoices(spark, sf).repartition(16, "doc_key").write.parquet(f"{base}/in")
+    J.stream_extract(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", profile="minimal", max_files_per_trigger=8)
+    return f"{base}/out", J.replay_dead_letters(spark, f"{base}/out", "simple")
+
+
+def q_stream_dead_letters(spark, sf):
+    """The stream's dead letters, their errors, and the numbers that the replay finds."""
+    out, left = _failing_stream(spark, sf, "dead")
+    again = J.extracted_headers(spark, out).select("doc_key", "batch", "invoice_document_number")
+    return spark.read.parquet(f"{out}/dead").join(again, ["doc_key", "batch"]) \
+        .join(left.select("doc_key", "batch", F.lit(True).alias("_left")), ["doc_key", "batch"], "left") \
+        .select("doc_key", "contract_error", "invoice_document_number", F.coalesce("_left", F.lit(False)).alias("still_dead"))
+
+
+def q_stream_replay_status(spark, sf):
+    """Every document's latest state after the replay, and the events behind it."""
+    out, _ = _failing_stream(spark, sf, "replayed")
+    ev = spark.read.parquet(f"{out}/status").unionByName(spark.read.parquet(f"{out}/replay/status"))
+    return J.latest_status(ev, cols=("status", "error"))
+
+
+def q_stream_duplicates(spark, sf):
+    """X3 across arrivals: invoices and a second upload of every seventh, in files, streamed; the dropped ones."""
+    base = S.scratch_path(spark, "arrivals")
+    docs = invoices(spark, sf)
+    again = docs.where(F.col("doc_key") % 7 == 0).withColumn("doc_key", -F.col("doc_key") - 1)
+    docs.unionByName(again).withColumn("arrived", F.timestamp_seconds(F.abs("doc_key"))) \
+        .repartition(4, "doc_key").write.parquet(f"{base}/in")
+    source = spark.readStream.schema("doc_key long, text string, arrived timestamp").option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    h = extract_headers(source, "minimal", keep=("arrived",)).select("doc_key", "arrived", "supplier_gstin", "invoice_document_number")
+    J.first_arrivals(h, within="3650 days").writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint") \
+        .trigger(availableNow=True).start(f"{base}/kept").awaitTermination()
+    arrived = extract_headers(spark.read.parquet(f"{base}/in"), "minimal")
+    dropped = J.dropped_arrivals(arrived, spark.read.schema("doc_key long").parquet(f"{base}/kept"))
+    return dropped.groupBy("supplier_gstin", "invoice_document_number").agg(F.count("*").alias("n_dropped"))
+
+
 def q_csv_roundtrip(spark, sf):
     """Headers written as CSV with display names, read back by name."""
     path = S.scratch_path(spark, "csv")
@@ -130,6 +192,16 @@ def q_header_item_join(spark, sf):
     return decimals(R.header_item_rows(rec), ["line_total_value"])
 
 
+def q_record_tables(spark, sf):
+    """R1 over two bucketed tables of records."""
+    h, i = _hi(spark, sf)
+    path = S.scratch_path(spark, "records")
+    name = "records_" + path.rsplit("/", 1)[-1]
+    S.write_record_tables(h.select("doc_key", "invoice_document_number", "document_type"),
+                          i.select("doc_key", "line_number", "item_sku_code", "line_total_value"), name, path, buckets=8)
+    return decimals(S.read_record_tables(spark, name), ["line_total_value"])
+
+
 def q_items_per_doc(spark, sf):
     return R.item_counts(R.document_records(invoices(spark, sf), header_fields=[]))
 
@@ -194,15 +266,21 @@ QUERIES = {
     "prefer_text": q_prefer_text,
     "first_engine_text": q_first_engine_text,
     "admit_documents": q_admit_documents,
+    "quarantine_documents": q_quarantine_documents,
     "job_status_latest": q_job_status_latest,
+    "status_live": q_status_live,
     "job_summary": q_job_summary,
     "job_files": q_job_files,
     "status_windows": q_status_windows,
     "bulk_status": q_bulk_status,
     "status_json_roundtrip": q_status_json_roundtrip,
     "stream_extract": q_stream_extract,
+    "stream_dead_letters": q_stream_dead_letters,
+    "stream_replay_status": q_stream_replay_status,
+    "stream_duplicates": q_stream_duplicates,
     "csv_roundtrip": q_csv_roundtrip,
     "header_item_join": q_header_item_join,
+    "record_tables": q_record_tables,
     "items_per_doc": q_items_per_doc,
     "first_item": q_first_item,
     "header_summary": q_header_summary,
@@ -247,6 +325,11 @@ SELECT page_id, job_id, sha256(CAST(job_id AS VARCHAR) || '|' || url) AS file_id
        bool_and(admitted) OVER (PARTITION BY job_id) AS batch_admitted
 FROM p"""
 
+_QUARANTINE = f"""
+SELECT page_id, job_id, file_id, filename, CASE WHEN NOT admitted THEN 'name does not end in .pdf'
+  WHEN NOT batch_admitted THEN 'another file of the batch was rejected' END AS reason
+FROM ({_ADMIT}) a"""
+
 _STATUS_COUNTS = ", ".join(f"CAST(sum(CASE WHEN event_type = '{s}' THEN 1 ELSE 0 END) AS BIGINT) AS n_{s}"
                            for s in STATUSES)
 
@@ -271,6 +354,12 @@ SELECT CASE doc_key % 4 WHEN 1 THEN 'Delivery Challan' WHEN 2 THEN 'Stock Transf
       ('buyer_name', 0), ('buyer_gstin', 1), ('amount_in_words', 1), ('irn_no', 1), ('eway_bill_no', 1)])}
 FROM doc_src GROUP BY 1"""
 
+_HEADER_ITEMS = _with(DOC_SRC, ITEM_SRC) + (
+        "SELECT i.doc_key, d.inv_no AS invoice_document_number, CASE d.doc_key % 4 WHEN 1 THEN 'Delivery Challan' "
+        "WHEN 2 THEN 'Stock Transfer' ELSE 'Tax Invoice' END AS document_type, i.line_number, "
+        "'P' || CAST(i.l_partkey AS VARCHAR) || '_' || i.brand AS item_sku_code, i.ext AS line_total_value "
+        "FROM item_src i JOIN doc_src d ON i.doc_key = d.doc_key")
+
 ORACLE = {
     "pages_to_text": _with(_CONV_TEXT) + "SELECT doc_key, text FROM conv_text",
     "words_to_text": ("SELECT doc_id AS doc_key, array_to_string(list_transform(string_split(coalesce(text, ''), "
@@ -280,6 +369,9 @@ ORACLE = {
         "SELECT coalesce(d.doc_id, o.doc_key) AS doc_key, coalesce(nullif(d.text, ''), nullif(o.text, ''), '') "
         "AS text FROM documents d FULL JOIN conv_text o ON d.doc_id = o.doc_key"),
     "admit_documents": _ADMIT,
+    "quarantine_documents": _QUARANTINE,
+    "status_live": ("SELECT CAST(ts AS DATE) AS job_id, user_id AS file_id, arg_max(event_type, ts) AS status, max(ts) AS last_ts, "
+                    "count(*) AS n_events FROM events GROUP BY 1, 2"),
     "job_status_latest": ("SELECT user_id AS file_id, arg_max(event_type, ts) AS status, max(ts) AS last_ts, "
                           "count(*) AS n_events FROM events GROUP BY user_id"),
     "job_summary": (f"SELECT CAST(ts AS DATE) AS job_id, count(DISTINCT user_id) AS n_files, count(*) AS n_events, "
@@ -302,12 +394,19 @@ ORACLE = {
         "CASE WHEN s.seq = 1 AND doc_key % 3 = 2 THEN 'missing or non-numeric invoice_document_number' END AS error "
         "FROM doc_src, (SELECT unnest([0, 1])::BIGINT AS seq) s"),
     "stream_extract": EXTRACT_ORACLE["headers_full"],
+    "stream_dead_letters": _with(DOC_SRC) + (
+        "SELECT doc_key, 'missing or non-numeric invoice_document_number' AS contract_error, "
+        "inv_no AS invoice_document_number, false AS still_dead FROM doc_src WHERE doc_key % 3 = 2"),
+    "stream_replay_status": _with(DOC_SRC) + (
+        "SELECT CAST(doc_key AS VARCHAR) AS file_id, 'completed' AS status, CAST(NULL AS VARCHAR) AS error, "
+        "CAST(CASE WHEN doc_key % 3 = 2 THEN 3 ELSE 1 END AS BIGINT) AS last_seq, "
+        "CAST(CASE WHEN doc_key % 3 = 2 THEN 4 ELSE 2 END AS BIGINT) AS n_events FROM doc_src"),
+    "stream_duplicates": _with(DOC_SRC) + (
+        f"SELECT {TAXID_SUPPLIER} AS supplier_gstin, inv_no AS invoice_document_number, CAST(1 AS BIGINT) AS n_dropped "
+        "FROM doc_src WHERE doc_key % 3 <> 2 AND doc_key % 7 = 0"),
     "csv_roundtrip": EXTRACT_ORACLE["headers_full"],
-    "header_item_join": _with(DOC_SRC, ITEM_SRC) + (
-        "SELECT i.doc_key, d.inv_no AS invoice_document_number, CASE d.doc_key % 4 WHEN 1 THEN 'Delivery Challan' "
-        "WHEN 2 THEN 'Stock Transfer' ELSE 'Tax Invoice' END AS document_type, i.line_number, "
-        "'P' || CAST(i.l_partkey AS VARCHAR) || '_' || i.brand AS item_sku_code, i.ext AS line_total_value "
-        "FROM item_src i JOIN doc_src d ON i.doc_key = d.doc_key"),
+    "header_item_join": _HEADER_ITEMS,
+    "record_tables": _HEADER_ITEMS,
     "items_per_doc": _with(DOC_SRC) + (
         "SELECT d.doc_key, count(*) AS n_items FROM doc_src d JOIN lineitem l ON l.l_orderkey = d.doc_key "
         "GROUP BY d.doc_key"),

@@ -3,8 +3,8 @@
 * Pages -> document text (T1/T2): newline after every page, in page order.
 * Words -> document text (T3): space after every word, newline after every line.
 * Native vs OCR choice (T4) and first non-empty engine (T5).
-* Admission of files by name suffix with whole-batch rejection (S1), and
-  stable file ids (S2).
+* Listing of files, admission by name suffix with whole-batch rejection and
+  quarantine (S1), and stable file ids (S2).
 
 Aggregations are two-level where a single document could be very large: the
 first level groups a bounded chunk of pages (or one line of words), the
@@ -14,8 +14,9 @@ aggregated map-side; no group ever holds more than one chunk's rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom.functions.rx import strip
 
@@ -117,3 +118,36 @@ def admit(files: DataFrame, path: str = "path", batch: str = "job_id", suffix: s
     verdict = f.groupBy(batch).agg(F.min(F.col("admitted").cast("int")).alias("_ok"))
     return (f.join(verdict, batch, "left")
             .withColumn("batch_admitted", F.col("_ok") == 1).drop("_ok"))
+
+
+def list_files(spark: SparkSession, folder: str, batch: str = "job_id") -> DataFrame:
+    """The files under a folder: ``path``, ``length``, ``modified`` and their batch, the folder that each lies in.
+    Contents are not read: the column is pruned from the scan.  Spark's reader leaves out files of no bytes,
+    so these are neither admitted nor quarantined here; list them from the upload's own records."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.select("path", "length", F.col("modificationTime").alias("modified"),
+                        F.element_at(F.split("path", "/"), -2).alias(batch))
+
+
+def admit_or_quarantine(files: DataFrame, out: str, path: str = "path", batch: str = "job_id",
+                        suffix: str = ADMIT_SUFFIX) -> tuple[DataFrame, DataFrame]:
+    """S1 with its rejects: the admitted files and the quarantined ones, written in one pass.
+
+    Quarantined rows have a ``reason``: the file's own name, or another name of its batch.  Both frames
+    read their part of ``out`` only.  A file without a path is rejected by its name; files without a
+    batch make up one batch.
+    """
+    name = file_name(F.col(path))
+    good = F.coalesce(name.endswith(suffix), F.lit(False))
+    f = files.select("*", name.alias("filename"), good.alias("_good"),
+                     F.sha2(F.concat_ws("|", F.col(batch).cast("string"), F.col(path)), 256).alias("file_id"))
+    verdict = f.groupBy(F.col(batch).alias("_batch")).agg(F.min("_good").alias("_ok"))
+    reason = F.when(~F.col("_good"), F.concat(F.lit("name does not end in "), F.lit(suffix))) \
+        .when(~F.col("_ok"), F.lit("another file of the batch was rejected"))
+    f.join(verdict, F.col(batch).eqNullSafe(F.col("_batch"))) \
+        .withColumn("reason", reason).withColumn("verdict", F.when(F.col("_ok"), "admitted").otherwise("quarantined")) \
+        .drop("_batch", "_good", "_ok").write.mode("overwrite").partitionBy("verdict").parquet(out)
+    back = files.sparkSession.read.schema(T.StructType([*files.schema.fields, *(T.StructField(c, T.StringType()) for c in
+                                                        ("filename", "file_id", "reason", "verdict"))])).parquet(out)
+    return (back.where(F.col("verdict") == "admitted").drop("verdict", "reason"),
+            back.where(F.col("verdict") == "quarantined").drop("verdict"))

@@ -111,3 +111,21 @@ def output_names(file_id: str = "file_id") -> tuple:
     """Per-document output names kept as status columns."""
     return (F.concat(F.lit("invoice_level_"), F.col(file_id), F.lit(".csv")).alias("invoice_csv"),
             F.concat(F.lit("item_level_"), F.col(file_id), F.lit(".csv")).alias("item_csv"))
+
+
+def write_record_tables(headers: DataFrame, items: DataFrame, name: str, path: str, buckets: int = 64) -> None:
+    """``<name>_headers`` and ``<name>_items`` as tables bucketed and sorted by ``doc_key``, one file a bucket.
+
+    The rows are shuffled once, here; every later join or grouping by ``doc_key`` needs no exchange.
+    A key with very many items makes its bucket that much longer: the records of one document.
+    """
+    for kind, rows in (("headers", headers), ("items", items)):
+        rows.repartition(buckets, "doc_key").write.mode("overwrite").bucketBy(buckets, "doc_key").sortBy("doc_key") \
+            .option("path", f"{path}/{kind}").saveAsTable(f"{name}_{kind}")
+
+
+def read_record_tables(spark: SparkSession, name: str) -> DataFrame:
+    """Every header with its items, one row per item, or one without an item; joined without an exchange."""
+    h, i = spark.table(f"{name}_headers").alias("h"), spark.table(f"{name}_items").alias("i")
+    i = i.select("doc_key", *[F.col(c).alias(f"item_{c}" if c in h.columns else c) for c in i.columns if c != "doc_key"])
+    return h.hint("merge").join(i, "doc_key", "left")

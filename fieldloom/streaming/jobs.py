@@ -9,6 +9,9 @@
   with Structured Streaming (J5).  Header, item and status tables are written
   in one ``foreachBatch`` into folders keyed by the batch id, so a replayed
   micro-batch overwrites its own output and never duplicates rows.
+  Documents whose extraction fails are dead letters beside them (J4), which
+  ``replay_dead_letters`` extracts anew by another profile.
+* ``first_arrivals`` / ``dropped_arrivals`` - duplicates across arrivals (X3).
 * ``status_windows`` - status counts per event-time window with a watermark (X6).
 """
 
@@ -24,10 +27,10 @@ from fieldloom.sources.sink import output_names
 
 
 def status_events(headers: DataFrame, job_id: str, provider: str = "regex",
-                  error_col: str | None = None) -> DataFrame:
+                  error_col: str | None = None, keep: tuple[str, ...] = (), start: int = 0) -> DataFrame:
     """Two events per document (``processing`` then ``completed`` or
     ``failed``); a per-row error never stops the batch.  ``seq`` orders the events
-    of a file (0, 1), so keys of any type will do.  Both events come from one pass
+    of a file (from ``start``), so keys of any type will do.  Both events come from one pass
     over the records (``explode`` of a two-element array), so the extraction
     upstream, which the error column reads, runs once."""
     err = F.col(error_col) if error_col else F.lit(None).cast("string")
@@ -35,17 +38,17 @@ def status_events(headers: DataFrame, job_id: str, provider: str = "regex",
     fid = k.cast("string")
     inv_csv, item_csv = output_names("_fid")
     null_s = F.lit(None).cast("string")
-    first = F.struct(F.lit(0).cast("bigint").alias("seq"), F.lit("processing").alias("status"), null_s.alias("invoice_csv"),
+    first = F.struct(F.lit(start).cast("bigint").alias("seq"), F.lit("processing").alias("status"), null_s.alias("invoice_csv"),
                      null_s.alias("item_csv"), null_s.alias("error"))
-    done = F.struct(F.lit(1).cast("bigint").alias("seq"),
+    done = F.struct(F.lit(start + 1).cast("bigint").alias("seq"),
                     F.when(F.col("_err").isNull(), F.lit("completed")).otherwise(F.lit("failed")).alias("status"),
                     F.when(F.col("_err").isNull(), inv_csv).alias("invoice_csv"),
                     F.when(F.col("_err").isNull(), item_csv).alias("item_csv"), F.col("_err").alias("error"))
-    base = headers.select("doc_key", fid.alias("_fid"), err.alias("_err"))
+    base = headers.select("doc_key", *keep, fid.alias("_fid"), err.alias("_err"))
     ev = base.select(F.lit(job_id).alias("job_id"), F.col("_fid").alias("file_id"), F.col("_fid").alias("filename"),
-                     F.lit(provider).alias("provider"), F.explode(F.array(first, done)).alias("e"))
+                     F.lit(provider).alias("provider"), *keep, F.explode(F.array(first, done)).alias("e"))
     return ev.select("job_id", "file_id", "filename", "e.seq", "e.status", "provider", "e.invoice_csv",
-                     "e.item_csv", "e.error")
+                     "e.item_csv", "e.error", *keep)
 
 
 def latest_status(events: DataFrame, file: str = "file_id", seq: str = "seq",
@@ -97,7 +100,8 @@ def stream_extract(spark: SparkSession, source_dir: str, out_dir: str, checkpoin
     arriving in ``source_dir``; run until the available files are processed.
 
     Output: ``out_dir/headers/batch=<id>``, ``out_dir/items/batch=<id>``,
-    ``out_dir/status/batch=<id>``; each batch folder is overwritten on replay.
+    ``out_dir/status/batch=<id>``, and ``out_dir/dead/batch=<id>`` with key, text and error of
+    the documents whose extraction fails its contract; each batch folder is overwritten on replay.
     """
     from pyspark.sql import types as T
     schema = schema or T.StructType([T.StructField("doc_key", T.LongType()), T.StructField("text", T.StringType())])
@@ -107,18 +111,65 @@ def stream_extract(spark: SparkSession, source_dir: str, out_dir: str, checkpoin
     docs = reader.parquet(source_dir)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        # read by four writes: extracted once
+        h = contract_flags(extract_headers(batch, profile, keep=("text",)), "header", ("invoice_document_number",)).persist()
         try:
-            h = extract_headers(batch, profile)
-            it = extract_items(batch, item_profile)
-            h.write.mode("overwrite").parquet(f"{out_dir}/headers/batch={batch_id}")
-            it.write.mode("overwrite").parquet(f"{out_dir}/items/batch={batch_id}")
-            checked = contract_flags(h, "header", ("invoice_document_number",))
-            status_events(checked, job_id, error_col="contract_error").write.mode("overwrite").parquet(f"{out_dir}/status/batch={batch_id}")
+            for name, rows in (("headers", h.drop("text", "contract_ok", "contract_error")),
+                               ("items", extract_items(h.select("doc_key", "text"), item_profile)),
+                               ("status", status_events(h, job_id, error_col="contract_error")),
+                               ("dead", h.where(~F.col("contract_ok")).select("doc_key", "text", "contract_error"))):
+                rows.write.mode("overwrite").parquet(f"{out_dir}/{name}/batch={batch_id}")
         finally:
-            batch.unpersist()
+            h.unpersist()
 
     q = (docs.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def replay_dead_letters(spark: SparkSession, out_dir: str, profile: str = "layout", item_profile: str = "layout",
+                        job_id: str = "stream") -> DataFrame:
+    """Extracts the dead letters of :func:`stream_extract` anew by another profile.
+
+    Rows that pass now go to ``out_dir/replay/headers``, ``items`` and ``status``, with the ``batch`` they
+    came in; a replay takes the place of an earlier one, so replaying twice leaves no duplicates.
+    Returns the rows that still fail: doc_key, batch, contract_error.
+    """
+    dead = spark.read.parquet(f"{out_dir}/dead")
+    h = contract_flags(extract_headers(dead.drop("contract_error"), profile, keep=("text", "batch")), "header",
+                       ("invoice_document_number",)).persist()
+    try:
+        good = h.where("contract_ok")
+        for name, rows in (("headers", good.drop("text", "contract_ok", "contract_error")),
+                           ("items", extract_items(good.select("doc_key", "text", "batch"), item_profile, keep=("batch",))),
+                           ("status", status_events(good, job_id, error_col="contract_error", keep=("batch",), start=2))):
+            rows.write.mode("overwrite").parquet(f"{out_dir}/replay/{name}")
+    finally:
+        h.unpersist()
+    passed = spark.read.parquet(f"{out_dir}/replay/headers").select("doc_key", "batch")
+    return dead.join(passed, ["doc_key", "batch"], "left_anti").select("doc_key", "batch", "contract_error")
+
+
+def extracted_headers(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Headers of :func:`stream_extract`, those replaced that :func:`replay_dead_letters` got right."""
+    h, again = (spark.read.parquet(f"{out_dir}/{d}") for d in ("headers", "replay/headers"))
+    return h.join(again.select("doc_key", "batch"), ["doc_key", "batch"], "left_anti").unionByName(again)
+
+
+def first_arrivals(headers: DataFrame, arrived: str = "arrived", within: str = "30 days") -> DataFrame:
+    """X3 on a stream: the first header of each supplier's document number; later ones that arrive
+    ``within`` that time of it are dropped.  The state of a number is freed at the end of the first batch
+    whose watermark has passed it; until then later ones are dropped as well.
+    Blank and default numbers are no numbers."""
+    number = F.trim(F.coalesce(F.col("invoice_document_number"), F.lit("")))
+    return headers.where((number != "") & (number != "UNKNOWN")).withWatermark(arrived, within) \
+        .dropDuplicatesWithinWatermark(["supplier_gstin", "invoice_document_number"])
+
+
+def dropped_arrivals(headers: DataFrame, kept: DataFrame) -> DataFrame:
+    """The report beside :func:`first_arrivals`: every dropped ``doc_key`` with its number, from the headers
+    that arrived and those kept (both written by the stream)."""
+    number = F.trim(F.coalesce(F.col("invoice_document_number"), F.lit("")))
+    return headers.where((number != "") & (number != "UNKNOWN")).join(kept.select("doc_key"), "doc_key", "left_anti") \
+        .select("supplier_gstin", "invoice_document_number", "doc_key")
