@@ -130,7 +130,7 @@ WITH r AS (
   FROM documents),
 lev AS (
   SELECT d, k >> ({KEY_BITS} - d) AS p, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows
-  FROM r, (SELECT unnest(range(0, {KEY_BITS // 2})) AS d) GROUP BY 1, 2 HAVING sum(n_bytes) <= {LIMIT} OR min(k) = max(k)),
+  FROM r, (SELECT unnest(range(0, {KEY_BITS + 1})) AS d) GROUP BY 1, 2 HAVING sum(n_bytes) <= {LIMIT} OR min(k) = max(k)),
 leaf AS (
   SELECT r.k, arg_min(struct_pack(d := lev.d, b := lev.shard_bytes, n := lev.shard_rows), lev.d) AS s
   FROM (SELECT DISTINCT k FROM r) r JOIN lev ON lev.p = r.k >> ({KEY_BITS} - lev.d) GROUP BY r.k)
