@@ -27,3 +27,12 @@ def test_many_names_meet_few_texts(spark):
     few = known_parties(d, clients(10))
     lines = lambda x: len(x._jdf.queryExecution().optimizedPlan().toString().split("\n"))
     assert lines(out) == lines(few)
+
+
+def test_only_runs_of_names_are_shuffled(spark):
+    """A run that no name is filed under is left out by a broadcast before any exchange by key."""
+    parties = spark.createDataFrame([("acme traders", 1)], "name string, rank long")
+    text = "x".join(f"{i:05d}" for i in range(200)) + "\nAcme Traders Ltd"
+    out = known_parties(docs(spark, text), parties)
+    assert [(r.party, r.line) for r in out.collect()] == [("acme traders", "Acme Traders Ltd")]
+    assert "LeftSemi, BuildRight" in out._jdf.queryExecution().executedPlan().toString()
