@@ -25,3 +25,10 @@ def test_arrays_equal_exploded_items(spark, sf001):
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, items.select(cols).collect()))
     assert sorted(map(tuple, R.first_item_of(rec).collect())) == sorted(map(tuple, R.first_item(items).collect()))
     assert R.item_counts(rec).where("doc_key < 0 AND n_items > 0").count() == 1
+
+
+@pytest.mark.parametrize("rows", [lambda d: extract_items(d, "layout"), lambda d: extract_items(d, "simple"),
+                                  lambda d: R.first_item_of(R.document_records(d, header_fields=[]))])
+def test_no_filter_builds_the_item_rows_again(spark, rows):
+    plan = rows(docs(spark, TEXT, "", None))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter" in x and ("lambda" in x or "regexp" in x or "RLIKE" in x)]
