@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from fieldloom.operators import relate as R
 from fieldloom.operators.items import extract_items
 from fieldloom.plans.common import invoices
+from fieldloom.streaming import jobs as J
 from tests.conftest import docs
 
 TEXT = "TAX INVOICE\nTaxable Value: 30\nSr No  Item Code\nA_1  red  6100  2 PCS  10.00  5%  20.00\nB_2  blue  6100  x PCS  10.00  5%  7.00\nC_3  green  6100  1 PCS  10.00  5%  10.00\nTotal 30"
@@ -32,3 +33,13 @@ def test_arrays_equal_exploded_items(spark, sf001):
 def test_no_filter_builds_the_item_rows_again(spark, rows):
     plan = rows(docs(spark, TEXT, "", None))._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.split("\n") if "Filter" in x and ("lambda" in x or "regexp" in x or "RLIKE" in x)]
+
+
+def test_large_input_lands_in_more_files(spark, tmp_path):
+    d = spark.range(40).selectExpr("id AS doc_key", "concat('text ', id) AS text")
+    few, many = J.land(d, f"{tmp_path}/few", rows=40, least=4, rows_per_file=10), J.land(d, f"{tmp_path}/many", rows=400, least=4, rows_per_file=10)
+    assert (few, many) == (4, 40)
+    for path, n in (("few", few), ("many", many)):
+        back = spark.read.parquet(f"{tmp_path}/{path}")
+        assert len(back.inputFiles()) <= n and sorted(r.doc_key for r in back.collect()) == list(range(40))
+    assert len(spark.read.parquet(f"{tmp_path}/many").inputFiles()) > 4
