@@ -71,3 +71,24 @@ def test_bround_half_even_on_printed_decimal(spark):
 def test_is_upper(spark):
     got = one(spark, rx.is_upper(F.col("text")), "ABC 12", "Abc", "123", "ÉTÉ")
     assert got == ["ABC 12".isupper(), "Abc".isupper(), "123".isupper(), "ÉTÉ".isupper()]
+
+
+def test_folded_search_finds_what_the_search_ignoring_case_finds(spark):
+    """Places, presence and digits: the folded text answers as the text does, also for the four
+    characters outside ASCII that ignoring case takes for letters."""
+    words = ["Ship to", "Kit", "Bill to", "Total Qty", "Invoice"]
+    texts = ["", "ſhip to 5", "xKIT 7", "Bıll to 1", "İnvoice 3 bİLL TO 4", "a\U00010400 total QTY: 12", "Σ SHIP TO ٣",
+             "no word", "kiss Sigma Σ\n9 Invoice"] + [None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    t = F.col("t")
+    got = d.select("i", *[F.struct(F.regexp_instr(t, F.lit(rx.py(w, "i"))).alias("a"), F.regexp_instr(rx.fold(t), F.lit(rx.py(rx.folded(w)))).alias("b"),
+                                   (rx.has_any(rx.fold(t), [w]) == rx.matches(t, w, "i")).alias("same"),
+                                   rx.extract(t, w + r"\D*(\d+)", "i").alias("c"), rx.extract_folded(rx.fold(t), w + r"\D*(\d+)").alias("d"),
+                                   rx.extract(t, rx.one_of(words), "i", 0).alias("e"), rx.extract(t, "|".join(words), "i", 0).alias("f")).alias(f"w{k}")
+                          for k, w in enumerate(words)]).collect()
+    for row in got:
+        for k in range(len(words)):
+            w = row[f"w{k}"]
+            assert (w.a, w.c, w.e) == (w.b, w.d, w.f), (texts[row.i], words[k], w)
+            assert w.same is not False
+    assert d.where(F.length(rx.fold(t)) != F.length(t)).count() == 0
