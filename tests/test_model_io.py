@@ -1,6 +1,7 @@
 """Model request / response operators: envelopes, fences, malformed answers, routing."""
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.operators import model_io as M
@@ -119,3 +120,25 @@ def test_merge_reads_the_responses_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     (m,) = M.merge_chunks(r).collect()
     assert m.answer == ANSWER and m.missing == [] and m.n_chunks == 1
+
+
+@pytest.mark.parametrize("answer, null", [
+    ('{"invoice_data":null,"line_items":[]}', True), (' \n{"a":1,"invoice_data" : null}', True), ('{"x":{"invoice_data":null}}', True),
+    ('{"invoice_data":{"Invoice Number":null}}', False), ('["invoice_data",null]', False), ('["invoice_data":null]', False),
+    ('{"line_items":[]}', False), ('"invoice_data":null', False), (None, None)])
+def test_null_header_object(spark, answer, null):
+    got = spark.createDataFrame([(answer,)], "a string").select(M._no_header(F.col("a")).alias("n"))
+    assert got.first().n is null
+
+
+def test_null_header_is_found_by_short_searches(spark):
+    """No pattern that reads an answer to its end and comes back: that took most of the time of the chunked answers."""
+    plan = spark.range(1).select(F.col("id").cast("string").alias("a")).where(M._no_header(F.col("a")))._jdf.queryExecution().toString()
+    assert "invoice_data" in plan and "[\\s\\S]*" not in plan
+
+
+def test_escaped_error_name_is_read(spark):
+    rows = [(1, '{"err\\u006fr":"no table"}', "no table"), (2, '{"error":"none"}', "none"), (3, '{"invoice_data":{}}', None)]
+    r = spark.createDataFrame([(k, "openai", 200, json.dumps({"choices": [{"message": {"content": a}}]})) for k, a, _ in rows],
+                              "doc_key bigint, provider string, http_status int, body string")
+    assert {x.doc_key: x.error for x in M.unwrap(r).collect()} == {k: e for k, _, e in rows}
