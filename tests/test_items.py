@@ -1,5 +1,5 @@
 """Hand cases for item row generation."""
-from fieldloom.operators.items import extract_items
+from fieldloom.operators.items import extract_items, layout_item_arrays
 from tests.conftest import docs, rows
 
 SECTION = "Sr No  Item Code  Description  HSN  Qty  Rate  Amount\n"
@@ -38,3 +38,16 @@ def test_simple_fallback_numbering(spark):
     r = rows(extract_items(docs(spark, t), "simple"), "line_number", "item_sku_code", "quantity", "uom",
              "line_total_value")
     assert r == [(1, "WIDGET-9", 3.0, "PCS", 45.0), (2, "GADGET01", 10.0, "NOS", 1200.5)]
+
+
+def test_layout_sections_are_found_in_the_folded_text(spark):
+    """Letter case of keywords and ends, other letters for ASCII ones, an end beside or within its keyword."""
+    row = "A_1  pen  1234  2 PCS  10.00  5%  1,021.00\n"
+    texts = ["SR.  NO\n" + row + "tOtAl", "\u017fr no\n" + row + "Total", "HSNtotal\n" + row, "AMOUNTotal\n" + row, "\u0130 qty\n" + row + "total",
+             "Item  Details\n" + row + "SUB TOTAL\n", "total\nhsn\n" + row, "qty\n" + row + "Invoice No 7\n" + row.replace("A_1", "A_2") + "De\u017fcription\nSr\tNo\n" + row + "\ntotal"]
+    d = layout_item_arrays(docs(spark, *texts))
+    got = [[(i.line_number, i.item_sku_code, i.line_total_value) for i in r["items"]] for r in d.orderBy("doc_key").collect()]
+    one = [(1, "A_1", 1021.0)]
+    assert got == [one, one, one, [], one, [(2, "A_1", 1021.0)], [], one + [(3, "A_2", 1021.0), (4, "A_1", 1021.0)]]
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "item code" in plan and "Item Code" not in plan  # no search of the whole text that ignores case
