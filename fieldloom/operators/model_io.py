@@ -270,9 +270,10 @@ def missing_chunks(requests: DataFrame, responses: DataFrame) -> DataFrame:
     ``reason`` is the error of the latest answer, of the request itself (unknown
     provider), or ``no response``.
     """
-    answered = unwrap(latest_responses(responses)).select("doc_key", "chunk_no", "answer", F.col("error").alias("_error"))
+    # only whether there is an answer: joining by chunk shuffles these rows
+    answered = unwrap(latest_responses(responses)).select("doc_key", "chunk_no", F.col("answer").isNotNull().alias("_usable"), F.col("error").alias("_error"))
     asked = requests.select("doc_key", "chunk_no", "n_chunks", F.col("error").alias("_asked"))
-    j = asked.join(answered, ["doc_key", "chunk_no"], "left").where(F.col("answer").isNull())
+    j = asked.join(answered, ["doc_key", "chunk_no"], "left").where(~F.coalesce("_usable", F.lit(False)))
     return j.select("doc_key", "chunk_no", "n_chunks", F.coalesce("_error", "_asked", F.lit("no response")).alias("reason"))
 
 
