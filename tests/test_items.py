@@ -51,3 +51,10 @@ def test_layout_sections_are_found_in_the_folded_text(spark):
     assert got == [one, one, one, [], one, [(2, "A_1", 1021.0)], [], one + [(3, "A_2", 1021.0), (4, "A_1", 1021.0)]]
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert "item code" in plan and "Item Code" not in plan  # no search of the whole text that ignores case
+
+
+def test_section_behind_a_character_beyond_the_bmp(spark):
+    text = "\U0001F600" * 20 + "\nSr No Qty\nA1  x  3  4.00  12.00\nTotal 1"
+    df = extract_items(docs(spark, text, text[20:]), "layout").drop("doc_key", "invoice_serial_number")
+    a, b = df.collect()
+    assert a == b and a.item_sku_code == "A1"

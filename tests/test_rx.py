@@ -92,3 +92,20 @@ def test_folded_search_finds_what_the_search_ignoring_case_finds(spark):
             assert (w.a, w.c, w.e) == (w.b, w.d, w.f), (texts[row.i], words[k], w)
             assert w.same is not False
     assert d.where(F.length(rx.fold(t)) != F.length(t)).count() == 0
+
+
+def test_a_search_within_a_branch_is_planned_once(spark):
+    low = rx.fold(F.col("text"))
+    df = docs(spark, "x").select("text", low.alias("low")).select(
+        rx.first_nonblank(F.col("text"), [r"Aa\s*(\w*)", r"Bb\s*(\w*)"], "is", needs=[rx.has_any(F.col("low"), ["aa"]), F.lit(True)]).alias("a"),
+        F.coalesce(*[rx.positive(rx.number_loose(rx.extract(F.col("text"), p))) for p in (r"Cc(\d)", r"Dd(\d)")]).alias("b"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(p) for p in ("Aa", "Bb", "Cc", "Dd")] == [1, 1, 1, 1]
+
+
+def test_place_in_the_folded_text_equals_the_search_ignoring_case(spark):
+    texts = ["\U0001F600 no: 1 INVOICE No ab12", "\u017f\u212a \u0130 Invoice  no XY9", "\u00c4\u1e9e\u2126 INVOICE NO q/1 invoice no z", "none", "", None, "invoice no k"]
+    df = docs(spark, *texts).select("doc_key", "text", rx.fold(F.col("text")).alias("low"))
+    p = r"Invoice\s*No\s*(\S+)"
+    got = df.select(rx.extract_ci(F.col("text"), F.col("low"), p).alias("a"), rx.extract(F.col("text"), p, "i").alias("b")).collect()
+    assert all(r.a == r.b for r in got) and [r.b for r in got][:3] == ["ab12", "XY9", "q/1"]
