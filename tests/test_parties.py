@@ -36,3 +36,13 @@ def test_only_runs_of_names_are_shuffled(spark):
     out = known_parties(docs(spark, text), parties)
     assert [(r.party, r.line) for r in out.collect()] == [("acme traders", "Acme Traders Ltd")]
     assert "LeftSemi, BuildRight" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_rendered_once_and_not_shuffled(spark):
+    """What meets is verified in its line, and only runs of names are shuffled, not those that share a digest cut to few values."""
+    clients = spark.range(20_000).select(F.format_string("Client %06d", F.col("id")).alias("name"), F.col("id").alias("rank"))
+    d = docs(spark, "Client 000007 x\n" + "y" * 900 + "\nclient 000003", "ient 000003 client 00000", None)
+    out = known_parties(d, clients)
+    assert [tuple(r) for r in out.collect()] == [(0, "client 000003", "client 000003")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "regexp_extract_all(lower(line" in plan and "(.{12})" in plan
