@@ -98,3 +98,19 @@ def test_stream_items_equal_batch(spark):
     want = extract_items(inv, "layout")
     assert got.count() == want.count() > 0
     assert got.exceptAll(want.select(*got.columns)).count() == 0
+
+
+def test_rows_made_by_a_shuffle_land_without_another(spark, tmp_path):
+    d = spark.range(40).selectExpr("id AS doc_key", "concat('text ', id) AS text").repartition(2)
+    n = J.land(d, f"{tmp_path}/in", rows=40, least=4, rows_per_file=10, shuffled=False)
+    back = spark.read.parquet(f"{tmp_path}/in")
+    assert n == len(back.inputFiles()) >= 4 and sorted(r.doc_key for r in back.collect()) == list(range(40))
+    assert max(r["count"] for r in back.groupBy(F.input_file_name()).count().collect()) <= 10
+
+
+def test_items_are_rendered_behind_the_shuffle(spark):
+    """The values of an item are shuffled by order, not the line that repeats them."""
+    from fieldloom.sources.corpus import order_facts
+    from fieldloom.sources.tables import Tables
+    plan = order_facts(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert " PCS" not in plan.split("RepartitionByExpression")[1]
